@@ -1,46 +1,31 @@
-"""Rounding rules: half-even on the binary double, and half-up."""
+"""Rounding rules: half-even on the binary double, and safe ratios."""
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def _two_sum(a: Column, b: Column) -> tuple[Column, Column]:
-    s = a + b
-    bb = s - a
-    return s, (a - (s - bb)) + (b - bb)
+# 2**27 + 1 splits a double into two halves of at most 26 bits
+_SPLIT = 134217729.0
 
 
 def round_half_even(x: Column, digits: int = 0) -> Column:
     """Nearest multiple of 10**-digits to the *binary* value, exact ties to even.
 
     Spark's ``bround`` rounds the shortest decimal text of a double, which turns
-    0.15 (really 0.1499999...) into a tie. Here the doubled scaled value is kept
-    as an exact sum of a head and a remainder, so a tie is only a real tie.
+    0.15 (really 0.1499999...) into a tie. Here the scaled value is rounded, and
+    only where it looks like a tie does the exact rounding error of the product
+    decide, so a tie is only a real tie.
     """
     x = x.cast("double")
-    scale = 10 ** digits
-    doubled = 2 * scale
-    # 2*10^d as a sum of powers of two: each product below is exact.
-    parts = [1 << i for i in range(doubled.bit_length()) if doubled >> i & 1]
-    head = x * F.lit(float(parts[-1]))
-    tail = F.lit(0.0)
-    for p in reversed(parts[:-1]):
-        head, err = _two_sum(head, x * F.lit(float(p)))
-        tail = tail + err
-    k = F.floor(x * F.lit(float(scale)) + F.lit(0.0))
-    # position of x against the midpoint between k and k+1, and guards for k off by one
-    k = F.when((head - F.lit(2.0) * k) + tail >= 2.0, k + 1) \
-         .when((head - F.lit(2.0) * k) + tail < 0.0, k - 1).otherwise(k)
-    above = (head - (F.lit(2.0) * k + 1.0)) + tail
-    nearest = (F.when(above > 0, k + 1).when(above < 0, k)
-               .otherwise(F.when(F.pmod(k, F.lit(2)) == 0, k).otherwise(k + 1)))
-    return nearest.cast("double") / F.lit(float(scale))
-
-
-def round_half_up(x: Column, digits: int = 0) -> Column:
-    """Half away from zero on the decimal value, as SQL ROUND(numeric) does."""
-    return F.round(x, digits)
+    scale = F.lit(float(10 ** digits))
+    p = x * scale
+    c = x * F.lit(_SPLIT)
+    high = c - (c - x)
+    error = (high * scale - p) + (x - high) * scale
+    low = F.floor(p).cast("double")
+    nearest = (F.when(p - low != 0.5, F.rint(p)).when(error > 0, low + 1)
+               .when(error < 0, low).otherwise(F.rint(p)))
+    return nearest / scale
 
 
 def safe_ratio(num: Column, den: Column, default: Column | None = None) -> Column:

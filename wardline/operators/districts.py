@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import scores, text
 from ..functions.rounding import round_half_even, safe_ratio
+from ..session import literal_table
 
 CHAMBERS = {"assembly": "assembly_district", "senate": "senate_district",
             "congressional": "congressional_district"}
@@ -99,9 +100,11 @@ def district_counts(households: DataFrame) -> DataFrame:
 
 
 def town_centroids(households: DataFrame, minimum: int = 200) -> DataFrame:
+    """Mean place of each city with enough households. Coordinates are stored with few
+    digits, so the mean is taken on decimals and does not depend on the row order."""
     geo = households.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    return (geo.groupBy("city").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"),
-                                    F.count(F.lit(1)).alias("n"))
+    exact = lambda c: F.avg(F.col(c).cast("decimal(12,7)")).cast("double").alias(c)
+    return (geo.groupBy("city").agg(exact("lat"), exact("lon"), F.count(F.lit(1)).alias("n"))
             .filter(F.col("n") >= minimum)
             .select("city", round_half_even(F.col("lat"), 5).alias("lat"),
                     round_half_even(F.col("lon"), 5).alias("lon"), "n"))
@@ -117,9 +120,8 @@ def data_bounds(households: DataFrame, margin: float = 0.01) -> DataFrame:
 
 def precinct_rows(raw: DataFrame) -> DataFrame:
     """Keep the wanted offices and allow-listed numeric districts."""
-    allow = raw.sparkSession.createDataFrame(
-        [(office, race, d) for office, race in C.OFFICE_RACES.items()
-         for d in C.RACE_DISTRICTS[race]], "office string, race string, district_no int")
+    allow = literal_table(raw.sparkSession, ["office", "race", "district_no"], [
+        (office, race, d) for office, race in C.OFFICE_RACES.items() for d in C.RACE_DISTRICTS[race]])
     trimmed = (raw.withColumn("office", text.strip(F.col("office")))
                .withColumn("district", text.strip(F.col("district"))))
     numeric = trimmed.withColumn("district_no", F.when(
@@ -181,9 +183,8 @@ def served_winner(results: DataFrame) -> DataFrame:
 def expected_contests(spark, years: list[int],
                       races: dict[str, list[int]] | None = None) -> DataFrame:
     races = races or C.RACE_DISTRICTS
-    return spark.createDataFrame([(race, y, str(d)) for race, ds in races.items()
-                                  for y in years for d in ds],
-                                 "race string, year int, district string")
+    return literal_table(spark, ["race", "year", "district"], [
+        (race, y, str(d)) for race, ds in races.items() for y in years for d in ds])
 
 
 def results_template(expected: DataFrame, results: DataFrame,

@@ -247,18 +247,20 @@ def random_walk_encoding(directed: DataFrame, clusters: DataFrame, steps: int =
     Clusters of bounded size go to one NumPy call each; any larger cluster takes
     the join form, so none is ever gathered into a single task.
     """
-    intra = intra_cluster_edges(directed, clusters, node).select("cluster", "u", "v")
+    # read several times below, so it is stored once
+    intra = cut(intra_cluster_edges(directed, clusters, node).select("cluster", "u", "v"))
     sizes = intra.groupBy("cluster").agg(F.count(F.lit(1)).alias("e"),
-                                         F.approx_count_distinct("u").alias("n"))
-    fits = sizes.filter((F.col("e") <= max_edges) & (F.col("n") <= max_nodes)).select("cluster")
+                                         F.count_distinct("u").alias("n"))
+    big = cut(sizes.filter((F.col("e") > max_edges) | (F.col("n") > max_nodes)).select("cluster"))
     names = [f"rw{k}" for k in range(1, steps + 1)]
     schema = "node long, " + ", ".join(f"{n} double" for n in names)
-    small = intra.join(fits, "cluster", "left_semi").groupBy("cluster").applyInPandas(
-        lambda pdf: _walk_block(pdf, steps), schema)
-    large = intra.join(fits, "cluster", "left_anti").select("u", "v")
-    long = return_probabilities_by_join(large, steps)
-    wide = long.groupBy("node").agg(*[F.coalesce(F.max(F.when(F.col("k") == k, F.col("p"))),
-                                                 F.lit(0.0)).alias(f"rw{k}")
-                                      for k in range(1, steps + 1)])
-    found = small.unionByName(wide).withColumnRenamed("node", node)
+    found = (intra.join(big, "cluster", "left_anti").groupBy("cluster")
+             .applyInPandas(lambda pdf: _walk_block(pdf, steps), schema))
+    if not big.isEmpty():
+        large = intra.join(big, "cluster", "left_semi").select("u", "v")
+        wide = return_probabilities_by_join(large, steps).groupBy("node").agg(
+            *[F.coalesce(F.max(F.when(F.col("k") == k, F.col("p"))), F.lit(0.0)).alias(f"rw{k}")
+              for k in range(1, steps + 1)])
+        found = found.unionByName(wide)
+    found = found.withColumnRenamed("node", node)
     return clusters.select(node).join(found, node, "left").fillna(0.0, names)

@@ -34,20 +34,21 @@ def ranking_metrics(df: DataFrame, y: str = "y", p: str = "p",
     split = ["__b1", "__b2"]
     run = running_sum(per, keys, split, ["p"], F.col("neg"), "neg_to")
     run = running_sum(run, keys, split, ["p"], F.col("pos"), "pos_to")
-    totals = per.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")) if keys else \
-        per.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    totals = per.groupBy(*keys).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     if keys:
         run = run.join(totals, keys)
     else:
-        t = totals.select(F.struct("P", "N")).scalar()
-        run = run.withColumn("__t", t).withColumns({"P": F.col("__t.P"), "N": F.col("__t.N")})
+        t = totals.select(F.struct("all_pos", "all_neg").alias("t")).scalar()
+        run = run.withColumn("__t", t).select("*", "__t.all_pos", "__t.all_neg")
+    all_pos, all_neg = F.col("all_pos"), F.col("all_neg")
     below = F.col("neg_to") - F.col("neg") / 2.0
-    tp = F.col("P") - F.col("pos_to") + F.col("pos")
-    fp = F.col("N") - F.col("neg_to") + F.col("neg")
+    tp = all_pos - F.col("pos_to") + F.col("pos")
+    fp = all_neg - F.col("neg_to") + F.col("neg")
     return run.groupBy(*keys).agg(
-        safe_ratio(F.sum(F.col("pos") * below), F.max(F.col("P") * F.col("N"))).alias("auc"),
-        F.sum(safe_ratio(F.col("pos"), F.col("P")) * safe_ratio(tp, tp + fp)).alias("pr_auc"),
-        F.max("P").alias("positives"), F.sum("n").alias("n"))
+        safe_ratio(F.sum(F.col("pos") * below),
+                   F.max(all_pos.cast("double") * all_neg)).alias("auc"),
+        F.sum(safe_ratio(F.col("pos"), all_pos) * safe_ratio(tp, tp + fp)).alias("pr_auc"),
+        F.max("all_pos").alias("positives"), F.sum("n").alias("n"))
 
 
 def binary_metrics(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:

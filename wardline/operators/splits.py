@@ -46,9 +46,13 @@ def attach_split(people: DataFrame, splits: DataFrame, ed: str = "ed_key") -> Da
 
 
 def district_centroids(people: DataFrame, ed: str = "ed_key", county: str = "county") -> DataFrame:
-    """(ed_key, county, lat, lon, n); districts without points take the mean of the others."""
-    e = people.groupBy(ed).agg(F.min(county).alias(county), F.avg("lat").alias("lat"),
-                               F.avg("lon").alias("lon"), F.count(F.lit(1)).alias("n"))
+    """(ed_key, county, lat, lon, n); districts without points take the mean of the others.
+
+    Means are taken on decimals: bands and clusters must not depend on row order.
+    """
+    exact = lambda c: F.avg(F.col(c).cast("decimal(12,7)")).cast("double").alias(c)
+    e = people.groupBy(ed).agg(F.min(county).alias(county), exact("lat"), exact("lon"),
+                               F.count(F.lit(1)).alias("n"))
     mean = e.agg(F.struct(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
                  .alias("m")).scalar()
     return e.withColumns({"lat": F.coalesce(F.col("lat"), mean["lat"]),

@@ -141,12 +141,9 @@ FROM (
       greatest(0, least(12, 1999 - greatest(1988, any_value(y18)) + 1)) AS e12,
       greatest(0, least(3, 1999 - greatest(1997, any_value(y18)) + 1)) AS e3,
       greatest(0, least(5, 1996 - greatest(1992, any_value(y18)) + 1)) AS e48,
-      len(list_filter(range(1984, 2000), y -> y % 4 = 0 AND y >= any_value(y0)
-        AND y >= any_value(y18))) AS ep,
-      len(list_filter(range(1984, 2000), y -> y % 4 = 2 AND y >= any_value(y0)
-        AND y >= any_value(y18))) AS em,
-      len(list_filter(range(1992, 2000), y -> y % 2 = 1 AND y >= any_value(y0)
-        AND y >= any_value(y18))) AS eo,
+      greatest(0, 1999 // 4 - (greatest(1984, any_value(y0), any_value(y18)) - 1) // 4) AS ep,
+      greatest(0, 1997 // 4 - (greatest(1984, any_value(y0), any_value(y18)) - 3) // 4) AS em,
+      greatest(0, 1998 // 2 - (greatest(1992, any_value(y0), any_value(y18)) - 2) // 2) AS eo,
       max(year) FILTER (year < 2000 OR (year = 2000 AND etype = 'P')) AS last_any,
       min(year) FILTER (year < 2000 OR (year = 2000 AND etype = 'P')) AS first_any,
       max(year) FILTER (etype = 'G' AND year < 2000) AS last_g,

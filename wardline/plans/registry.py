@@ -52,6 +52,16 @@ def query(name: str, covers: str, columns: str, sql: str | None = None):
     return deco
 
 
+def half_even(x: str, digits: int) -> str:
+    """SQL for half-even rounding of the binary value: only an exact tie is a tie."""
+    x = f"CAST({x} AS DOUBLE)"
+    s, k = f"1e{digits}", "134217729.0::DOUBLE"
+    p, high = f"({x} * {s})", f"({x} * {k} - ({x} * {k} - {x}))"
+    err = f"(({high} * {s} - {p}) + ({x} - {high}) * {s})"
+    return (f"(CASE WHEN {p} - floor({p}) <> 0.5 THEN round_even({p}, 0) WHEN {err} > 0 THEN floor({p}) + 1 "
+            f"WHEN {err} < 0 THEN floor({p}) ELSE round_even({p}, 0) END / {s})")
+
+
 # The stand-in views in the oracle's dialect.
 PRELUDE = """
 WITH ballot AS (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import ids
+from ..session import cut
 
 TARGET = 2000
 REF_YEAR = 2002
@@ -239,7 +240,7 @@ class Views:
             p.alias("ordinal"),
             F.when(p % 6 == 0, "S1100").when(p % 6 == 1, "S1200").otherwise("S1400")
             .alias("road_class"),
-            F.array(pt(x, y), pt(x + 0.0005, y), pt(x + 0.0005, y + 0.0005)).alias("pts"))
+            F.array(pt(x, y), pt(x + 0.00062, y), pt(x + 0.00062, y + 0.0004181)).alias("pts"))
 
     @property
     def addresses(self) -> DataFrame:
@@ -270,3 +271,69 @@ class Views:
             F.date_format(F.date_add(F.lit(dt.date(1998, 1, 1)), (i % 1000).cast("int")), "MMddyyyy")
             .alias("raw_date"), F.col("value").alias("amount"),
             (i % 7).cast("string").alias("committee_id"), i.alias("ordinal"))
+
+    @property
+    def placed_people(self) -> DataFrame:
+        """People with the coordinates and address of their household."""
+        h = self.households.select("household_row", "lat", "lon", F.col("address_num").alias("address_number"),
+                                   F.col("street").alias("street_name"))
+        return self.people.join(h, "household_row")
+
+    def stored(self, name: str) -> DataFrame:
+        """A view written once to reliable storage, for jobs that read it many times."""
+        return self._keep(f"stored {name}", lambda: cut(getattr(self, name)))
+
+    @property
+    def labelled(self) -> DataFrame:
+        from ..operators.context import with_labels
+        return with_labels(self.people, self.ballots, TARGET, REF_YEAR)
+
+    @property
+    def scored_labels(self) -> DataFrame:
+        """Labels with a probability of few distinct values, so that ties occur."""
+        k = F.col("person_row")
+        noise = ((k * 37) % 101) / 101.0
+        p = F.when(F.col("y_turnout") == 1, 0.2 + 0.7 * noise).otherwise(0.05 + 0.75 * noise)
+        return self.labelled.filter("y_turnout >= 0").select(
+            "person_row", "ed_key", "y_party", "age", "tier_count", F.col("y_turnout").alias("y"),
+            F.round(p, 2).alias("p"))
+
+    def edges(self) -> DataFrame:
+        """Fixed typed edges: household cliques and three kinds of chains over the keys."""
+        from ..operators import graph
+        k = F.col("person_row")
+        people = self.table("customer").select(F.col("c_custkey").alias("person_row"),
+                                               F.floor(F.col("c_custkey") / 3).alias("household_row"))
+        last = people.agg(F.max("person_row")).scalar()
+
+        def chain(step: int, cond: Column) -> DataFrame:
+            return people.filter(cond & (k + step <= last)).select(
+                k.alias("u"), (k + step).alias("v"))
+
+        return graph.combine_edges({
+            "household": graph.household_edges(people),
+            "ed": chain(1, F.lit(True)), "spatial_knn": chain(3, k % 5 != 0),
+            "donation": chain(1, k % 2 == 0)})
+
+    @property
+    def clusters(self) -> DataFrame:
+        k = F.col("c_custkey")
+        return self.table("customer").select(k.alias("person_row"), F.floor(k / 40).alias("cluster"))
+
+    def census_tables(self) -> list[tuple[str, DataFrame]]:
+        """supplier as summary-file tables with text numbers, zeros and missing codes."""
+        s = F.col("s_suppkey")
+        geo = F.concat(F.when(s % 10 == 9, "1400000US").otherwise("1500000US"), F.lit("36059"),
+                       F.lpad(s.cast("string"), 7, "0")).alias("GEO_ID")
+        base = self.table("supplier")
+
+        def number(i: int) -> Column:
+            return (F.when(s % 11 == i % 11, "-666666666").when(s % 7 == i % 7, "0")
+                    .when(s % 23 == i % 23, "*").otherwise((s * (i + 3) % 500 + 1).cast("string")))
+
+        out = []
+        for t, (table, columns) in enumerate(C.CENSUS_TABLES.items()):
+            keep = base.filter(s % 13 != t)
+            out.append((table, keep.select(geo, *[number(t * 5 + j).alias(c)
+                                                  for j, c in enumerate(columns)])))
+        return out

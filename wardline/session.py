@@ -40,3 +40,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise once in reliable storage, so reuse survives a lost executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def literal_table(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
+    """A small fixed table as inline values, so that the planner knows its size."""
+    def text(x) -> str:
+        return "'" + x.replace("'", "\\'") + "'" if isinstance(x, str) else str(x)
+
+    values = ", ".join("(" + ", ".join(text(x) for x in r) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
