@@ -87,10 +87,10 @@ def zip_scores(counts: DataFrame) -> DataFrame:
     """0-100 on a log scale between the smallest and the largest count; 50 when all agree."""
     lc = counts.withColumn("lc", F.log1p("count"))
     span = lc.agg(F.struct(F.min("lc").alias("lo"), F.max("lc").alias("hi")).alias("s")).scalar()
-    lo, hi = span["lo"], span["hi"]
-    score = F.when(hi > lo, round_half_even((F.col("lc") - lo) / F.when(hi > lo, hi - lo) * 100, 0)) \
-        .otherwise(50.0)
-    return lc.select("zip", score.cast("int").alias("score"), "count")
+    lc = lc.withColumn("s", span).withColumn("share", safe_ratio(
+        F.col("lc") - F.col("s.lo"), F.col("s.hi") - F.col("s.lo"), F.lit(0.5)))
+    return lc.select("zip", round_half_even(F.col("share") * 100, 0).cast("int").alias("score"),
+                     "count")
 
 
 def district_counts(households: DataFrame) -> DataFrame:

@@ -125,6 +125,7 @@ def first_seen_codes(df: DataFrame, value: str, ordinal: str, keys: list[str] |
     from .groups import ordered_rank
     keys = keys or []
     seen = df.groupBy(*keys, value).agg(F.min(ordinal).alias("__first"))
-    seen = seen.withColumn("__block", F.floor(F.col("__first") / F.lit(block)))
-    out = ordered_rank(seen, keys, ["__block"], ["__first", value], "code")
+    seen = seen.withColumns({"__b1": F.floor(F.col("__first") / F.lit(block * block)),
+                             "__b2": F.floor(F.col("__first") / F.lit(block))})
+    out = ordered_rank(seen, keys, ["__b1", "__b2"], ["__first", value], "code")
     return out.select(*keys, value, (F.col("code") - 1).alias("code"))

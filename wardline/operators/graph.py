@@ -162,15 +162,14 @@ def neighbor_means(directed: DataFrame, features: DataFrame, columns: list[str],
 
     Hop h averages the neighbours' hop h-1 values along the same edge type.
     """
-    base = features.select(F.col(node).alias("v"), *columns)
-    values = directed.select("v", "etype").distinct().join(base, "v")
-    out = None
+    values = features.select(F.col(node).alias("v"), *columns)
+    on, out = ["v"], None
     for h in range(1, hops + 1):
-        agg = directed.select("u", "v", "etype").join(values, ["v", "etype"]).groupBy(
-            "u", "etype").agg(*[F.avg(c).alias(c) for c in columns])
+        agg = directed.select("u", "v", "etype").join(values, on).groupBy("u", "etype").agg(
+            *[F.avg(c).alias(c) for c in columns])
         level = agg.select(F.col("u").alias(node), "etype", F.lit(h).alias("hop"), *columns)
         out = level if out is None else out.unionByName(level)
-        values = agg.withColumnRenamed("u", "v")
+        values, on = agg.withColumnRenamed("u", "v"), ["v", "etype"]
     return out
 
 

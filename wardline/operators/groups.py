@@ -12,34 +12,38 @@ from pyspark.sql import functions as F
 PART_ROWS = 200_000
 
 
-def running_sum(df: DataFrame, keys: list[str], split: list[str], order: list,
-                value: Column, name: str) -> DataFrame:
-    """Inclusive running sum of ``value`` per key in the order (split, order).
-
-    ``split`` columns are the leading part of the order. Rows are windowed per
-    (key, split) part. The parts' own running sum is taken the same way, one
-    split column less at a time, so each window stays as small as one part.
+def running_sums(df: DataFrame, keys: list[str], split: list[str], order: list,
+                 values: dict[str, Column]) -> DataFrame:
+    """Inclusive running sums per key in the order (split, order).
+
+    ``split`` columns are the leading part of the order; they and the keys must
+    not be null. Rows are windowed per (key, split) part. The parts' own running
+    sums are taken the same way, one split column less at a time, so each window
+    stays as small as one part.
     """
-    v, local, offset = f"__{name}_v", f"__{name}_l", f"__{name}_o"
+    temp = {n: f"__{n}_v" for n in values}
+    valued = df.withColumns({temp[n]: c for n, c in values.items()})
     window = (Window.partitionBy(*keys, *split).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, 0))
-    valued = df.withColumn(v, value)
-    inside = valued.withColumn(local, F.sum(v).over(window)).drop(v)
+    # Spread by part, not by key alone: an input that is already placed by key
+    # would otherwise satisfy the window and leave a hot key in one task.
+    spread = valued.repartition(*keys, *split) if split else valued
+    local = spread.withColumns({n: F.sum(temp[n]).over(window) for n in values}).drop(*temp.values())
     if not split:
-        return inside.withColumnRenamed(local, name)
-    parts = valued.groupBy(*keys, *split).agg(F.sum(v).alias("__part"))
-    sums = running_sum(parts, keys, split[:-1], [split[-1]], F.col("__part"), "__upto")
-    offsets = sums.select(*[F.col(c).alias(f"__o_{c}") for c in keys + split],
-                          (F.col("__upto") - F.col("__part")).alias(offset))
-    same = [inside[c].eqNullSafe(offsets[f"__o_{c}"]) for c in keys + split]
-    return inside.join(offsets, same, "left").select(
-        *[inside[c] for c in df.columns], (F.col(local) + F.col(offset)).alias(name))
+        return local
+    parts = valued.groupBy(*keys, *split).agg(*[F.sum(t).alias(t) for t in temp.values()])
+    upto = running_sums(parts, keys, split[:-1], [split[-1]],
+                        {f"__{n}_u": F.col(t) for n, t in temp.items()})
+    offsets = upto.select(*keys, *split, *[(F.col(f"__{n}_u") - F.col(t)).alias(f"__{n}_o")
+                                           for n, t in temp.items()])
+    joined = local.join(offsets, keys + split, "left")
+    return joined.select(*df.columns, *[(F.col(n) + F.col(f"__{n}_o")).alias(n) for n in values])
 
 
 def ordered_rank(df: DataFrame, keys: list[str], split: list[str], order: list,
                  name: str = "rank") -> DataFrame:
     """1-based row number per key in the order (split, order); the order must be total."""
-    return running_sum(df, keys, split, order, F.lit(1).cast("bigint"), name)
+    return running_sums(df, keys, split, order, {name: F.lit(1).cast("bigint")})
 
 
 def first_n(df: DataFrame, keys: list[str], order: list, n: int, name: str = "rank") -> DataFrame:
@@ -60,7 +64,8 @@ def group_positions(df: DataFrame, keys: list[str], node: str, seed: int = 0,
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(size))
     sized = df.join(sizes, keys)
     n_parts = F.ceil(F.col(size) / F.lit(part_rows)).cast("bigint")
-    sized = sized.withColumn("__part", F.pmod(h, n_parts))
+    # placed by (key, part): the join alone would keep a hot key in one task
+    sized = sized.withColumn("__part", F.pmod(h, n_parts)).repartition(*keys, "__part")
     part_sizes = (sized.filter(F.col(size) > part_rows)
                   .groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n")))
     w_before = Window.partitionBy(*keys).orderBy("__part")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.rounding import safe_ratio
+from ..session import cut
 
 FIRST_YEAR = 1900
 BITS = 60
@@ -153,6 +154,8 @@ def history_features(people: DataFrame, ballots: DataFrame, target: int, ref_yea
         share("n_poll").alias("hist_share_pollsite"),
         (F.col(age) - (ref_year - target)).alias("hist_age_at_target"),
         F.col("label").alias(f"y_voted_general_{target}"))
+    # one row per person from one pass over the ballots; the group means read it again
+    feats = cut(feats)
     for group, name in ((household, "hist_hh_general_rate_8_excl"),
                         (ed, "hist_ed_general_rate_8_excl")):
         feats = mean_of_others(feats, group, "hist_general_rate_8", name)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rounding import safe_ratio
 from ..functions.scores import score_band
-from .groups import running_sum
+from .groups import running_sums
 
 EPS = 1e-7
 
@@ -31,9 +31,8 @@ def ranking_metrics(df: DataFrame, y: str = "y", p: str = "p",
     per = df.groupBy(*keys, F.col(p).cast("double").alias("p")).agg(
         F.sum(F.col(y).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n"))
     per = _with_levels(per.withColumn("neg", F.col("n") - F.col("pos")), "p")
-    split = ["__b1", "__b2"]
-    run = running_sum(per, keys, split, ["p"], F.col("neg"), "neg_to")
-    run = running_sum(run, keys, split, ["p"], F.col("pos"), "pos_to")
+    run = running_sums(per, keys, ["__b1", "__b2"], ["p"],
+                       {"neg_to": F.col("neg"), "pos_to": F.col("pos")})
     totals = per.groupBy(*keys).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     if keys:
         run = run.join(totals, keys)

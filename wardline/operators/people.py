@@ -35,10 +35,12 @@ def unparseable_households(parsed: DataFrame) -> DataFrame:
 
 def number_people(people: DataFrame, household: str = "household_row", member: str = "member",
                   block: int = 10_000, name: str = "person_row") -> DataFrame:
-    """0-based sequential person key in file order, counted block by block."""
-    blocked = people.withColumn("__block", F.floor(F.col(household) / F.lit(block)))
-    out = ordered_rank(blocked, [], ["__block"], [household, member], name)
-    return out.withColumn(name, F.col(name) - 1).drop("__block")
+    """0-based sequential person key in file order, counted in blocks of blocks."""
+    h = F.col(household)
+    blocked = people.withColumns({"__b1": F.floor(h / F.lit(block * block)),
+                                  "__b2": F.floor(h / F.lit(block))})
+    out = ordered_rank(blocked, [], ["__b1", "__b2"], [household, member], name)
+    return out.withColumn(name, F.col(name) - 1).drop("__b1", "__b2")
 
 
 def with_person_ids(people: DataFrame) -> DataFrame:

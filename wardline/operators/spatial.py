@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import geometry
 from ..functions.rounding import safe_ratio
+from ..session import cut
 from .groups import first_n
 
 
@@ -76,8 +77,9 @@ def nearest_points(points: DataFrame, point_id: str, k: int = C.KNN_K, max_level
     def fine(c: Column, low: Column) -> Column:
         return F.least(F.lit(side - 1), F.floor((c - low) / F.col("box.w") * side)).cast("bigint")
 
-    p = p.withColumns({"fx": fine(F.col("x"), F.col("box.x")),
-                       "fy": fine(F.col("y"), F.col("box.y"))})
+    # counted, searched and offered below, so the placed points are stored once
+    p = cut(p.withColumns({"fx": fine(F.col("x"), F.col("box.x")),
+                           "fy": fine(F.col("y"), F.col("box.y"))}))
 
     def at_level(c: str) -> Column:
         return F.call_function("shiftright", F.col(c), F.lit(max_level) - F.col("level"))

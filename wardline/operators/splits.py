@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from .groups import running_sum
+from .groups import running_sums
 
 # A split bucket: the leading bits of the shuffle hash.
 _HASH_BITS = 10
@@ -21,8 +21,8 @@ def split_by_people(people: DataFrame, seed: int, train: float = 0.8, val: float
     """(ed_key, county, n_persons, split): districts in hash order within the county,
     cut where the running person count passes the shares. A district is never divided."""
     eds = people.groupBy(ed, county).agg(F.count(F.lit(1)).alias("n_persons"))
-    run = running_sum(_shuffled(eds, seed, ed), [county], ["__hb"], ["__h", ed],
-                      F.col("n_persons"), "cum")
+    run = running_sums(_shuffled(eds, seed, ed), [county], ["__hb"], ["__h", ed],
+                       {"cum": F.col("n_persons")})
     totals = eds.groupBy(county).agg(F.sum("n_persons").alias("total"))
     j = run.join(totals, county)
     split = (F.when(F.col("cum") <= train * F.col("total"), "train")
@@ -33,8 +33,8 @@ def split_by_people(people: DataFrame, seed: int, train: float = 0.8, val: float
 def split_by_count(people: DataFrame, seed: int, ed: str = "ed_key_simple") -> DataFrame:
     """Variant: 80/10/10 of all districts by number, in hash order."""
     eds = people.select(ed).distinct()
-    run = running_sum(_shuffled(eds, seed, ed), [], ["__hb"], ["__h", ed],
-                      F.lit(1).cast("bigint"), "rank")
+    run = running_sums(_shuffled(eds, seed, ed), [], ["__hb"], ["__h", ed],
+                       {"rank": F.lit(1).cast("bigint")})
     n = eds.agg(F.count(F.lit(1))).scalar()
     split = (F.when(F.col("rank") <= F.floor(n * 0.8), "train")
              .when(F.col("rank") <= F.floor(n * 0.9), "val").otherwise("test"))

@@ -81,9 +81,9 @@ _POLY_SQL = """poly AS (SELECT 'G' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') A
 
 
 @query("point_in_polygon", "J7 S12 D12", "vec_id:i geoid:s",
-       f"""WITH {_POLY_SQL} SELECT vec_id, min(geoid) AS geoid FROM pt LEFT JOIN poly
-       ON lon > x AND lon < x + w AND lat > y AND lat < y + w AND (s % 2 = 0 OR (lon - x) + (lat - y) < w)
-       GROUP BY 1""")
+       f"""WITH {_POLY_SQL}, g AS (SELECT vec_id, min(geoid) AS geoid FROM pt JOIN poly
+         ON lon > x AND lon < x + w AND lat > y AND lat < y + w AND (s % 2 = 0 OR (lon - x) + (lat - y) < w)
+         GROUP BY 1) SELECT vec_id, geoid FROM pt LEFT JOIN g USING (vec_id)""")
 def _(v):
     return spatial.attach_polygon(v.points, spatial.locate_in_polygons(v.points, v.polygons, base=0.03))
 
@@ -208,7 +208,7 @@ def _(v):
 
 @query("combined_edges", "G7 W6", "u:i v:i etype:s", f"WITH {_EDGE_SQL} SELECT * FROM way")
 def _(v):
-    return graph.both_directions(v.edges())
+    return v.directed_edges
 
 
 @query("edge_counts", "A44", "etype:s edges:i", f"WITH {_EDGE_SQL} SELECT etype, count(*) AS edges FROM edge GROUP BY 1")
@@ -219,7 +219,7 @@ def _(v):
 @query("intra_cluster_edges", "G9", "cluster:i edges:i",
        f"WITH {_EDGE_SQL} SELECT cluster, count(*) AS edges FROM inner_way GROUP BY 1")
 def _(v):
-    e = graph.intra_cluster_edges(graph.both_directions(v.edges()), v.clusters)
+    e = graph.intra_cluster_edges(v.directed_edges, v.clusters)
     return e.groupBy("cluster").agg(F.count(F.lit(1)).alias("edges"))
 
 
@@ -234,12 +234,12 @@ _WALK_COLUMNS = "person_row:i rw1:d rw2:d rw3:d"
 
 @query("random_walk_encoding", "G10", _WALK_COLUMNS, _WALK_SQL)
 def _(v):
-    return graph.random_walk_encoding(graph.both_directions(v.edges()), v.clusters, steps=3)
+    return graph.random_walk_encoding(v.directed_edges, v.clusters, steps=3)
 
 
 @query("random_walk_by_join", "G10", _WALK_COLUMNS, _WALK_SQL)
 def _(v):
-    return graph.random_walk_encoding(graph.both_directions(v.edges()), v.clusters, steps=3, max_edges=0)
+    return graph.random_walk_encoding(v.directed_edges, v.clusters, steps=3, max_edges=0)
 
 
 @query("neighbor_means", "G12", "person_row:i etype:s hop:i age:d tier_count:d",
@@ -250,7 +250,7 @@ def _(v):
        SELECT u AS person_row, etype, 1 AS hop, age, tier_count FROM h1
        UNION ALL SELECT u, etype, 2, age, tier_count FROM h2""")
 def _(v):
-    return graph.neighbor_means(graph.both_directions(v.edges()), v.people, ["age", "tier_count"], hops=2)
+    return graph.neighbor_means(v.stored("directed_edges"), v.stored("people"), ["age", "tier_count"], hops=2)
 
 
 @query("sampled_edges", "G1 G3 G4 G5 G6 G7", "etype:s edges:i ordered:i")

@@ -298,6 +298,11 @@ class Views:
             "person_row", "ed_key", "y_party", "age", "tier_count", F.col("y_turnout").alias("y"),
             F.round(p, 2).alias("p"))
 
+    @property
+    def directed_edges(self) -> DataFrame:
+        from ..operators import graph
+        return graph.both_directions(self.edges())
+
     def edges(self) -> DataFrame:
         """Fixed typed edges: household cliques and three kinds of chains over the keys."""
         from ..operators import graph
