@@ -24,13 +24,16 @@ def build_session(app: str = "wardline", master: str | None = None, **conf) -> S
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only if none is set."""
+    """The cluster's shared checkpoint folder. A temporary folder is used only in
+    local mode, where driver and executors are one machine."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         configured = tempfile.mkdtemp(prefix="wardline-checkpoint-")
     sc.setCheckpointDir(configured)
     return configured
