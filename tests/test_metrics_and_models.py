@@ -32,6 +32,15 @@ def test_ranking_of_one_class_has_no_auc(spark):
     assert metrics.binary_metrics(df).first()["auc"] is None
 
 
+def test_exact_percentiles_equal_numpy(spark):
+    rng = np.random.default_rng(3)
+    a, b = np.round(rng.normal(0, 5, 400), 1), np.array([7.0])
+    df = spark.createDataFrame([("a", float(x)) for x in a] + [("b", 7.0), ("b", None)], "k string, x double")
+    got = {r["k"]: r for r in metrics.exact_percentiles(df, ["k"], "x", {"q1": .1, "q5": .5, "q9": .93}).collect()}
+    for k, v in (("a", a), ("b", b)):
+        assert [got[k][n] for n in ("q1", "q5", "q9")] == pytest.approx(list(np.percentile(v, [10, 50, 93])))
+
+
 def test_bins_include_both_ends(spark):
     df = spark.createDataFrame([(1, 0.0), (1, 1.0), (0, 1 / 15), (0, 0.5)], "y int, p double")
     got = {r["bin"]: r["n"] for r in metrics.reliability(df).collect()}
@@ -77,7 +86,7 @@ def planted(spark):
         F.when(n % 7 == 0, None).otherwise((n * 13 % 400).cast("double")).alias("fec_recency_days"),
         F.when(n % 11 == 0, None).otherwise(F.concat(F.lit("T"), (n % 4).cast("string"))).alias("town"),
         F.element_at(F.array(*map(F.lit, ["DEM", "REP", "BLK", "OTH"])), (n % 4 + 1).cast("int")).alias("party"),
-        F.when(n % 10 < 8, "train").when(n % 10 == 8, "val").otherwise("test").alias("split"))
+        F.when(F.floor(n / 7) % 10 < 8, "train").when(F.floor(n / 7) % 10 == 8, "val").otherwise("test").alias("split"))
     return df.withColumns({
         "y_turnout": F.when(k % 23 == 0, -1).otherwise((F.col("hist_n_generals") + k % 2 >= 3).cast("int")),
         "y_party": F.when(F.col("party") == "BLK", -1).when(F.col("town") == "T0", 0).when(F.col("age") > 50, 1).otherwise(2)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.rounding import safe_ratio
+from .metrics import exact_percentiles
 
 # --- fixed values: which feature may inform which task ------------------------
 # encoder: both tasks; turnout_head / party_head: one task only.
@@ -148,18 +149,12 @@ def train_statistics(df: DataFrame, columns: list[str], split: str = "split") ->
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"))
                       for c in columns])
     long = train.select(F.explode(pairs).alias("p")).select("p.*")
-    med = long.groupBy("feature").agg(
-        F.percentile("x", 0.5).alias("median"), F.count("x").alias("n"),
-        F.sum("x").alias("s"), F.count(F.lit(1)).alias("rows"),
-        F.sum(F.col("x") * F.col("x")).alias("q"))
-    missing = F.col("rows") - F.col("n")
-    mean = (F.col("s") + missing * F.col("median")) / F.col("rows")
-    filled = long.join(med.select("feature", "median"), "feature").withColumn(
-        "x", F.coalesce("x", "median"))
-    spread = filled.groupBy("feature").agg(F.stddev_samp("x").alias("sd"))
-    return med.join(spread, "feature").select(
-        "feature", "median", mean.alias("mean"),
-        F.when(F.coalesce(F.col("sd"), F.lit(0.0)) == 0, 1.0).otherwise(F.col("sd")).alias("std"))
+    med = exact_percentiles(long, ["feature"], "x", {"median": 0.5})
+    filled = long.join(med, "feature", "left").withColumn("x", F.coalesce("x", "median"))
+    sd = F.coalesce(F.stddev_samp("x"), F.lit(0.0))
+    return filled.groupBy("feature").agg(
+        F.max("median").alias("median"), F.avg("x").alias("mean"),
+        F.when(sd == 0, 1.0).otherwise(sd).alias("std"))
 
 
 def standardize(df: DataFrame, columns: list[str], stats: DataFrame, key: str) -> DataFrame:

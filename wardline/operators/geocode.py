@@ -93,11 +93,14 @@ def geocode(addresses: DataFrame, segments: DataFrame, county: str = "county",
                                              "ordinal", "pts")
     frac = F.when(F.col("hi") != F.col("lo"), (F.col("number") - F.col("lo"))
                   / F.when(F.col("hi") != F.col("lo"), F.col("hi") - F.col("lo"))).otherwise(0.5)
-    points = chosen.join(shapes, ["county", "seg_street", "ordinal"]).withColumn(
-        "p", geometry.interpolate_along(F.col("pts"), frac)).select(
+    # the lambdas bind the point and each coordinate once
+    point = F.transform(F.array(geometry.interpolate_along(F.col("pts"), frac)),
+                        lambda p: F.array(p["x"].cast("double"), p["y"].cast("double")))
+    rounded = F.transform(F.flatten(point), lambda c: round_half_even(c, 5))
+    points = chosen.join(shapes, ["county", "seg_street", "ordinal"]).withColumn("xy", rounded).select(
         F.col("county").alias("__county"), F.col("norm").alias("__norm"),
         F.col("number").alias("__number"), F.col("zip").alias("__zip"),
-        round_half_even(F.col("p.x"), 5).alias("lon"), round_half_even(F.col("p.y"), 5).alias("lat"))
+        F.get("xy", F.lit(0)).alias("lon"), F.get("xy", F.lit(1)).alias("lat"))
     keys = ["__county", "__norm", "__number", "__zip"]
     base = [c for c in addresses.columns if c not in ("lon", "lat")]
     return keyed.join(points, keys, "left").select(*[keyed[c] for c in base], "lon", "lat")
