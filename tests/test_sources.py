@@ -119,3 +119,43 @@ def test_voter_file_to_features_end_to_end(spark, voter_files, tmp_path):
     assert payload == str(tmp_path / "site")
     assert spark.read.json(payload).count() == 2
     assert people.unparseable_households(people.with_people(h)).first()["without_people"] == 1
+
+
+def test_graph_job_stores_every_table(spark, tmp_path):
+    n = F.col("id")
+    p = spark.range(90).select(
+        n.alias("person_row"), F.floor(n / 3).alias("household_row"), F.lit("C").alias("county"), F.lit("T").alias("city"),
+        F.lit("MAIN ST").alias("street_name"), F.floor(n / 6).alias("address_number"),
+        F.concat(F.lit("E"), (n % 5).cast("string")).alias("ed_key"),
+        (-73 - F.floor(n / 6) * 0.01).alias("lon"), F.lit(40.0).alias("lat"))
+    d = p.select("person_row", F.lit("Club").alias("committee"))
+    out = jobs.build_graph(p, d, str(tmp_path / "g"), seed=3, steps=2)
+    assert out["walks"].count() == 90 and out["clusters"].select("cluster").distinct().count() == 1
+    assert out["walks"].filter("rw1 <> 0 or rw2 <= 0 or rw2 > 1").count() == 0
+    assert {r["etype"] for r in out["edges"].select("etype").distinct().collect()} >= {"household", "same_address", "spatial_knn"}
+
+
+def test_match_refresh_job(spark, tmp_path):
+    import datetime as dt
+    now = dt.datetime(2024, 6, 1)
+    voters = spark.createDataFrame([("k1", "ANN ROE", "TOWN", "1"), ("k2", "BO DOE", "TOWN", "1")], "key string, name string, city string, zip string")
+    recs = spark.createDataFrame([("ROE", ["ANN", "ROE"], "TOWN", "1", "2024-01-01", 5.0, "C", 0), ("DOE", ["BO", "DOE"], "X", "1", "", 1.0, "C", 1)],
+                                 "last string, tokens array<string>, city string, zip string, date string, amount double, committee string, ordinal long")
+    entries = spark.createDataFrame([("k2", 1, 0, now - dt.timedelta(days=2), "api", False)],
+                                    "key string, n_confirmed long, n_possible long, checked_at timestamp, source string, timeout boolean")
+    stored = spark.createDataFrame([("k2", "confirmed", "2020-01-01", 9.0, "D", 7)],
+                                   "key string, status string, date string, amount double, committee string, ordinal long")
+    out = jobs.refresh_matches(voters, recs, entries, stored, now, str(tmp_path / "m"))
+    assert {(r["key"], r["origin"]) for r in out["entries"].collect()} == {("k1", "found"), ("k2", "existing")}
+    assert {(r["key"], r["amount"]) for r in out["records"].collect()} == {("k1", 5.0), ("k2", 9.0)}
+
+
+def test_prospect_job(spark, voter_files, tmp_path):
+    import datetime as dt
+    h = files.read_households(spark, voter_files).withColumnRenamed("ordinal", "household_row")
+    p = people.number_people(people.explode_people(people.with_people(h)))
+    gifts = spark.createDataFrame([("ROE BO|TOWN|11797", "fec", "2025-01-01", 99.0, "Progressive Fund", True, 0)],
+                                  "donor_key string, source string, donation_date string, amount double, committee string, confirmed boolean, ordinal long")
+    jobs.build_prospect_list(p, gifts, 12, dt.date(2026, 7, 17), str(tmp_path / "p"))
+    r = spark.read.csv(str(tmp_path / "p"), header=True).collect()
+    assert len(r) == 1 and (r[0]["first_name"], r[0]["address"], r[0]["donor_score"]) == ("Bo", "17B Main Street", str(40 + 15 + 12 + 2 + 10 + 5))

@@ -159,3 +159,10 @@ def contains_any(c: Column, words: list[str]) -> Column:
     for w in words:
         hit = hit | upper.contains(w)
     return hit
+
+
+def postal_address(number: Column, street: Column) -> Column:
+    """Number and street, or the street alone when the number is missing."""
+    n = strip(F.coalesce(number.cast("string"), F.lit("")))
+    s = strip(F.coalesce(street, F.lit("")))
+    return F.when((n != "") & (n != "null"), strip(F.concat_ws(" ", n, s))).otherwise(s)

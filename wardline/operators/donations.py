@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions import ids, scores
+from ..functions import ids, scores, text
 from ..functions.rounding import round_half_even, safe_ratio
 from .groups import chunked_lists
 
@@ -197,16 +197,31 @@ def prospect_summary(records: DataFrame, ref_date: dt.date, key: str = "person_r
                 (days <= C.RECENCY_WINDOW_DAYS).cast("int"), F.lit(0))))
 
 
+def prospect_people(people: DataFrame, district: int | None = None,
+                    party: str = C.UNAFFILIATED) -> DataFrame:
+    """Unaffiliated people (of one assembly district) with split name, postal address
+    and readable voting history."""
+    p = people.filter(F.col("party") == party)
+    if district is not None:
+        p = p.filter(F.col("assembly_district") == district)
+    given, family = text.split_given_family(F.col("name"))
+    return p.withColumns({
+        "first_name": given, "last_name": family, "zip": text.zip_plain(F.col("zip_code")),
+        "address": text.postal_address(F.col("address_number"), F.col("street_name")),
+        "num_elections_voted": text.history_count(F.col("history")),
+        "voting_history": text.history_text(F.col("history"))})
+
+
 def prospect_detail(records: DataFrame, key: str = "person_row", chunk: int = 500) -> DataFrame:
     """Newest-first text of every record, in numbered parts of at most ``chunk`` records,
     so that one prolific donor never becomes one giant cell."""
-    text = F.array_join(F.filter(
+    line = F.array_join(F.filter(
         F.array("date", F.format_string("$%.2f", F.col("amount")), "committee",
                 F.concat(F.lit("["), F.col("source"), F.lit("]"))), lambda p: p != ""), " ")
     back = records.withColumn("__age", -F.coalesce(
         F.unix_date(parse_date(F.col("date"))), F.lit(-800_000)))
     lists = chunked_lists(back, [key], ["__age"], ["seq", "source", "amount", "committee"],
-                          text, chunk, "entries")
+                          line, chunk, "entries")
     return lists.select(key, "part", F.array_join("entries", "; ").alias("donations_detail"))
 
 
@@ -306,8 +321,8 @@ def search_donations(donations: DataFrame, query: str, by_committee: bool = Fals
     if by_committee:
         hit = F.upper("committee").contains(q) & F.col("confirmed")
     else:
-        text = f"|{q}" if q.isdigit() and 4 <= len(q) <= 5 else q
-        hit = F.upper("donor_key").contains(text)
+        needle = f"|{q}" if q.isdigit() and 4 <= len(q) <= 5 else q
+        hit = F.upper("donor_key").contains(needle)
     return donations.filter(hit).orderBy(
         F.col("donation_date").desc_nulls_first(), "donor_key", "ordinal").limit(limit)
 

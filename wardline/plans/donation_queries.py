@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..operators import donations, matching, metrics
+from ..operators import donations, matching, metrics, people
 from ..sources import files
 from .registry import query
 from .standin import TARGET, Views
@@ -263,6 +263,18 @@ def _(v):
     return donations.prospect_list(p, donations.prospect_summary(recs, REF))
 
 
+@query("prospect_people", "F16 K10", "person_row:i first_name:s last_name:s address:s zip:s num_elections_voted:i",
+       """SELECT p.person_row, substr(name, 1, 1) || lower(substr(name, 2, 1)) AS first_name,
+       CASE WHEN contains(name, '(X)') THEN '(X) ' ELSE '' END || split_part(name, ' ', -1)[1]
+         || lower(split_part(name, ' ', -1)[2:]) AS last_name,
+       (household_row % 400 + 1) || ' Street' || (household_row % 40) || ' Avenue' AS address, h.zip,
+       n_ballots AS num_elections_voted FROM person p JOIN household h USING (household_row)
+       WHERE party = 'BLK' AND h.assembly_district = 4""")
+def _(v):
+    p = people.number_people(people.explode_people(people.with_people(v.packed)), block=500)
+    return donations.prospect_people(p, 4)
+
+
 @query("prospect_detail", "A6", "person_row:i part:i donations_detail:s",
        f"""WITH {_REC_SQL} SELECT person_row, (r - 1) // 10 AS part,
        string_agg(array_to_string(list_filter_blank, ' '), '; ' ORDER BY r) AS donations_detail

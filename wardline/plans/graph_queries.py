@@ -348,16 +348,24 @@ def _(v):
     return features.encode_category(v.people.withColumn("city", F.nullif("city", F.lit("NATION_5"))), "city")
 
 
-@query("task_features", "P13 P14 D16", "task:s numeric:i categorical:i n_people:i",
-       """SELECT task, n AS numeric, c AS categorical, (SELECT count(*) FROM person) AS n_people
-       FROM (VALUES ('turnout', 1, 6), ('party', 2, 6)) t(task, n, c)""")
-def _(v):
-    have = v.people.columns
-    rows = [(t, *map(len, features.task_features(t, have)[:2])) for t in ("turnout", "party")]
-    pairs = F.array(*[F.struct(F.lit(t).alias("task"), F.lit(n).alias("numeric"), F.lit(c).alias("categorical"))
-                      for t, n, c in rows])
-    return v.people.agg(F.count(F.lit(1)).alias("n_people")).select("n_people", F.explode(pairs).alias("r")).select(
-        "n_people", "r.*")
+@query("task_features", "P13 P14 D16", "task:s feature:s kind:s filled:i",
+       """WITH f AS (SELECT count(age) AS age, count(tier_count) AS tier_count, count(party) AS party,
+         count(tier_letter) AS tier_letter, count(county) AS county, count(nullif(city, 'NATION_5')) AS city,
+         count(congressional_district) AS congressional_district, count(senate_district) AS senate_district,
+         count(assembly_district) AS assembly_district FROM person),
+       u AS (UNPIVOT f ON COLUMNS(*) INTO NAME feature VALUE filled)
+       SELECT task, feature, CASE WHEN feature IN ('age', 'tier_count') THEN 'numeric' ELSE 'categorical' END AS kind,
+       filled FROM u, (VALUES ('turnout'), ('party')) t(task)
+       WHERE NOT (task = 'turnout' AND feature IN ('tier_count', 'tier_letter')) AND NOT (task = 'party' AND feature = 'party')""")
+def _(v):
+    p = v.people.withColumn("city", F.nullif("city", F.lit("NATION_5")))
+    chosen = [(t, f, kind) for t in ("turnout", "party")
+              for kind, names in zip(("numeric", "categorical"), features.task_features(t, p.columns))
+              for f in names]
+    counts = p.agg(*[F.count(f).alias(f) for f in {f for _, f, _ in chosen}])
+    return counts.select(F.explode(F.array(*[F.struct(
+        F.lit(t).alias("task"), F.lit(f).alias("feature"), F.lit(kind).alias("kind"),
+        F.col(f).alias("filled")) for t, f, kind in chosen])).alias("r")).select("r.*")
 
 
 _SCORED_SQL = """scored AS (SELECT person_row, ed_key, y_party, age, tier_count, y_turnout AS y,

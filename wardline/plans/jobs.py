@@ -86,3 +86,17 @@ def refresh_matches(voters: DataFrame, records: DataFrame, entries: DataFrame, s
                                f"{folder}/entries")
     kept = matching.merge_records(stored, found, merged)
     return {"entries": merged, "records": sinks.write_stage(kept, f"{folder}/records")}
+
+
+def build_prospect_list(persons: DataFrame, gifts: DataFrame, district: int, ref_date: dt.date,
+                        path: str) -> None:
+    """Scored unaffiliated people of one district as CSV, best first."""
+    prospects = donations.prospect_people(persons, district)
+    records = donations.lookup_by_both_names(prospects, gifts)
+    ranked = donations.prospect_list(prospects, donations.prospect_summary(records, ref_date))
+    columns = ["first_name", "last_name", "address", "city", "zip", "age", "party",
+               "assembly_district", "tier", "tier_letter", "tier_count", "num_elections_voted",
+               "voting_history", "has_donation", "total_donated", "fec_total", "nyboe_total",
+               "num_donations", "last_donation_date", "committees", "dem_donor", "dem_total",
+               "dem_committees", "recent_donor", "donor_score"]
+    sinks.write_list(ranked.select(*columns), path)
