@@ -15,6 +15,8 @@ from ..session import cut
 
 FIRST_YEAR = 1900
 BITS = 60
+# a rate over at most 8 years is a multiple of 1/lcm(1..8)
+RATE_UNIT = 840
 
 
 def before_target(target: int, year: str = "year", etype: str = "etype") -> Column:
@@ -187,15 +189,19 @@ def _runs(g: list[Column], span: Column) -> Column:
     return F.aggregate(steps, start, step)
 
 
-def mean_of_others(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
+def mean_of_others(df: DataFrame, group: str, value: str, name: str,
+                   unit: int = RATE_UNIT) -> DataFrame:
     """Group mean without the row itself; 0 for a group of one.
 
-    Sums are joined back instead of windowed: the aggregate combines before the
-    shuffle, and the join lets AQE split a group that holds much of the data.
+    Values are multiples of 1/unit, so they are summed as whole numbers and the
+    result does not depend on the row order. Sums are joined back instead of
+    windowed: the aggregate combines before the shuffle, and the join lets AQE
+    split a group that holds much of the data.
     """
-    sums = df.groupBy(group).agg(F.sum(value).alias("__s"), F.count(F.lit(1)).alias("__n"))
+    whole = F.round(F.col(value) * unit).cast("bigint")
+    sums = df.groupBy(group).agg(F.sum(whole).alias("__s"), F.count(F.lit(1)).alias("__n"))
     return (df.join(sums, group, "left")
-            .withColumn(name, safe_ratio(F.col("__s") - F.col(value), F.col("__n") - 1,
+            .withColumn(name, safe_ratio(F.col("__s") - whole, (F.col("__n") - 1) * unit,
                                          F.lit(0.0)))
             .drop("__s", "__n"))
 

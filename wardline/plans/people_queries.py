@@ -96,10 +96,10 @@ _HISTORY_COLUMNS = (
 
 _HISTORY_SQL = """
 SELECT a.*,
-  CASE WHEN count(*) OVER hh > 1 THEN (sum(hist_general_rate_8) OVER hh - hist_general_rate_8)
-    / (count(*) OVER hh - 1) ELSE 0 END AS hist_hh_general_rate_8_excl,
-  CASE WHEN count(*) OVER ed > 1 THEN (sum(hist_general_rate_8) OVER ed - hist_general_rate_8)
-    / (count(*) OVER ed - 1) ELSE 0 END AS hist_ed_general_rate_8_excl
+  CASE WHEN count(*) OVER hh > 1 THEN (sum(round(hist_general_rate_8 * 840)) OVER hh
+    - round(hist_general_rate_8 * 840)) / ((count(*) OVER hh - 1) * 840) ELSE 0 END AS hist_hh_general_rate_8_excl,
+  CASE WHEN count(*) OVER ed > 1 THEN (sum(round(hist_general_rate_8 * 840)) OVER ed
+    - round(hist_general_rate_8 * 840)) / ((count(*) OVER ed - 1) * 840) ELSE 0 END AS hist_ed_general_rate_8_excl
 FROM (
   SELECT p.person_row, p.household_row, p.ed_key,
     n_g AS hist_n_generals, n_p AS hist_n_primaries, n_g + n_p AS hist_n_votes,
