@@ -1,20 +1,16 @@
 """Helpers that the operators share: stored tables, batch slicing, components."""
 from __future__ import annotations
 
-import sys
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import cloudpickle
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-# Workers need not have this package: its functions travel by value.
-cloudpickle.register_pickle_by_value(sys.modules[__package__])
-
 #: Bytes of text that one numpy pass takes; bounds a worker's memory.
 SLICE_BYTES = 4 << 20
 
@@ -35,7 +31,7 @@ def partitions(spark: SparkSession) -> int:
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that each holds about ``limit`` bytes of text, or one row."""
     for batch in batches:
-        lengths = pa.compute.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
+        lengths = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
         lo, size = 0, 0
         for i, n in enumerate(lengths):
             if size and size + n > limit:
