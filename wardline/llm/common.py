@@ -4,6 +4,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -59,3 +60,26 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             return e.select(F.col("a").alias("id"), F.col("b").alias("component"))
         before = now
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Runs of rows that agree in the first ``keys`` columns, from a partition sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = np.zeros(b.num_rows, bool)
+        for k in range(keys):
+            col = b.column(k)
+            new[1:] |= pc.fill_null(pc.not_equal(col.slice(1), col.slice(0, b.num_rows - 1)), True).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(new)
+        if held and any(held[-1].column(k)[-1] != b.column(k)[0] for k in range(keys)):
+            yield pa.Table.from_batches(held)
+            held = []
+        lo = 0
+        for c in cuts:
+            yield pa.Table.from_batches([*held, b.slice(lo, c - lo)])
+            held, lo = [], c
+        held.append(b.slice(lo))
+    if held:
+        yield pa.Table.from_batches(held)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import packing, quality
+from . import jaccard, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -33,3 +33,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op1_packing")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"))
+
+
+@_query("op2_ngram_jaccard_join")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_groups(_table(spark, folder, "documents"))
