@@ -4,9 +4,9 @@ Texts become sets of distinct word shingles; equal sets are one set from then on
 listed under the tokens of its prefix (rarest first), so any two linked sets share a list.
 Lists are worked off by relation, not pair by pair:
 
-1. The set with the fewest rare tokens leads its list; every member is compared with the
-   leader. Members that link with it answer for each other: pairs within one component
-   need no comparison.
+1. The set with the fewest rare tokens leads its list; lists of one leader become one, and
+   every member is compared with the leader. Members that link with it answer for each
+   other: pairs within one component need no comparison.
 2. Lists with several components left are cut into cells of bounded size. In a cell the
    answers come from those of its set with the fewest rare tokens: any other is that set
    less what it lacks plus what it adds, so overlaps are one product over its tokens plus
@@ -149,9 +149,10 @@ def _needed(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
-def prefix_lists(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(token, set_id, leader, meta, leader_meta): lists of at least two sets, led by the set with
-    the fewest rare tokens. ``meta`` holds size, position and share of rare tokens."""
+def leader_lists(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(leader, set_id, meta, leader_meta): the sets of all token lists that a set leads, itself
+    included. ``meta`` holds size, first position in those lists and share of rare tokens. Two
+    sets that share a prefix token share the leader of its list."""
     parts = 4 * partitions(docs.sparkSession)
     keys, counts = frequent_tokens(docs, n, parts)
 
@@ -209,7 +210,8 @@ def prefix_lists(docs: DataFrame, n: int, percent: int) -> DataFrame:
     lists = docs.select("text").mapInArrow(send, "token long, set_id long, meta long")
     lists = lists.repartition(partitions(docs.sparkSession), "token").sortWithinPartitions(
         "token", F.col("meta").bitwiseAND(255), "set_id")
-    return store(lists.mapInArrow(lead, "token long, set_id long, meta long, leader long, leader_meta long"))
+    led = lists.mapInArrow(lead, "token long, set_id long, meta long, leader long, leader_meta long")
+    return store(led.groupBy("leader", "set_id").agg(F.min("meta").alias("meta"), F.min("leader_meta").alias("leader_meta")))
 
 
 def set_texts(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -243,7 +245,7 @@ def star_links(lists: DataFrame, texts: DataFrame, n: int, percent: int) -> Data
     """(u, v): members that link with the leader of one of their lists."""
     a, b = F.shiftright("leader_meta", 33), F.shiftright("meta", 33)
     pairs = lists.where((F.col("set_id") != F.col("leader")) & (100 * F.least(a, b) >= percent * F.greatest(a, b))) \
-        .select(F.col("leader").alias("u"), F.col("set_id").alias("v")).distinct()
+        .select(F.col("leader").alias("u"), F.col("set_id").alias("v"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaders: dict[int, np.ndarray] = {}
@@ -316,13 +318,13 @@ def cell_links(lists: DataFrame, texts: DataFrame, component: DataFrame, n: int,
     named = lists.join(names, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     lead = names.select(F.col("set_id").alias("leader"), F.col("component").alias("main"))
     named = named.join(lead, "leader", "left").withColumn("other", F.coalesce("main", "leader") != F.col("component"))
-    named = store(named.select("token", "set_id", "meta", "component", "other"))
+    named = store(named.select("leader", "set_id", "meta", "component", "other"))
     size = F.shiftright("meta", 33)
-    open_lists = named.groupBy("token").agg(
+    open_lists = named.groupBy("leader").agg(
         F.count("*").alias("n"), F.sum(F.when(F.col("other"), size)).alias("others"), F.sum(F.when(~F.col("other"), size)).alias("mains")) \
         .where("n > 2 and others > 0").select(
-            "token", F.ceil(F.col("others") / CELL[0]).alias("no"), F.ceil(F.col("mains") / CELL[1]).alias("nm"))
-    rows = named.join(open_lists, "token").join(texts, "set_id").withColumn(
+            "leader", F.ceil(F.col("others") / CELL[0]).alias("no"), F.ceil(F.col("mains") / CELL[1]).alias("nm"))
+    rows = named.join(open_lists, "leader").join(texts, "set_id").withColumn(
         "i", F.pmod(F.xxhash64("set_id"), F.when(F.col("other"), F.col("no")).otherwise(F.col("nm"))))
 
     def cells(count: str, cell) -> F.Column:
@@ -354,15 +356,15 @@ def cell_links(lists: DataFrame, texts: DataFrame, component: DataFrame, n: int,
                 u, v = np.array(list(found.values())).T
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    cell = ["token", "kind", "i", "j"]
-    rows = rows.select("token", "cell.kind", "cell.i", "cell.j", "cell.left", "set_id", "meta", "component", "z")
+    cell = ["leader", "kind", "i", "j"]
+    rows = rows.select("leader", "cell.kind", "cell.i", "cell.j", "cell.left", "set_id", "meta", "component", "z")
     return rows.repartition(partitions(lists.sparkSession), *cell).sortWithinPartitions(*cell).mapInArrow(work, "u long, v long")
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row: link where 100 |A and B| >= percent |A or B|."""
     rows = store(document_sets(docs, words))
-    lists = prefix_lists(docs, words, percent)
+    lists = leader_lists(docs, words, percent)
     texts = set_texts(docs, lists.select("set_id").distinct(), words)
     star = store(star_links(lists, texts, words, percent))
     first = components(star)
