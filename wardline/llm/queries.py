@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import jaccard, packing, quality
+from . import jaccard, packing, quality, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,3 +38,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op2_ngram_jaccard_join")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_groups(_table(spark, folder, "documents"))
+
+
+@_query("op9_suffix_array_dedup")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.repeats(_table(spark, folder, "documents"))
