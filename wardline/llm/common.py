@@ -25,6 +25,14 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """A stored table in buckets of ``key``: later joins on it leave its rows in place."""
+    spark, name = df.sparkSession, f"t{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(partitions(spark), key).option(
+        "path", f"{ensure_checkpoint_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import jaccard, packing, quality, repeats
+from . import jaccard, katz, packing, quality, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -43,3 +43,8 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op9_suffix_array_dedup")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.repeats(_table(spark, folder, "documents"))
+
+
+@_query("op4_katz_scoring")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return katz.lm_scores(_table(spark, folder, "documents"))

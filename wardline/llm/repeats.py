@@ -17,7 +17,6 @@ their SHA-256 is."""
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
-from .common import groups, partitions, slices, store
+from .common import bucketed, groups, partitions, slices, store
 from .induced import suffixes
 from .words import _CODE, _DOWN, _UP, mix, text_bytes
 
@@ -140,15 +138,6 @@ def shared_segments(texts: DataFrame, length: int) -> DataFrame:
     return store(dealt.mapInArrow(pick, "doc long, gram long, at long, whole boolean"))
 
 
-def _bucketed(df: DataFrame, key: str) -> DataFrame:
-    """A stored table, dealt by ``key``: later joins on it leave it in place."""
-    spark, name = df.sparkSession, f"t{uuid.uuid4().hex}"
-    n = partitions(spark)
-    df.repartition(n, key).write.format("parquet").bucketBy(n, key).option(
-        "path", f"{ensure_checkpoint_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
-
-
 def texts_of(texts: DataFrame, found: DataFrame) -> DataFrame:
     """(doc, z, parts): the compressed text of every document in ``found`` and its segments."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +152,7 @@ def texts_of(texts: DataFrame, found: DataFrame) -> DataFrame:
     counted = found.join(many, "gram", "left")
     parts = counted.groupBy("doc").agg(F.collect_list(F.struct("at", "gram", F.when(~F.col("whole"), F.col("ways")).alias("ways"))).alias("parts"))
     packed = texts.mapInArrow(send, "doc long, z binary").dropDuplicates(["doc"])
-    return _bucketed(packed.join(parts, "doc"), "doc")
+    return bucketed(packed.join(parts, "doc").repartition(partitions(texts.sparkSession), "doc"), "doc")
 
 
 def repeated_runs(texts: DataFrame, length: int) -> DataFrame:
