@@ -56,8 +56,8 @@ def shingles(text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
         at = np.minimum(start + k, len(h) - 1)
         out = np.where(k < width, mix(out * _STEP + h[at]), out) if len(h) else out
     owner = row[start]
-    order = np.lexsort((out, owner))
-    out, owner = out[order], owner[order]
+    if len(out):
+        out = np.concatenate([np.sort(x) for x in np.split(out, np.flatnonzero(np.diff(owner)) + 1)])
     new = np.ones(len(out), bool)
     new[1:] = (out[1:] != out[:-1]) | (owner[1:] != owner[:-1])
     out, owner = out[new], owner[new]
@@ -85,16 +85,20 @@ def _fresh(ids: np.ndarray, size: np.ndarray, seen: set[int]) -> np.ndarray:
     return out
 
 
+def _key():
+    return F.xxhash64("doc_id", "text").alias("key")
+
+
 def document_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id) of every row."""
+    """(doc_id, key, n_shingles, set_id) of every row; ``key`` names its text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            token, _, size = shingles(b.column(1), n)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(set_ids(token, size))],
-                                             ["doc_id", "n_shingles", "set_id"])
+            token, _, size = shingles(b.column(2), n)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size), pa.array(set_ids(token, size))],
+                                             ["doc_id", "key", "n_shingles", "set_id"])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {ids}, n_shingles long, set_id long")
+    return docs.select("doc_id", _key(), "text").mapInArrow(run, f"doc_id {ids}, key long, n_shingles long, set_id long")
 
 
 def _count_key(token: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +175,7 @@ def leader_lists(docs: DataFrame, n: int, percent: int) -> DataFrame:
             if len(keys):
                 hit = keys[np.minimum(at, len(keys) - 1)] == key
                 known[hit] = counts[at[hit]]
-            order = np.lexsort((token, known, row))
+            order = np.argsort((row << 36) | known, kind="stable")  # tokens are in order already
             token, row = token[order], row[order]
             first = np.cumsum(size) - size
             pos = np.arange(len(token)) - first[row]
@@ -184,7 +188,7 @@ def leader_lists(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["token", "set_id", "meta", "leader", "leader_meta"]
-        last = None  # (token, set, meta, leader, leader's meta, already sent)
+        last = None  # (token, set, meta, leader, leader's meta, already sent, led by a late one)
         for b in batches:
             token, ids, meta = (b.column(k).to_numpy() for k in range(3))
             head = [np.array([x]) for x in last[:3]] if last else [np.zeros(0, np.int64)] * 3
@@ -194,6 +198,7 @@ def leader_lists(docs: DataFrame, n: int, percent: int) -> DataFrame:
             again = np.zeros(len(token), bool)
             again[1:] = same[1:] & (ids[1:] == ids[:-1])
             token, ids, meta, same = (x[~again] for x in (token, ids, meta, same))
+            late = np.concatenate([np.array([last[6]] if last else [], bool), b.column(3).to_numpy(zero_copy_only=False)])[~again]
             start = np.maximum.accumulate(np.where(same, 0, np.arange(len(token))))
             leader, leader_meta = ids[start], meta[start]
             if last:
@@ -204,31 +209,31 @@ def leader_lists(docs: DataFrame, n: int, percent: int) -> DataFrame:
             if last and last[5]:
                 multi[0] = False
             sent = bool(multi[-1]) or bool(last and last[5] and len(token) == 1)
-            last = (token[-1], ids[-1], meta[-1], leader[-1], leader_meta[-1], sent)
+            led_late = late[start]  # then no set of the list is early, and no pair needs it
+            last = (token[-1], ids[-1], meta[-1], leader[-1], leader_meta[-1], sent, led_late[-1])
+            multi &= ~led_late
             yield pa.RecordBatch.from_arrays([pa.array(x[multi]) for x in (token, ids, meta, leader, leader_meta)], names)
 
     lists = docs.select("text").mapInArrow(send, "token long, set_id long, meta long")
-    lists = lists.repartition(partitions(docs.sparkSession), "token").sortWithinPartitions(
-        "token", F.col("meta").bitwiseAND(255), "set_id")
+    # Of two linked sets the smaller has a shared token in this shorter prefix.
+    size, pos = F.shiftright("meta", 33), F.shiftright("meta", 8).bitwiseAND((1 << 25) - 1)
+    early = pos <= size - F.ceil(2 * percent * size / (100 + percent))
+    lists = lists.withColumn("late", ~early).repartition(partitions(docs.sparkSession), "token").sortWithinPartitions(
+        "token", "late", F.col("meta").bitwiseAND(255), "set_id")
     led = lists.mapInArrow(lead, "token long, set_id long, meta long, leader long, leader_meta long")
     return store(led.groupBy("leader", "set_id").agg(F.min("meta").alias("meta"), F.min("leader_meta").alias("leader_meta")))
 
 
-def set_texts(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(set_id, z): one compressed text of each wanted set."""
+def set_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(set_id, z): the compressed text of each key in ``wanted(key, set_id)``."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         pack = zstandard.ZstdCompressor(level=1)
         for b in slices(batches):
-            token, _, size = shingles(b.column(0), n)
-            ids = set_ids(token, size)
-            use = np.flatnonzero(_fresh(ids, size, seen))
-            texts = b.column(0).take(pa.array(use)).cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(ids[use]), pa.array([pack.compress(t) for t in texts], pa.binary())],
-                                             ["set_id", "z"])
+            z = [pack.compress(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z, pa.binary())], ["key", "z"])
 
-    texts = docs.select("text").mapInArrow(send, "set_id long, z binary")
-    return store(texts.join(wanted, "set_id").groupBy("set_id").agg(F.first("z").alias("z")))
+    texts = docs.where("text is not null").select(_key(), "text").mapInArrow(send, "key long, z binary")
+    return store(texts.join(wanted, "key").groupBy("key").agg(F.first("set_id").alias("set_id"), F.first("z").alias("z")).drop("key"))
 
 
 def _sets(z: list[bytes], n: int) -> list[np.ndarray]:
@@ -312,18 +317,42 @@ def cell_pairs(a: list[np.ndarray], b: list[np.ndarray], base: np.ndarray, meta_
         yield i[x], j[y]
 
 
+def _with_partner(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows of lists, ordered by size, for which size and position allow a link with a set of another
+    component that the leader's answers do not give."""
+    for t in groups(batches, 1):
+        meta, comp = t["meta"].to_numpy(), t["component"].to_numpy()
+        size, rest = meta >> 33, (meta >> 33) - ((meta >> 8) & ((1 << 25) - 1))
+        told = t["set_id"].to_numpy() == t["leader"].to_numpy()
+        keep = np.zeros(len(meta), bool)
+        for lo in range(0, len(meta), 256):
+            i = np.arange(lo, min(lo + 256, len(meta)))
+            j = np.arange(lo, np.searchsorted(size, size[i[-1]] * 100 // percent + 1, "right"))
+            for j in np.split(j, range(4096, len(j), 4096)):
+                a, b = size[i][:, None], size[j]
+                ok = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+                ok &= (100 + percent) * np.minimum(rest[i][:, None], rest[j]) >= percent * (a + b)
+                ok &= (comp[i][:, None] != comp[j]) & ~told[i][:, None] & ~told[j]
+                keep[i] |= ok.any(1)
+                keep[j] |= ok.any(0)
+        yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
+
+
 def cell_links(lists: DataFrame, texts: DataFrame, component: DataFrame, n: int, percent: int) -> DataFrame:
     """(u, v): further links between sets of different components, one per set and component."""
     names = component.select(F.col("id").alias("set_id"), "component")
     named = lists.join(names, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     lead = names.select(F.col("set_id").alias("leader"), F.col("component").alias("main"))
     named = named.join(lead, "leader", "left").withColumn("other", F.coalesce("main", "leader") != F.col("component"))
-    named = store(named.select("leader", "set_id", "meta", "component", "other"))
+    lone = named.groupBy("leader").agg(F.max(F.col("other").cast("int")).alias("any"), F.count("*").alias("n")).where("n > 2 and any = 1")
+    dealt = named.join(lone.select("leader"), "leader").repartition(partitions(lists.sparkSession), "leader").sortWithinPartitions("leader", "meta")
+    named = store(dealt.select("leader", "set_id", "meta", "component", "other").mapInArrow(
+        lambda batches: _with_partner(batches, percent), "leader long, set_id long, meta long, component long, other boolean"))
     size = F.shiftright("meta", 33)
     open_lists = named.groupBy("leader").agg(
         F.count("*").alias("n"), F.sum(F.when(F.col("other"), size)).alias("others"), F.sum(F.when(~F.col("other"), size)).alias("mains")) \
-        .where("n > 2 and others > 0").select(
-            "leader", F.ceil(F.col("others") / CELL[0]).alias("no"), F.ceil(F.col("mains") / CELL[1]).alias("nm"))
+        .where("n > 1 and others > 0").select(
+            "leader", F.ceil(F.col("others") / CELL[0]).alias("no"), F.ceil(F.greatest("mains", F.lit(1)) / CELL[1]).alias("nm"))
     rows = named.join(open_lists, "leader").join(texts, "set_id").withColumn(
         "i", F.pmod(F.xxhash64("set_id"), F.when(F.col("other"), F.col("no")).otherwise(F.col("nm"))))
 
@@ -338,14 +367,26 @@ def cell_links(lists: DataFrame, texts: DataFrame, component: DataFrame, n: int,
     rows = rows.withColumn("cell", F.explode(F.when(F.col("other"), F.concat(with_main, with_other)).otherwise(of_main)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for t in groups(batches, 4):
+            held.append(t)
+            size += t["z"].nbytes
+            if size > 1 << 20:
+                yield from links_of(held)
+                held, size = [], 0
+        yield from links_of(held)
+
+    def links_of(cells_of: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        known = dict.fromkeys((i, z) for t in cells_of for i, z in zip(t["set_id"].to_pylist(), t["z"].to_pylist()))
+        decoded = dict(zip((i for i, _ in known), _sets([z for _, z in known], n))) if known else {}
+        for t in cells_of:
             left = t["left"].to_numpy()
             ids, meta, comp = t["set_id"].to_numpy(), t["meta"].to_numpy(), t["component"].to_numpy()
             a = np.flatnonzero(left)
             b = a if t["kind"][0].as_py() and t["i"][0] == t["j"][0] else np.flatnonzero(~left)
             if not len(a) or not len(b):
                 continue
-            sets = _sets(t["z"].to_pylist(), n)
+            sets = [decoded[k] for k in ids.tolist()]
             base = sets[int((meta & 255).argmin())]
             found: dict[tuple[int, int], tuple[int, int]] = {}
             for x, y in cell_pairs([sets[k] for k in a], [sets[k] for k in b], base, meta[a], meta[b], percent):
@@ -365,7 +406,8 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     """(doc_id, n_shingles, component_id) per row: link where 100 |A and B| >= percent |A or B|."""
     rows = store(document_sets(docs, words))
     lists = leader_lists(docs, words, percent)
-    texts = set_texts(docs, lists.select("set_id").distinct(), words)
+    one = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("key").alias("key"))
+    texts = set_texts(docs, one.join(lists.select("set_id").distinct(), "set_id", "left_semi"))
     star = store(star_links(lists, texts, words, percent))
     first = components(star)
     links = star.union(cell_links(lists, texts, first, words, percent))
