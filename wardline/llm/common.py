@@ -10,12 +10,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship_package
 
 #: Bytes of text that one numpy pass takes; bounds a worker's memory.
 SLICE_BYTES = 4 << 20
 
 
+def ready(spark: SparkSession) -> None:
+    """Ship the package, and bound the bytes of the Arrow batches that workers get."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def store(df: DataFrame) -> DataFrame:
     """Write a table once into the shared folder and read it back: cuts the lineage
     and survives lost executors."""

@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ship_package
 from . import jaccard, katz, packing, quality, repeats
+from .common import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    ship_package(spark)
+    ready(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -31,7 +31,7 @@ from .words import _CODE, _DOWN, _UP, mix, text_bytes
 
 _GRAM = 24
 _CHUNK = 1 << 19  # windows in one numpy pass
-_SHARD = 8 << 20  # bytes sorted at once
+_SHARD = 3 << 20  # bytes sorted at once
 _SPLIT = 4096  # segments of one gram that stay together
 _LAST = 1 << 62  # ids of rows without an id start here
 
