@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, katz, packing, quality, repeats
+from . import jaccard, katz, neardup, packing, quality, repeats, search, urls
 from .common import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,19 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op4_katz_scoring")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return katz.lm_scores(_table(spark, folder, "documents"))
+
+
+@_query("op6_exact_top_k")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "embeddings")
+    return search.top_k(rows.where("vec_id % 50 = 0"), rows)
+
+
+@_query("op8_embedding_near_dedup")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_vectors(_table(spark, folder, "embeddings"))
+
+
+@_query("op7_url_filter")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.url_verdicts(_table(spark, folder, "pages"))
