@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, katz, neardup, packing, quality, repeats, search, urls
+from . import jaccard, katz, neardup, packing, quality, repeats, search, spm, token_counts, urls
 from .common import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,13 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op7_url_filter")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return urls.url_verdicts(_table(spark, folder, "pages"))
+
+
+@_query("op3_token_counts")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, folder, "documents"))
+
+
+@_query("op5_sentencepiece")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return spm.digest(spm.encode(_table(spark, folder, "documents")))
