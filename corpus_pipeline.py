@@ -7,18 +7,42 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import quality
+from wardline.llm import jaccard, packing, quality, repeats
+from wardline.llm.common import ready
 from wardline.session import ensure_checkpoint_dir
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below 0.3 go. Its labels are the table ``labels``."""
+    ready(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep(docs, quality.fit(docs, labels))
 
 
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked at a Jaccard similarity of 0.8 of their five-word shingles, the one of
+    the smallest id stays."""
+    ready(spark)
+    return jaccard.keep_one(docs)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose every byte of a 100-byte string that also starts earlier."""
+    ready(spark)
+    return repeats.without_repeats(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their places in sequences of 2048 ids."""
+    ready(spark)
+    return packing.pack(docs)
+
+
 STAGES = [
     ("quality_classifier", quality_classifier),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("packing", packing_stage),
 ]
 
 #: Trees, near-copy components and suffix order can't be said in SQL; tests use brute force.

@@ -289,3 +289,26 @@ def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
         F.when(copy, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
         F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"))
+
+
+def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
+    """``docs`` with what is left of each text, and ``n_chars`` (if there) as its length. A character
+    of which only some bytes stay goes whole. Rows whose text equals an earlier one lose it all
+    if it has ``length`` bytes; no row goes."""
+    texts, kept = _found(docs, length)
+    copies = _first_of_text(texts).where((F.col("least") < F.col("doc")) & (F.col("n_bytes") >= length)) \
+        .select("doc", F.lit(b"").alias("left")).distinct()
+    changed = kept.where("n_removed > 0").select("doc", F.col("kept").alias("left")).join(copies.select("doc"), "doc", "left_anti").union(copies)
+    change = store(changed.mapInArrow(_as_text, "doc long, left string")).select(F.col("doc").alias("_doc"), F.col("left").alias("_left"))
+    own = F.lit(_LAST) + F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2)
+    joined = docs.join(change, F.coalesce(docs["doc_id"].cast("long"), own) == F.col("_doc"), "left")
+    text = F.coalesce(F.col("_left"), docs["text"])
+    new = {"text": text} | ({"n_chars": F.when(F.col("_left").isNull(), docs["n_chars"]).otherwise(F.char_length("_left")).cast(
+        docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return joined.select(*(new.get(c, docs[c]).alias(c) for c in docs.columns))
+
+
+def _as_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = [x.decode(errors="ignore") for x in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc", "left"])
