@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -100,13 +101,21 @@ def shared_segments(texts: DataFrame, length: int) -> DataFrame:
         for b in slices(batches, limit=1 << 21):
             b = _fresh(b, seen)
             gram, content, row, first, n, far = segments(*text_bytes(b.column(1)), length)
-            doc = b.column(0).to_numpy()[row]
+            doc, at = b.column(0).to_numpy()[row], (first << 16) | (far << 8) | n
+            order = np.lexsort((at, doc, content, gram))
+            gram, content, doc, at = (x[order] for x in (gram, content, doc, at))
+            again = np.zeros(len(gram), bool)  # the batch has an earlier equal one
+            again[1:] = (gram[1:] == gram[:-1]) & (content[1:] == content[:-1]) & (
+                (doc[1:] != doc[:-1]) | (at[1:] != at[:-1]))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
-                gram.view(np.int64), content.view(np.int64), doc, (first << 16) | (far << 8) | n)], ["gram", "content", "doc", "at"])
+                gram.view(np.int64), content.view(np.int64), doc, at, again)], names)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, pending = None, None  # the last row; the first segment of its gram while it is the only content
         for b in batches:
+            known = b.filter(b.column(4))
+            yield pa.RecordBatch.from_arrays([known.column(2), known.column(0), known.column(3), known.column(4)], out_names)
+            b = b.filter(pc.invert(b.column(4)))
             if not b.num_rows:
                 continue
             rows = np.column_stack([b.column(k).to_numpy() for k in range(4)])
@@ -130,11 +139,13 @@ def shared_segments(texts: DataFrame, length: int) -> DataFrame:
             last = rows[-1]
             r = np.vstack(out)
             yield pa.RecordBatch.from_arrays([pa.array(r[:, 2]), pa.array(r[:, 0]), pa.array(r[:, 3]),
-                                              pa.array(np.arange(len(r)) >= len(out[0]))], ["doc", "gram", "at", "whole"])
+                                              pa.array(np.arange(len(r)) >= len(out[0]))], out_names)
 
-    sent = texts.mapInArrow(send, "gram long, content long, doc long, at long")
-    keys = ["gram", "content", "doc", "at"]
-    dealt = sent.repartition(partitions(texts.sparkSession), "gram").sortWithinPartitions(*keys)
+    names, out_names = ["gram", "content", "doc", "at", "again"], ["doc", "gram", "at", "whole"]
+    sent = texts.mapInArrow(send, "gram long, content long, doc long, at long, again boolean")
+    # A gram sends one segment per content and batch; those that are settled go anywhere.
+    to = F.when(F.col("again"), F.xxhash64("doc", "at")).otherwise(F.col("gram"))
+    dealt = sent.withColumn("to", to).repartition(partitions(texts.sparkSession), "to").sortWithinPartitions(*names[:4]).select(*names)
     return store(dealt.mapInArrow(pick, "doc long, gram long, at long, whole boolean"))
 
 
