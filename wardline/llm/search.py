@@ -72,8 +72,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, scale: int = 25
             "embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
 
     asked, given = whole(queries).dropDuplicates(["vec_id", "v"]), whole(candidates)
-    nq = asked.count()
-    nc, dims = given.agg(F.count("*"), F.max(F.size("v"))).first()
+    (nq, of_q), (nc, of_c) = (df.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first() for df in (asked, given))
+    dims = max(of_q, of_c)
     blocks_q, blocks_c = -(-nq // CELL[0]) or 1, -(-nc // CELL[1]) or 1
 
     def dealt(df: DataFrame, own: int, other: int, flag: int) -> DataFrame:
