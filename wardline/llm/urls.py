@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import store
+
 #: (verdict, host, path): fits the host and its subdomains where the path starts so.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
          ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -78,11 +80,11 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, de
 
     rows = rows.select("*", _longest_rule(rules, lambda r: r[1] + r[2]).alias("rule"), _longest_rule(rules, lambda r: r[0]).alias("ruled"),
                        *(segment(k).alias(c) for k, c in enumerate(segments)))
-    paths = rows.groupBy("host", *segments).agg(
-        F.count("*").alias("n"), F.count("ruled").alias("labelled"), F.count(F.when(F.col("ruled") == "block", 1)).alias("blocked"))
-    tree = paths.withColumn("t0", F.lit(""))
-    for k, s in enumerate(segments):
-        tree = _level(tree, f"t{k}", s, f"t{k + 1}", share, least_rows)
+    tree = store(rows.groupBy("host", *segments).agg(
+        F.count("*").alias("n"), F.count("ruled").alias("labelled"), F.count(F.when(F.col("ruled") == "block", 1)).alias("blocked"),
+        F.lit("").alias("t0")))
+    for k, s in enumerate(segments):  # each level is stored: the next one reads it several times
+        tree = store(_level(tree, f"t{k}", s, f"t{k + 1}", share, least_rows))
     purity = F.lit(None).cast("double")
     for k in range(1, depth + 1):
         branch = tree.groupBy("host", f"t{k}").agg(F.sum("labelled").alias("labels"), F.sum("blocked").alias("bad")) \
