@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, katz, neardup, packing, quality, repeats, search, spm, token_counts, urls
+from . import jaccard, katz, neardup, oracle, packing, quality, repeats, search, spm, token_counts, urls
 from .common import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+#: Trees, backoff models, packings and suffix orders can't be said in SQL; tests use brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard_join": oracle.JACCARD,
+    "op6_exact_top_k": oracle.TOP_K,
+    "op7_url_filter": oracle.URLS,
+    "op8_embedding_near_dedup": oracle.NEAR_VECTORS,
+}
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
