@@ -93,6 +93,13 @@ def planted(spark):
     })
 
 
+def test_boosting_goes_on_past_small_gains():
+    slow = [1 - 0.001 * i for i in range(80)]  # every round gains far less than 1 %
+    assert models.best_round(slow, 50) == 80
+    assert models.best_round([3.0, 1.0, 2.0] + [1.5] * 60 + [0.5], 50) == 2
+    assert models.best_round([3.0, 1.0, 2.0] + [1.5] * 30 + [0.5], 50) == 34
+
+
 def test_models_beat_the_floor_and_score_everyone(planted):
     num, cat, _ = features.task_features("turnout", planted.columns)
     t = models.fit_turnout(planted, num, cat, iterations=5, depth=3)

@@ -105,7 +105,7 @@ def _walk(spark, pairs, n, steps, **kw):
             for r in graph.random_walk_encoding(e, c, steps, **kw).collect()}
 
 
-@pytest.mark.parametrize("limit", [{}, {"max_nodes": 1}])
+@pytest.mark.parametrize("limit", [{}, {"block": 1}])
 def test_walks_on_known_graphs(spark, limit):
     cycle = _walk(spark, [(i, (i + 1) % 6) for i in range(6)], 7, 4, **limit)
     assert cycle[0] == pytest.approx([0, 0.5, 0, 0.375])       # bipartite: odd steps are 0
@@ -120,10 +120,19 @@ def test_join_form_equals_numpy_form(spark):
     rng = np.random.default_rng(1)
     pairs = {tuple(sorted(map(int, rng.choice(40, 2, replace=False)))) for _ in range(90)}
     a = _walk(spark, pairs, 40, 5)
-    b = _walk(spark, pairs, 40, 5, max_edges=0)
+    b = _walk(spark, pairs, 40, 5, block=7)
+    e = spark.createDataFrame([(u, v) for x, y in pairs for u, v in ((x, y), (y, x))], "u long, v long")
+    c = {(r["node"], r["k"]): r["p"] for r in graph.return_probabilities_by_join(e, 5).collect()}
     for i in a:
-        assert a[i] == pytest.approx(b[i], abs=1e-12)
-        assert all(0 <= x <= 1 for x in a[i])
+        assert a[i] == b[i] and all(0 <= x <= 1 for x in a[i])
+        assert a[i] == pytest.approx([c.get((i, k), 0.0) for k in range(1, 6)], abs=1e-12)
+
+
+def test_one_way_edges_give_one_answer(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (1, 3)], "u long, v long")
+    c = spark.range(1, 4).select(F.col("id").alias("person_row"), F.lit(0).alias("cluster"))
+    got = [{r["person_row"]: r["rw2"] for r in graph.random_walk_encoding(e, c, 2, block=b).collect()} for b in (1, 2048)]
+    assert got[0] == got[1] == {1: 0.5, 2: 0.0, 3: 0.5}
 
 
 def test_splits_keep_districts_whole(spark):

@@ -8,7 +8,6 @@ from ..functions import geometry, text
 from ..functions.rounding import round_half_even
 
 BUCKET = 100
-MAX_BUCKETS = 64
 
 
 def segment_sides(segments: DataFrame) -> DataFrame:
@@ -43,20 +42,21 @@ def resolve_streets(addresses: DataFrame, sides: DataFrame) -> DataFrame:
 def _in_range(a: DataFrame, s: DataFrame) -> DataFrame:
     """Address-side pairs with the number inside the range.
 
-    Ranges are cut into number buckets and joined by (street, bucket). The few
-    ranges too wide for that are joined by street alone.
+    Each range is put on the level whose number cells are at least as wide as
+    the range, so it covers one or two of them; an address is looked up on every
+    level in use, and a wide range is met only by numbers near it.
     """
     usable = s.filter(F.col("lo").isNotNull() & F.col("hi").isNotNull())
-    low, high = F.least("lo", "hi"), F.greatest("lo", "hi")
-    usable = usable.withColumns({"low": low, "high": high})
-    wide = (F.floor(F.col("high") / BUCKET) - F.floor(F.col("low") / BUCKET)) >= MAX_BUCKETS
-    narrow = usable.filter(~wide).withColumn("bucket", F.explode(F.sequence(
-        F.floor(F.col("low") / BUCKET), F.floor(F.col("high") / BUCKET))))
-    inside = F.col("number").between(F.col("low"), F.col("high"))
-    bucketed = a.withColumn("bucket", F.floor(F.col("number") / BUCKET))
-    near = bucketed.join(narrow, ["county", "street", "bucket"]).filter(inside).drop("bucket")
-    far = a.join(usable.filter(wide), ["county", "street"]).filter(inside)
-    return near.unionByName(far)
+    usable = usable.withColumns({"low": F.least("lo", "hi"), "high": F.greatest("lo", "hi")})
+    span = F.greatest(F.col("high") - F.col("low") + 1, F.lit(BUCKET)) / BUCKET
+    usable = usable.withColumn("level", F.ceil(F.log2(span)).cast("int"))
+    size = F.pow(F.lit(2.0), F.col("level")) * BUCKET
+    cells = usable.withColumn("cell", F.explode(F.sequence(
+        F.floor(F.col("low") / size), F.floor(F.col("high") / size))))
+    levels = usable.agg(F.collect_set("level")).scalar()
+    probes = a.withColumn("level", F.explode(levels)).withColumn("cell", F.floor(F.col("number") / size))
+    return probes.join(cells, ["county", "street", "level", "cell"]).filter(
+        F.col("number").between(F.col("low"), F.col("high"))).drop("level", "cell")
 
 
 def geocode(addresses: DataFrame, segments: DataFrame, county: str = "county",

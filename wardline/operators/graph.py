@@ -7,14 +7,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..session import cut
+from ..session import cut, ship_package
 from . import spatial
 from .groups import group_positions
 
-# A group of this size or less may be handed to one Python call; above it the
-# same numbers come from joins.
-MAX_PANDAS_NODES = 20_000
-MAX_PANDAS_EDGES = 2_000_000
+# Start nodes whose walks one Python call follows; it holds the cluster's edges and
+# a column per start node.
+WALK_BLOCK = 2048
 
 
 def _undirected(a: Column, b: Column) -> list[Column]:
@@ -176,7 +175,8 @@ def neighbor_means(directed: DataFrame, features: DataFrame, columns: list[str],
 # ------------------------------------------------------- return probabilities
 
 def _walk_block(pdf: pd.DataFrame, steps: int) -> pd.DataFrame:
-    """diag(P^k), k=1..steps, of one cluster, in column blocks."""
+    """diag(P^k), k=1..steps, of one cluster's start nodes, in column blocks. ``first`` and
+    ``last`` bound the start nodes by their rank in the cluster."""
     nodes, idx = np.unique(pdf[["u", "v"]].to_numpy().ravel(), return_inverse=True)
     idx = idx.reshape(-1, 2)
     order = np.argsort(idx[:, 0], kind="stable")
@@ -188,8 +188,9 @@ def _walk_block(pdf: pd.DataFrame, steps: int) -> pd.DataFrame:
     weight = (1.0 / np.maximum(degree, 1))[:, None]
     out = np.zeros((n, steps))
     block = int(max(1, min(n, 4_000_000 // max(len(u), 1))))
-    for at in range(0, n, block):
-        cols = np.arange(at, min(at + block, n))
+    first, last = int(pdf["first"].iloc[0]), min(int(pdf["last"].iloc[0]), n)
+    for at in range(first, last, block):
+        cols = np.arange(at, min(at + block, last))
         x = np.zeros((n, len(cols)))
         x[cols, np.arange(len(cols))] = 1.0
         for k in range(steps):
@@ -197,8 +198,8 @@ def _walk_block(pdf: pd.DataFrame, steps: int) -> pd.DataFrame:
             y[has] = np.add.reduceat(x[v], starts[has], axis=0)
             x = y * weight
             out[cols, k] = x[cols, np.arange(len(cols))]
-    res = pd.DataFrame(np.clip(out, 0.0, 1.0), columns=[f"rw{k}" for k in range(1, steps + 1)])
-    res.insert(0, "node", nodes)
+    res = pd.DataFrame(np.clip(out[first:last], 0.0, 1.0), columns=[f"rw{k}" for k in range(1, steps + 1)])
+    res.insert(0, "node", nodes[first:last])
     return res
 
 
@@ -239,27 +240,21 @@ def return_probabilities_by_join(edges: DataFrame, steps: int) -> DataFrame:
 
 
 def random_walk_encoding(directed: DataFrame, clusters: DataFrame, steps: int = C.RWSE_STEPS,
-                         node: str = "person_row", max_nodes: int = MAX_PANDAS_NODES,
-                         max_edges: int = MAX_PANDAS_EDGES) -> DataFrame:
+                         node: str = "person_row", block: int = WALK_BLOCK) -> DataFrame:
     """Return probabilities rw1..rwN of every node within its cluster; isolated nodes are 0.
 
-    Clusters of bounded size go to one NumPy call each; any larger cluster takes
-    the join form, so none is ever gathered into a single task.
+    A cluster's start nodes are cut into blocks, and each (cluster, block) gets the
+    cluster's edges: one path for every size, without a table of node pairs.
     """
-    # read several times below, so it is stored once
+    ship_package(directed.sparkSession)
+    # read twice below, so it is stored once
     intra = cut(intra_cluster_edges(directed, clusters, node).select("cluster", "u", "v"))
-    sizes = intra.groupBy("cluster").agg(F.count(F.lit(1)).alias("e"),
-                                         F.count_distinct("u").alias("n"))
-    big = cut(sizes.filter((F.col("e") > max_edges) | (F.col("n") > max_nodes)).select("cluster"))
-    names = [f"rw{k}" for k in range(1, steps + 1)]
-    schema = "node long, " + ", ".join(f"{n} double" for n in names)
-    found = (intra.join(big, "cluster", "left_anti").groupBy("cluster")
-             .applyInPandas(lambda pdf: _walk_block(pdf, steps), schema))
-    if not big.isEmpty():
-        large = intra.join(big, "cluster", "left_semi").select("u", "v")
-        wide = return_probabilities_by_join(large, steps).groupBy("node").agg(
-            *[F.coalesce(F.max(F.when(F.col("k") == k, F.col("p"))), F.lit(0.0)).alias(f"rw{k}")
-              for k in range(1, steps + 1)])
-        found = found.unionByName(wide)
+    sizes = intra.select("cluster", F.explode(F.array("u", "v")).alias("x")).groupBy("cluster").agg(
+        F.count_distinct("x").alias("n"))
+    starts = sizes.select("cluster", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(block).cast("bigint")))
+                          .alias("first"))
+    schema = "node long, " + ", ".join(f"rw{k} double" for k in range(1, steps + 1))
+    found = (intra.join(starts, "cluster").withColumn("last", F.col("first") + block)
+             .groupBy("cluster", "first").applyInPandas(lambda pdf: _walk_block(pdf, steps), schema))
     found = found.withColumnRenamed("node", node)
-    return clusters.select(node).join(found, node, "left").fillna(0.0, names)
+    return clusters.select(node).join(found, node, "left").fillna(0.0, [f"rw{k}" for k in range(1, steps + 1)])

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PART_ROWS = 200_000
+#: A group is cut into at most 2 ** PART_BITS parts by the leading bits of a hash.
+PART_BITS = 10
 
 
 def running_sums(df: DataFrame, keys: list[str], split: list[str], order: list,
@@ -54,30 +55,18 @@ def first_n(df: DataFrame, keys: list[str], order: list, n: int, name: str = "ra
 
 
 def group_positions(df: DataFrame, keys: list[str], node: str, seed: int = 0,
-                    part_rows: int = PART_ROWS, pos: str = "pos", size: str = "size") -> DataFrame:
+                    part_bits: int = PART_BITS, pos: str = "pos", size: str = "size") -> DataFrame:
     """Give every row of a group a position 0..size-1, in a fixed pseudo-random order.
 
-    A group of more than ``part_rows`` rows is cut into hash parts; only the
-    parts of such groups need an offset.
+    The order is that of a hash of the node. Parts are the leading bits of that
+    hash, so the positions do not depend on how many parts there are.
     """
     h = F.xxhash64(F.lit(seed), F.col(node))
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(size))
-    sized = df.join(sizes, keys)
-    n_parts = F.ceil(F.col(size) / F.lit(part_rows)).cast("bigint")
-    # placed by (key, part): the join alone would keep a hot key in one task
-    sized = sized.withColumn("__part", F.pmod(h, n_parts)).repartition(*keys, "__part")
-    part_sizes = (sized.filter(F.col(size) > part_rows)
-                  .groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n")))
-    w_before = Window.partitionBy(*keys).orderBy("__part")
-    offsets = part_sizes.select(
-        *keys, "__part",
-        (F.sum("__n").over(w_before.rowsBetween(Window.unboundedPreceding, 0))
-         - F.col("__n")).alias("__offset"))
-    w = Window.partitionBy(*keys, "__part").orderBy(h, F.col(node))
-    local = sized.withColumn("__local", F.row_number().over(w) - 1)
-    out = local.join(offsets, keys + ["__part"], "left")
-    return (out.withColumn(pos, F.col("__local") + F.coalesce(F.col("__offset"), F.lit(0)))
-            .drop("__part", "__local", "__offset"))
+    placed = df.join(sizes, keys).withColumns({
+        "__h": h, "__part": F.call_function("shiftright", h, F.lit(64 - part_bits))})
+    ranked = ordered_rank(placed, keys, ["__part"], ["__h", node], "__rank")
+    return ranked.withColumn(pos, F.col("__rank") - 1).drop("__h", "__part", "__rank")
 
 
 def chunked_lists(df: DataFrame, keys: list[str], split: list[str], order: list,

@@ -56,17 +56,25 @@ def metric_points(points: DataFrame, x: str = "lon", y: str = "lat") -> DataFram
     return p.withColumns({"mx": mx, "my": my})
 
 
-def nearest_points(points: DataFrame, point_id: str, k: int = C.KNN_K, max_level: int = 16,
+def nearest_points(points: DataFrame, point_id: str, k: int = C.KNN_K, max_level: int = 26,
                    x: str = "mx", y: str = "my") -> DataFrame:
     """The k nearest other points of every point: (id, neighbor, distance, rank). Exact.
 
-    Cells halve per level. A point searches on the finest level at which its own
-    cell holds more than k points: the k-th neighbour is then no farther than the
-    cell's far corner, and every cell within that distance is looked at. As a
-    finer cell of the point holds at most k points, few points search a crowded
+    Points on one spot share their answers, so spots search: each offers its k + 1
+    smallest ids (ties go by id) and finds the k + 1 nearest, of which a point
+    leaves out itself.
+
+    Cells halve per level. A spot searches on the finest level at which its own
+    cell holds more than k offered points: the k-th neighbour is then no farther
+    than the cell's far corner, and every cell within that distance is looked at. As
+    a finer cell of the spot holds at most k points, few spots search a crowded
     cell, and the candidate pairs grow linearly with the points.
     """
-    p = points.select(F.col(point_id).alias("id"), F.col(x).alias("x"), F.col(y).alias("y"))
+    own = points.select(F.col(point_id).alias("id"), F.col(x).alias("x"), F.col(y).alias("y"))
+    # the points of a spot in order; adding 0.0 makes one spot of both zeros
+    own = own.withColumns({"x": F.col("x") + 0.0, "y": F.col("y") + 0.0})
+    p = (first_n(own, ["x", "y"], ["id"], k + 1, "r").groupBy("x", "y")
+         .agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("id", F.col("ids")[0]))
     box = p.agg(F.struct(
         F.min("x").alias("x"), F.min("y").alias("y"),
         F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9)).alias("w"))
@@ -84,7 +92,7 @@ def nearest_points(points: DataFrame, point_id: str, k: int = C.KNN_K, max_level
     def at_level(c: str) -> Column:
         return F.call_function("shiftright", F.col(c), F.lit(max_level) - F.col("level"))
 
-    cells = p.groupBy("fx", "fy").agg(F.count(F.lit(1)).alias("n"))
+    cells = p.groupBy("fx", "fy").agg(F.sum(F.size("ids")).alias("n"))
     stacked = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(max_level)))) \
         .withColumns({"cx": at_level("fx"), "cy": at_level("fy")})
     full = stacked.groupBy("level", "cx", "cy").agg(F.sum("n").alias("n")).filter(F.col("n") > k)
@@ -116,16 +124,17 @@ def nearest_points(points: DataFrame, point_id: str, k: int = C.KNN_K, max_level
     offered = p.withColumn("level", F.explode(F.when(F.size(used) > 0, used)
                                               .otherwise(F.array(F.lit(0))))) \
         .withColumns({"cx": at_level("fx"), "cy": at_level("fy")}) \
-        .select(F.col("id").alias("neighbor"), F.col("x").alias("nx"), F.col("y").alias("ny"),
-                "level", "cx", "cy")
+        .select("ids", F.col("x").alias("nx"), F.col("y").alias("ny"), "level", "cx", "cy")
     d2 = (F.col("x") - F.col("nx")) * (F.col("x") - F.col("nx")) \
         + (F.col("y") - F.col("ny")) * (F.col("y") - F.col("ny"))
     pairs = (asks.join(offered, ["level", "cx", "cy"])
-             .filter(F.col("id") != F.col("neighbor"))
              .withColumn("distance", F.sqrt(d2))
              .filter((F.col("level") == 0) | (F.col("distance") <= F.col("reach")))
-             .select("id", "neighbor", "distance"))
-    return first_n(pairs, ["id"], ["distance", "neighbor"], k, "rank").withColumnRenamed(
+             .select("id", F.explode("ids").alias("neighbor"), "distance"))
+    top = first_n(pairs, ["id"], ["distance", "neighbor"], k + 1, "r").drop("r").withColumnRenamed("id", "spot")
+    spots = p.select(F.col("id").alias("spot"), "x", "y")
+    other = own.join(spots, ["x", "y"]).join(top, "spot").filter(F.col("id") != F.col("neighbor"))
+    return first_n(other.select("id", "neighbor", "distance"), ["id"], ["distance", "neighbor"], k, "rank").withColumnRenamed(
         "id", point_id)
 
 

@@ -376,6 +376,32 @@ def _(v):
     return _matches(v)
 
 
+_MISSING_SQL = _MATCH_SQL.replace("b.city = upper(v.city) AND b.zip = v.zip",
+    "coalesce(CASE WHEN ordinal % 5 <> 0 THEN b.city END, '') = coalesce(CASE WHEN person_row % 2 <> 0 THEN upper(v.city) END, '') "
+    "AND coalesce(CASE WHEN ordinal % 3 <> 0 THEN b.zip END, '') = coalesce(CASE WHEN person_row % 4 <> 0 THEN v.zip END, '')")
+
+
+@query("name_match_missing_places", "J9 W11", "key:i status:s ordinal:i",
+       f"WITH {_MISSING_SQL} SELECT person_row AS key, status, ordinal FROM hit")
+def _(v):
+    n = F.col("person_row")
+    voters = v.people.select(n.alias("key"), "name", F.when(n % 2 != 0, F.col("city")).alias("city"),
+                             F.when(n % 4 != 0, F.col("zip")).alias("zip"))
+    donors = _bulk(v).withColumns({"city": F.when(F.col("ordinal") % 5 != 0, F.col("city")),
+                                   "zip": F.when(F.col("ordinal") % 3 != 0, F.col("zip"))})
+    return matching.match_by_name(voters, donors)
+
+
+@query("name_match_state", "J9 S7 W11", "key:i status:s ordinal:i amount:d",
+       f"WITH {_MATCH_SQL} SELECT person_row AS key, status, ordinal, amount FROM hit")
+def _(v):
+    """Records that keep last and first name apart."""
+    apart = F.split("name", ",", 2)
+    donors = matching.with_split_name(_bulk(v).drop("last", "tokens").withColumns(
+        {"last_name": apart[0], "first_name": apart[1]}))
+    return matching.match_by_name(v.people.select(F.col("person_row").alias("key"), "name", "city", "zip"), donors)
+
+
 @query("place_classification", "J10 W11", "key:i status:s ordinal:i",
        f"""WITH {_BULK_SQL}, c AS (SELECT p.person_row AS key, ordinal, CASE WHEN b.city <> 'ELSEWHERE'
            AND b.city = upper(p.city) AND b.zip = p.zip THEN 'confirmed' ELSE 'possible' END AS status

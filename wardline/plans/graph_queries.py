@@ -106,6 +106,19 @@ def _(v):
     return spatial.nearest_points(m, "vec_id")
 
 
+@query("nearest_points_shared_spot", "J17 F18", "vec_id:i neighbor:i rank:i distance:d",
+       """WITH m AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 0 ELSE lon END::DOUBLE AS x,
+           CASE WHEN vec_id % 3 = 0 THEN 0 ELSE lat END::DOUBLE AS y FROM pt),
+       d AS (SELECT a.vec_id, b.vec_id AS neighbor, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS distance
+         FROM m a, m b WHERE a.vec_id <> b.vec_id)
+       SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbor) AS rank FROM d)
+       WHERE rank <= 10""")
+def _(v):
+    spot = F.col("vec_id") % 3 == 0
+    return spatial.nearest_points(v.points.select("vec_id", F.when(spot, 0.0).otherwise(F.col("lon")).alias("mx"),
+                                                  F.when(spot, 0.0).otherwise(F.col("lat")).alias("my")), "vec_id")
+
+
 @query("click_lookup", "J21", "click_id:i household_id:i distance_deg2:d",
        """WITH click AS (SELECT s_suppkey AS click_id, 40.5 + (s_suppkey * 977 % 5000) / 10000.0 AS lat,
          -73.9 + (s_suppkey * 1733 % 9000) / 10000.0 AS lon FROM supplier),
@@ -239,7 +252,10 @@ def _(v):
 
 @query("random_walk_by_join", "G10", _WALK_COLUMNS, _WALK_SQL)
 def _(v):
-    return graph.random_walk_encoding(v.directed_edges, v.clusters, steps=3, max_edges=0)
+    intra = cut(graph.intra_cluster_edges(v.directed_edges, v.clusters, "person_row").select("u", "v"))
+    by_join = graph.return_probabilities_by_join(intra, 3).groupBy(F.col("node").alias("person_row")).agg(
+        *[F.max(F.when(F.col("k") == k, F.col("p"))).alias(f"rw{k}") for k in (1, 2, 3)])
+    return v.clusters.select("person_row").join(by_join, "person_row", "left").fillna(0.0)
 
 
 @query("neighbor_means", "G12", "person_row:i etype:s hop:i age:d tier_count:d",
