@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir, ship_package
 
 #: Bytes of text that one numpy pass takes; bounds a worker's memory.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def ready(spark: SparkSession) -> None:

@@ -122,7 +122,7 @@ def frequent_tokens(docs: DataFrame, n: int, parts: int) -> tuple[np.ndarray, np
         for b in slices(batches):
             held.append(shingles(b.column(0), n)[0])
             size += len(held[-1])
-            if size > 1 << 21:
+            if size > 1 << 19:
                 yield flush()
                 held, size = [], 0
         if size:

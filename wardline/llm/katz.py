@@ -33,7 +33,7 @@ from .words import text_bytes, words
 
 K = 5
 _END = np.uint64(1)
-_BLOCK_BYTES = 6 << 20  # two slices
+_BLOCK_BYTES = 6 << 20
 
 
 def _z(x: np.ndarray) -> bytes:

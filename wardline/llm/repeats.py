@@ -32,7 +32,7 @@ from .words import _CODE, _DOWN, _UP, mix, text_bytes
 
 _GRAM = 24
 _CHUNK = 1 << 19  # windows in one numpy pass
-_SHARD = 3 << 20  # bytes sorted at once
+_SHARD = 2 << 20  # bytes sorted at once
 _SPLIT = 4096  # segments of one gram that stay together
 _LAST = 1 << 62  # ids of rows without an id start here
 
@@ -98,7 +98,7 @@ def shared_segments(texts: DataFrame, length: int) -> DataFrame:
     ``at`` packs first window, distance of the gram and windows."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
-        for b in slices(batches, limit=1 << 21):
+        for b in slices(batches):
             b = _fresh(b, seen)
             gram, content, row, first, n, far = segments(*text_bytes(b.column(1)), length)
             doc, at = b.column(0).to_numpy()[row], (first << 16) | (far << 8) | n
