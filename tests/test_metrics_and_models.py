@@ -93,6 +93,17 @@ def planted(spark):
     })
 
 
+def test_one_far_value_does_not_crowd_the_bins(spark):
+    x = [1e12, -1e9, 0.0] + [1 + i / 1000 for i in range(2000)] + [-i / 7 for i in range(1, 500)]
+    df = spark.createDataFrame([("a", v) for v in x], "k string, x double")
+    bins = metrics._with_levels(df.withColumn("x", F.col("x")), "x")
+    assert bins.groupBy("__b1", "__b2").count().agg(F.max("count")).first()[0] < 20
+    order = [r["x"] for r in bins.orderBy("__b1", "__b2", "x").collect()]
+    assert order == sorted(x)
+    got = metrics.exact_percentiles(df, ["k"], "x", {"q": .5, "r": .99}).first()
+    assert [got["q"], got["r"]] == pytest.approx(list(np.percentile(x, [50, 99])))
+
+
 def test_boosting_goes_on_past_small_gains():
     slow = [1 - 0.001 * i for i in range(80)]  # every round gains far less than 1 %
     assert models.best_round(slow, 50) == 80

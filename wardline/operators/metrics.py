@@ -16,8 +16,15 @@ def clip_probability(p: Column, eps: float = EPS) -> Column:
 
 
 def _with_levels(df: DataFrame, p: str) -> DataFrame:
-    """Two nested bins of a 0-1 score: 1/4096 and 1/16777216."""
-    return df.withColumns({"__b1": F.floor(F.col(p) * 4096), "__b2": F.floor(F.col(p) * 16777216)})
+    """Two nested bins in the order of a number: its sign and power of two, then 4,096
+    steps between two powers. They don't depend on the range, so one far value
+    doesn't push all others into one bin."""
+    size = F.abs(p)
+    power = F.floor(F.log2(F.when(size > 0, size)))
+    step = F.floor(size / F.pow(F.lit(2.0), power) * 4096)
+    return df.withColumns({
+        "__b1": F.coalesce(F.signum(p).cast("bigint") * (power + 2000), F.lit(0).cast("bigint")),
+        "__b2": F.coalesce(F.signum(p).cast("bigint") * step, F.lit(0).cast("bigint"))})
 
 
 def ranking_metrics(df: DataFrame, y: str = "y", p: str = "p",
@@ -121,16 +128,13 @@ def exact_percentiles(long: DataFrame, keys: list[str], value: str,
 
     The built-in exact percentile gathers all distinct values of a key in one
     task. Here values are counted, ranked bin by bin, and only the values at the
-    wanted positions are picked. Bins cut the key's value range evenly, twice.
+    wanted positions are picked.
     """
     v = F.col(value).cast("double")
     counts = long.filter(v.isNotNull()).groupBy(*keys, v.alias("__v")).agg(
         F.count(F.lit(1)).alias("__k"))
-    span = counts.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"),
-                                     F.sum("__k").alias("__n"))
-    scaled = counts.join(span, keys).withColumn("__s", F.coalesce(
-        safe_ratio(F.col("__v") - F.col("__lo"), F.col("__hi") - F.col("__lo")), F.lit(0.0)))
-    ranked = running_sums(_with_levels(scaled, "__s"), keys, ["__b1", "__b2"], ["__v"],
+    total = counts.groupBy(*keys).agg(F.sum("__k").alias("__n"))
+    ranked = running_sums(_with_levels(counts.join(total, keys), "__v"), keys, ["__b1", "__b2"], ["__v"],
                           {"__upto": F.col("__k")})
 
     def at(pos: Column) -> Column:
@@ -153,18 +157,14 @@ def score_summary(df: DataFrame, score: str) -> DataFrame:
 
 
 def feature_aucs(df: DataFrame, features: list[str], y: str) -> DataFrame:
-    """AUC of each raw feature against the label, all features in one pass.
-
-    Feature values are not 0-1, so they are first ranked into (0, 1] by their
-    share of the feature's range, which keeps their order.
-    """
+    """AUC of each raw feature against the label, all features in one pass. A null
+    counts as the feature's least value."""
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"))
                       for c in features])
     long = df.select(F.col(y).alias("y"), F.explode(pairs).alias("p")).select("y", "p.*")
-    span = long.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    scaled = long.join(span, "feature").withColumn("p", F.coalesce(
-        safe_ratio(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)))
-    return ranking_metrics(scaled, "y", "p", ["feature"]).select("feature", "auc", "n")
+    least = long.groupBy("feature").agg(F.min("x").alias("lo"))
+    filled = long.join(least, "feature").withColumn("p", F.coalesce("x", "lo", F.lit(0.0)))
+    return ranking_metrics(filled, "y", "p", ["feature"]).select("feature", "auc", "n")
 
 
 def compare_models(a: DataFrame, b: DataFrame, names: tuple[str, str]) -> DataFrame:
