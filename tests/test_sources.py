@@ -37,11 +37,11 @@ def test_cache_and_contributions(spark, tmp_path):
     cache.write_text(json.dumps({
         "A B|X|1": {"confirmed": [{"date": "2020-01-02", "amount": 5, "committee": "C"}], "possible": [], "checked_at": "t"},
         "C D|X|1": {"confirmed": [], "possible": [{"date": "", "amount": None, "committee": " "}]}, "E": {"timeout": True}}))
-    assert [r["key"] for r in files.read_donation_cache(spark, str(cache), "fec").collect()] == ["A B|X|1"]
+    assert [r["key"] for r in files.read_donation_cache(spark, str(cache), "fec", lines=False).collect()] == ["A B|X|1"]
     (tmp_path / "lines.json").write_text('{"key":"A B|X|1","confirmed":[{"date":"2020-01-02","amount":5,"committee":"C"}]}\n{"key":"Z"}\n')
-    by_line = files.read_donation_cache(spark, str(tmp_path / "lines.json"), "fec", lines=True).collect()
+    by_line = files.read_donation_cache(spark, str(tmp_path / "lines.json"), "fec").collect()
     assert [(r["key"], r["confirmed"][0]["amount"], r["possible"]) for r in by_line] == [("A B|X|1", 5.0, [])]
-    full = files.read_donation_cache(spark, str(cache), "fec", confirmed_only=False)
+    full = files.read_donation_cache(spark, str(cache), "fec", confirmed_only=False, lines=False)
     assert full.count() == 3
     rows = {r["donor_key"]: r for r in donations.donation_rows(full).collect()}
     assert rows["A B|X|1"]["confirmed"] and rows["C D|X|1"]["committee"] is None

@@ -1,4 +1,4 @@
-"""Writers. Tables are versioned: a path that is being read is never overwritten."""
+"""Writers. Stages are versioned: each run writes to a new path, an existing one is refused."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +9,7 @@ from ..operators.groups import first_n
 
 def write_stage(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
     """Parquet stage output, returned as read back (this also cuts the lineage)."""
-    w = df.write.mode("overwrite")
+    w = df.write.mode("errorifexists")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
