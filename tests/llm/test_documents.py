@@ -36,7 +36,7 @@ def test_word_hashes_do_not_depend_on_place_or_batch():
 
 
 def test_packing_holds_every_id_once(docs, texts):
-    whole = packing._encoders("byte_bpe_50k")[0]
+    whole = packing._whole("byte_bpe_50k")
     got = packing.pack(docs, capacity=256, grain=4).toPandas()
     want = Counter()
     for i, t in texts:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,24 +31,30 @@ _LONG = re.compile(r"\S{4000}|\s{4000}")
 
 
 @functools.lru_cache
-def _encoders(vocabulary: str):
+def _whole(vocabulary: str):
     import public_tokenizers
-    import tiktoken
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+    return Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+
+
+@functools.lru_cache
+def _fast(vocabulary: str):
+    import public_tokenizers
+    import tiktoken
+
     with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    special = {t.content: i for i, t in whole.get_added_tokens_decoder().items()}
-    return whole, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    with open(public_tokenizers.path(f"{vocabulary}.json")) as f:
+        special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def token_ids(text: str, vocabulary: str = "byte_bpe_50k") -> np.ndarray:
     """The ids of one text; both libraries hold the same vocabulary, the second is several times faster."""
-    whole, fast = _encoders(vocabulary)
     if _LONG.search(text):
-        return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
-    return np.asarray(fast.encode_to_numpy(text, allowed_special="all"), np.uint32)
+        return np.array(_whole(vocabulary).encode(text, add_special_tokens=False).ids, np.uint32)
+    return np.asarray(_fast(vocabulary).encode_to_numpy(text, allowed_special="all"), np.uint32)
 
 
 def pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str = "byte_bpe_50k", end_id: int = END_ID) -> DataFrame:
