@@ -15,6 +15,7 @@ Cases: null and empty texts have no ids; repeated rows give equal rows; other co
 not read."""
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,6 +29,7 @@ from .common import partitions, slices, store
 from .unigram import SPACE, UNIT, Paths, Vocabulary, vocabulary, walk
 
 CHUNK = 1 << 15
+_BREAK = re.compile(f"[^{SPACE}](?={SPACE})")
 _MARK = ""  # stands for a U+2581 of the text itself while units are cut
 
 
@@ -63,6 +65,37 @@ def _between(v: Vocabulary, text: str, n: int, enter: int, leave: int) -> list[i
     return out[::-1]
 
 
+def _breaks(text: str, n: int) -> tuple[int, int] | None:
+    """The first and the last break within a chunk; every path stops there."""
+    found = [m.start() for m in _BREAK.finditer(text, 0, n)]
+    return (found[0] + 1, found[-1] + 1) if found else None
+
+
+def transfer(v: Vocabulary, paths: Paths, text: str, n: int) -> np.ndarray:
+    """A chunk's matrix. Between its first and last break the value is the units' own; only what
+    lies before and behind them depends on the states."""
+    cut = _breaks(text, n)
+    if cut is None:
+        return _matrix(v, text, n)
+    first, last = cut
+    units = UNIT.findall(text[first:last])
+    paths.learn(set(units))
+    body = v.value[np.frombuffer(b"".join(map(paths.__getitem__, units)), np.int32)].sum()
+    return _matrix(v, text[:first], first)[:, :1] + body + _matrix(v, text[last:], n - last)[:1]
+
+
+def trace(v: Vocabulary, paths: Paths, text: str, n: int, enter: int, leave: int) -> list[int]:
+    """A chunk's ids between two states."""
+    cut = _breaks(text, n)
+    if cut is None:
+        return _between(v, text, n, enter, leave)
+    first, last = cut
+    units = UNIT.findall(text[first:last])
+    paths.learn(set(units))
+    body = np.frombuffer(b"".join(map(paths.__getitem__, units)), np.int32).tolist()
+    return _between(v, text[:first], first, enter, 0) + body + _between(v, text[last:], n - last, 0, leave)
+
+
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The max-plus product of stacks of matrices: first ``a``, then ``b``."""
     out = np.full(np.broadcast_shapes(a.shape, b.shape), -np.inf)
@@ -131,7 +164,7 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", chunk: int = CHU
                 for c, lo in enumerate(range(0, len(t), chunk)):
                     n = min(chunk, len(t) - lo)
                     body = t[lo:lo + n + v.longest]
-                    out.append((i, c, -(-len(t) // chunk), None, body, n, _matrix(v, body, n).tobytes()))
+                    out.append((i, c, -(-len(t) // chunk), None, body, n, transfer(v, paths, body, n).tobytes()))
             row, *rest = zip(*out)
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(
@@ -144,10 +177,11 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", chunk: int = CHU
         states = boundary_states(m.reshape(-1, side, side))
         return pa.table({"row": t["row"], "chunk": t["chunk"], "enter": states[:-1], "leave": states[1:]})
 
-    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
+        paths = Paths(v)
         for b in batches:
-            ids = [np.array(_between(v, *x), np.int32).tobytes() for x in zip(*(b.column(k).to_pylist() for k in range(3, 7)))]
+            ids = [np.array(trace(v, paths, *x), np.int32).tobytes() for x in zip(*(b.column(k).to_pylist() for k in range(3, 7)))]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(ids, pa.binary())], ["row", "doc_id", "chunk", "ids"])
 
     names = ["row", "doc_id", "chunk", "chunks", "ids", "body", "n", "matrix"]
@@ -157,7 +191,7 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", chunk: int = CHU
     states = split.select("row", "chunk", "matrix").groupBy("row").applyInArrow(route, "row long, chunk long, enter long, leave long")
     traced = split.select("row", "doc_id", "chunk", "body", "n").join(states, ["row", "chunk"]).repartition(
         partitions(docs.sparkSession), "row", "chunk").select("row", "doc_id", "chunk", "body", "n", "enter", "leave") \
-        .mapInArrow(trace, f"row long, doc_id {kind}, chunk long, ids binary")
+        .mapInArrow(back, f"row long, doc_id {kind}, chunk long, ids binary")
     joined = traced.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("p"))
     whole = joined.select("row", "doc_id", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
     return parts.where("chunks = 1").select("row", "doc_id", "ids").union(whole)
