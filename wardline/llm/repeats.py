@@ -159,9 +159,12 @@ def texts_of(texts: DataFrame, found: DataFrame) -> DataFrame:
             z = [pack.compress(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z, pa.binary())], ["doc", "z"])
 
-    many = found.where(~F.col("whole")).groupBy("gram").agg(F.ceil(F.count("*") / _SPLIT).cast("int").alias("ways"))
-    counted = found.join(many, "gram", "left")
-    parts = counted.groupBy("doc").agg(F.collect_list(F.struct("at", "gram", F.when(~F.col("whole"), F.col("ways")).alias("ways"))).alias("parts"))
+    # Only segments that are not settled need their gram's count.
+    several = found.where(~F.col("whole"))
+    many = several.groupBy("gram").agg(F.ceil(F.count("*") / _SPLIT).cast("int").alias("ways"))
+    rows = several.join(many, "gram").select("doc", "at", "gram", "ways").union(
+        found.where("whole").select("doc", "at", "gram", F.lit(None).cast("int").alias("ways")))
+    parts = rows.groupBy("doc").agg(F.collect_list(F.struct("at", "gram", "ways")).alias("parts"))
     packed = texts.mapInArrow(send, "doc long, z binary").dropDuplicates(["doc"])
     return bucketed(packed.join(parts, "doc").repartition(partitions(texts.sparkSession), "doc"), "doc")
 
