@@ -1,8 +1,8 @@
 """Token counts by trie-shared dynamic programming.
 
 A document's pre-tokens are its words, each behind a space mark. Every task puts the distinct
-pre-tokens of a batch into a trie, computes the unigram model's forward scores once per
-shared prefix (``unigram.trie_paths``), and keeps the counts of the terminals; a document's
+new pre-tokens of a batch (by 64-bit hash) into a trie, computes the unigram model's forward scores once per
+shared prefix (``unigram.trie_counts``), and keeps the counts of the terminals; a document's
 count is the sum over its words. No exchange is needed.
 
 Cases: null and empty texts, and such without words, have 0 tokens and score 0; repeated
@@ -16,27 +16,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import slices
-from .unigram import SPACE, Paths, vocabulary
+from .unigram import LONG, SPACE, Vocabulary, trie_counts, vocabulary, walk
+from .words import text_bytes, words
+
+
+#: Pre-tokens whose counts a task keeps.
+_ROOM = 500_000
+
+
+def _counts(v: Vocabulary, units: list[str]) -> list[tuple[int, float]]:
+    """Tokens and score of each unit; short ones share a trie."""
+    short = [k for k, u in enumerate(units) if len(u) <= LONG]
+    tokens, score = trie_counts(v, [units[k] for k in short])
+    out = dict(zip(short, zip(tokens.tolist(), score.tolist())))
+    for k, u in enumerate(units):
+        if k not in out:
+            ids = walk(v, u)
+            out[k] = len(ids), float(v.value[ids].sum()) + len(ids) * 2.0 ** -22
+    return [out[k] for k in range(len(units))]
 
 
 def token_counts(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
     """(doc_id, n_words, n_tokens, score) of every row: score is the log probability."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
-        paths, counts = Paths(v), {}
+        known: dict[int, tuple[int, float]] = {}  # tokens and score of the pre-tokens met, by hash
         for b in slices(batches):
-            texts = [[SPACE + w.decode() for w in (t or b"").split()] for t in b.column(1).cast(pa.binary()).to_pylist()]
-            units = set().union(*texts)
-            if len(paths) > paths.room:
-                counts.clear()
-            paths.learn(units)
-            for u in units - counts.keys():
-                ids = np.frombuffer(paths[u], np.int32)
-                counts[u] = len(ids), float(v.value[ids].sum()) + len(ids) * 2.0 ** -22
-            out = [(len(t), sum(counts[u][0] for u in t), sum(counts[u][1] for u in t)) for t in texts]
-            n, tokens, score = zip(*out)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(tokens, pa.int64()),
-                                              pa.array(score, pa.float64())], ["doc_id", "n_words", "n_tokens", "score"])
+            raw, off = text_bytes(b.column(1))
+            h, first, end, row = words(raw, off, lower=False)
+            names, one, at = np.unique(h, return_index=True, return_inverse=True)
+            if len(known) > _ROOM:
+                known.clear()
+            text, new = raw.tobytes(), [(k, i) for k, i in zip(names.tolist(), one.tolist()) if k not in known]
+            units = [SPACE + text[first[i]:end[i]].decode() for _, i in new]
+            known.update(zip((k for k, _ in new), _counts(v, units)))
+            tokens, score = np.array([known[k] for k in names.tolist()]).reshape(-1, 2).T
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, (
+                np.bincount(row, minlength=n), np.bincount(row, tokens[at], n).astype(np.int64), np.bincount(row, score[at], n)))],
+                ["doc_id", "n_words", "n_tokens", "score"])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {ids}, n_words long, n_tokens long, score double")

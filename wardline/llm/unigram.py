@@ -97,10 +97,43 @@ def walk(v: Vocabulary, unit: str) -> list[int]:
     return out[::-1]
 
 
+class Trie:
+    """Units as a trie: level by level, each distinct prefix is a node whose forward score is
+    computed once, from those of its ancestors. Words are the units in order; of each are
+    kept its value and, per character, how the best path to there ends."""
+
+    def __init__(self, v: Vocabulary, units: list[str]):
+        self.order, self.size, self.chars, self.step, self.piece, self.value, self.spelled = _forward(v, units)
+
+
+def trie_counts(v: Vocabulary, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and score of every unit, from the terminals' values alone."""
+    t = Trie(v, units)
+    value = np.zeros(len(units))
+    value[t.order] = t.value
+    tokens = np.round(-value / _TOKEN).astype(np.int64) % round(_QUANTUM / _TOKEN)
+    return tokens, value + tokens * _TOKEN
+
+
 def trie_paths(v: Vocabulary, units: list[str]) -> list[np.ndarray]:
-    """The best path of every unit. Units are a trie: level by level, each distinct prefix is a
-    node whose forward score is computed once, from those of its ancestors; terminals keep
-    their path."""
+    """The best path of every unit."""
+    t = Trie(v, units)
+    left, out = t.size.copy(), [[] for _ in units]
+    while True:
+        at = np.flatnonzero(left > 0)
+        if not len(at):
+            break
+        last = left[at] - 1
+        for w, p, c in zip(at.tolist(), t.piece[at, last].tolist(), t.chars[at, last].tolist()):
+            out[w] += [p] if p >= 0 else t.spelled[c][0][::-1]
+        left[at] -= t.step[at, last]
+    paths: list[np.ndarray] = [np.zeros(0, np.int32)] * len(units)
+    for w, i in enumerate(t.order):
+        paths[i] = np.array(out[w][::-1], np.int32)
+    return paths
+
+
+def _forward(v: Vocabulary, units: list[str]):
     order = sorted(range(len(units)), key=units.__getitem__)
     words = [units[i] for i in order]
     size = np.array([len(w) for w in words], np.int64)
@@ -113,7 +146,7 @@ def trie_paths(v: Vocabulary, units: list[str]) -> list[np.ndarray]:
 
     node = np.zeros(n, np.int64)  # each word's node on the level above
     scores, hashes = [np.zeros(1)], []  # by distance to the ancestor; of the last 1, 2, ... characters
-    step, piece = np.zeros((n, width), np.int8), np.zeros((n, width), np.int32)
+    step, piece, total = np.zeros((n, width), np.int8), np.zeros((n, width), np.int32), np.zeros(n)
     for depth in range(width):
         alive = np.flatnonzero(size > depth)
         above, c = node[alive], chars[alive, depth]
@@ -141,21 +174,11 @@ def trie_paths(v: Vocabulary, units: list[str]) -> list[np.ndarray]:
             best[at], how[at], what[at] = value, k, ids[at]
         scores = [best, *before]
         node[alive] = here
+        ends = size[alive] == depth + 1
+        total[alive[ends]] = best[here[ends]]
         step[alive, depth], piece[alive, depth] = how[here], what[here]
 
-    left, out = size.copy(), [[] for _ in range(n)]
-    while True:
-        at = np.flatnonzero(left > 0)
-        if not len(at):
-            break
-        last = left[at] - 1
-        for w, p, c in zip(at.tolist(), piece[at, last].tolist(), chars[at, last].tolist()):
-            out[w] += [p] if p >= 0 else spelled[c][0][::-1]
-        left[at] -= step[at, last]
-    paths: list[np.ndarray] = [np.zeros(0, np.int32)] * n
-    for w, i in enumerate(order):
-        paths[i] = np.array(out[w][::-1], np.int32)
-    return paths
+    return order, size, chars, step, piece, total, spelled
 
 
 class Paths(dict):
