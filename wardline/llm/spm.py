@@ -202,7 +202,7 @@ def decode(encoded: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = vocabulary(model).pieces
         for b in slices(batches, "ids"):
-            texts = [b"".join([pieces[i] for i in np.frombuffer(x, np.int32)])[1:].decode() for x in b.column("ids").to_pylist()]
+            texts = [b"".join(map(pieces.__getitem__, np.frombuffer(x, np.int32).tolist()))[1:].decode() for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names)
 
     names = [*encoded.columns, "decoded"]

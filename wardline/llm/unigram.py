@@ -103,7 +103,7 @@ class Trie:
     kept its value and, per character, how the best path to there ends."""
 
     def __init__(self, v: Vocabulary, units: list[str]):
-        self.order, self.size, self.chars, self.step, self.piece, self.value, self.spelled = _forward(v, units)
+        self.order, self.size, self.step, self.piece, self.value = _forward(v, units)
 
 
 def trie_counts(v: Vocabulary, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,21 +115,22 @@ def trie_counts(v: Vocabulary, units: list[str]) -> tuple[np.ndarray, np.ndarray
     return tokens, value + tokens * _TOKEN
 
 
-def trie_paths(v: Vocabulary, units: list[str]) -> list[np.ndarray]:
-    """The best path of every unit."""
+def trie_paths(v: Vocabulary, units: list[str]) -> list[bytes]:
+    """The best path of every unit, as int32."""
     t = Trie(v, units)
-    left, out = t.size.copy(), [[] for _ in units]
-    while True:
-        at = np.flatnonzero(left > 0)
-        if not len(at):
-            break
+    n, width = t.piece.shape
+    ids, used, left = np.zeros((n, width), np.int32), np.zeros(n, np.int64), t.size.copy()
+    while len(at := np.flatnonzero(left > 0)):  # backwards, so that a path ends where its row ends
         last = left[at] - 1
-        for w, p, c in zip(at.tolist(), t.piece[at, last].tolist(), t.chars[at, last].tolist()):
-            out[w] += [p] if p >= 0 else t.spelled[c][0][::-1]
+        used[at] += 1
+        ids[at, width - used[at]] = t.piece[at, last]
         left[at] -= t.step[at, last]
-    paths: list[np.ndarray] = [np.zeros(0, np.int32)] * len(units)
-    for w, i in enumerate(t.order):
-        paths[i] = np.array(out[w][::-1], np.int32)
+    flat, ends, starts = ids.tobytes(), np.arange(1, n + 1) * width * 4, (np.arange(1, n + 1) * width - used) * 4
+    paths = [b""] * n
+    for i, lo, hi in zip(t.order, starts.tolist(), ends.tolist()):
+        paths[i] = flat[lo:hi]
+    for w in np.flatnonzero((ids < 0).any(1)).tolist():  # holds a character of several byte pieces
+        paths[t.order[w]] = np.array(walk(v, units[t.order[w]]), np.int32).tobytes()
     return paths
 
 
@@ -165,6 +166,7 @@ def _forward(v: Vocabulary, units: list[str]):
         if bare.any():
             best[bare] = before[0][bare] + np.array([spelled[x][1] for x in char[bare].tolist()])
             how[bare] = 1
+            what[bare] = [spelled[x][0][0] if len(spelled[x][0]) == 1 else -1 for x in char[bare].tolist()]
         for k in range(1, reach + 1):
             ids = v.find(k, hashes[k - 1])
             at = np.flatnonzero(ids >= 0)
@@ -178,7 +180,7 @@ def _forward(v: Vocabulary, units: list[str]):
         total[alive[ends]] = best[here[ends]]
         step[alive, depth], piece[alive, depth] = how[here], what[here]
 
-    return order, size, chars, step, piece, total, spelled
+    return order, size, step, piece, total
 
 
 class Paths(dict):
@@ -193,5 +195,5 @@ class Paths(dict):
             self.clear()
         new = [u for u in units if u not in self]
         short = [u for u in new if len(u) <= LONG]
-        self.update(zip(short, (p.tobytes() for p in trie_paths(self.v, short))))
+        self.update(zip(short, trie_paths(self.v, short)))
         self.update((u, np.array(walk(self.v, u), np.int32).tobytes()) for u in new if len(u) > LONG)
