@@ -22,12 +22,12 @@ def ready(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
-def store(df: DataFrame) -> DataFrame:
+def store(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write a table once into the shared folder and read it back: cuts the lineage
     and survives lost executors."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -186,7 +186,7 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", chunk: int = CHU
 
     names = ["row", "doc_id", "chunk", "chunks", "ids", "body", "n", "matrix"]
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    parts = store(rows.mapInArrow(cut, f"row long, doc_id {kind}, chunk long, chunks long, ids binary, body string, n long, matrix binary"))
+    parts = store(rows.mapInArrow(cut, f"row long, doc_id {kind}, chunk long, chunks long, ids binary, body string, n long, matrix binary"), "zstd")
     split = parts.where("chunks > 1")
     states = split.select("row", "chunk", "matrix").groupBy("row").applyInArrow(route, "row long, chunk long, enter long, leave long")
     traced = split.select("row", "doc_id", "chunk", "body", "n").join(states, ["row", "chunk"]).repartition(
