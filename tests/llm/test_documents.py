@@ -136,6 +136,34 @@ def test_suffix_dedup(docs, texts, monkeypatch):
         assert (r["text"] or "") == rest and (r["n_chars"] or 0) == len(rest)
 
 
+def test_a_frequent_gram_is_cut_into_bounded_shards(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "_SPLIT", 2)
+    monkeypatch.setattr(repeats, "_HELD", 500)
+    rng = np.random.RandomState(11)
+    phrase, line = "q" + "".join(map(chr, rng.randint(97, 123, 59))), "".join(map(chr, rng.randint(97, 123, 130)))
+
+    def noise():
+        return "".join(map(chr, rng.randint(65, 91, 60)))
+    texts = [noise() + (line if i % 3 == 0 else phrase) + noise() for i in range(240)]
+    # windows around the phrase that recur in differing segments
+    texts += [noise()[:i % 7] + texts[i % 40 + 1][20:-20] + noise()[:i % 5] for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    own = repeats.texts_of(repeats._ordered(docs), repeats.shared_segments(repeats._ordered(docs), 100))
+    assert own.where(F.col("most") > 77).count() > 0
+    sizes = repeats.bodies(own, 100).groupBy("gram", "way").count()
+    assert (sizes.agg(F.max("count")).first()[0] or 0) <= repeats._WAYS * repeats._SPLIT
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        gone = np.zeros(len(t), bool)
+        for p in range(len(t) - 99):
+            if t[p:p + 100] in seen:
+                gone[p:p + 100] = True
+            seen.add(t[p:p + 100])
+        want[i] = (int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()))
+    assert sum(n > 0 for n, _ in want.values()) > 100
+    assert {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in repeats.repeats(docs).collect()} == want
+
+
 def test_katz_is_exact_and_normalised(docs, texts):
     uni, pairs, size = Counter(), Counter(), Counter()
     for i, t in texts:

@@ -6,7 +6,8 @@ least ``_GRAM``-byte gram (leftmost on ties), so equal windows have equal grams;
 around one occurrence of a gram are one segment. Segments are grouped by gram. Equal segments
 repeat their first one whole; where a gram has several different segments, their bytes form
 shards whose suffixes are sorted by external induction (``induced``), and windows within a
-common prefix of ``length`` repeat the first of them.
+common prefix of ``length`` repeat the first of them. A gram of so many segments that they
+don't fit a shard has its windows dealt one by one, by their own content.
 
 The text itself moves twice, compressed, to its own segments; what moves by gram is ids.
 
@@ -34,6 +35,8 @@ _GRAM = 24
 _CHUNK = 1 << 19  # windows in one numpy pass
 _SHARD = 2 << 20  # bytes sorted at once
 _SPLIT = 4096  # segments of one gram that stay together
+_WAYS = 8  # a gram of more than _SPLIT times as many segments is dealt by window
+_HELD = 1 << 16  # windows whose first a task looks for at once
 _LAST = 1 << 62  # ids of rows without an id start here
 
 
@@ -150,7 +153,8 @@ def shared_segments(texts: DataFrame, length: int) -> DataFrame:
 
 
 def texts_of(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc, z, parts): the compressed text of every document in ``found`` and its segments."""
+    """(doc, z, parts, most): the compressed text of every document in ``found``, its segments, and
+    the most ways of one of their grams."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
         pack = zstandard.ZstdCompressor(level=1)
@@ -164,14 +168,14 @@ def texts_of(texts: DataFrame, found: DataFrame) -> DataFrame:
     many = several.groupBy("gram").agg(F.ceil(F.count("*") / _SPLIT).cast("int").alias("ways"))
     rows = several.join(many, "gram").select("doc", "at", "gram", "ways").union(
         found.where("whole").select("doc", "at", "gram", F.lit(None).cast("int").alias("ways")))
-    parts = rows.groupBy("doc").agg(F.collect_list(F.struct("at", "gram", "ways")).alias("parts"))
+    parts = rows.groupBy("doc").agg(F.collect_list(F.struct("at", "gram", "ways")).alias("parts"), F.max("ways").alias("most"))
     packed = texts.mapInArrow(send, "doc long, z binary").dropDuplicates(["doc"])
     return bucketed(packed.join(parts, "doc").repartition(partitions(texts.sparkSession), "doc"), "doc")
 
 
-def repeated_runs(texts: DataFrame, length: int) -> DataFrame:
-    """(doc, start, stop): runs of windows, by first byte, that repeat an earlier window of another
-    content's segment. ``texts`` has the columns of ``texts_of``."""
+def bodies(texts: DataFrame, length: int) -> DataFrame:
+    """(gram, way, doc, first, body): bytes of segments, split by distance from their gram; those of
+    one gram and way are at most _WAYS * _SPLIT. ``texts`` has the columns of ``texts_of``."""
     span = length - _GRAM + 1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +185,7 @@ def repeated_runs(texts: DataFrame, length: int) -> DataFrame:
             for doc, z, parts in zip(*(b.column(k).to_pylist() for k in ("doc", "z", "parts"))):
                 text = unpack.decompress(z)
                 for p in parts:
-                    if not p["ways"]:
+                    if not p["ways"] or p["ways"] > _WAYS:
                         continue
                     first, far, n, ways = p["at"] >> 16, p["at"] >> 8 & 255, p["at"] & 255, p["ways"]
                     for k in range(min(ways, span)):  # windows at like distances from the gram
@@ -193,6 +197,49 @@ def repeated_runs(texts: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(
                     zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names)
 
+    names = ["gram", "way", "doc", "first", "body"]
+    return texts.select("doc", "z", "parts").mapInArrow(cut, "gram long, way int, doc long, first long, body binary")
+
+
+def hot_windows(texts: DataFrame, length: int) -> DataFrame:
+    """(window, doc, first): the windows of grams with more than _WAYS ways, by a digest of their
+    bytes. Those that repeat one of the same task have none."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        least: dict[bytes, tuple[int, int]] = {}
+        again: list[tuple[int, int]] = []
+
+        def flush() -> pa.RecordBatch:
+            doc, first = zip(*least.values(), *again)
+            out = pa.RecordBatch.from_arrays([pa.array([*least, *[None] * len(again)], pa.binary()),
+                                              pa.array(doc, pa.int64()), pa.array(first, pa.int64())], ["window", "doc", "first"])
+            least.clear()
+            again.clear()
+            return out
+
+        for b in slices(batches, "z", 1 << 20):
+            for doc, z, parts in zip(*(b.column(k).to_pylist() for k in ("doc", "z", "parts"))):
+                text = unpack.decompress(z)
+                for p in parts:
+                    if not p["ways"] or p["ways"] <= _WAYS:
+                        continue
+                    for at in range(p["at"] >> 16, (p["at"] >> 16) + (p["at"] & 255)):
+                        key, own = hashlib.blake2b(text[at:at + length], digest_size=16).digest(), (doc, at)
+                        held = least.setdefault(key, own)
+                        if held != own:
+                            least[key] = min(held, own)
+                            again.append(max(held, own))
+                    if len(least) + len(again) >= _HELD:
+                        yield flush()
+        if least:
+            yield flush()
+
+    return texts.where(F.col("most") > _WAYS).select("doc", "z", "parts").mapInArrow(cut, "window binary, doc long, first long")
+
+
+def repeated_runs(texts: DataFrame, length: int) -> DataFrame:
+    """(doc, start, stop): runs of windows, by first byte, that repeat an earlier window of another
+    content's segment. ``texts`` has the columns of ``texts_of``."""
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for t in groups(batches, 2):
@@ -204,10 +251,27 @@ def repeated_runs(texts: DataFrame, length: int) -> DataFrame:
         if held:
             yield from _repeats(pa.concat_tables(held), length)
 
-    names = ["gram", "way", "doc", "first", "body"]
-    bodies = texts.select("doc", "z", "parts").mapInArrow(cut, "gram long, way int, doc long, first long, body binary")
-    dealt = bodies.repartition(partitions(texts.sparkSession), "gram", "way").sortWithinPartitions("gram", "way", "doc", "first")
-    return dealt.mapInArrow(sort, "doc long, start long, stop long")
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the last window
+        for b in batches:
+            window, rows = b.column(0), b.num_rows
+            if not rows:
+                continue
+            again = np.array(window.is_null())
+            again[1:] |= pc.fill_null(pc.equal(window.slice(1), window.slice(0, rows - 1)), False).to_numpy(zero_copy_only=False)
+            again[0] |= window[0].is_valid and window[0].as_py() == last
+            last = window[-1].as_py()
+            b = b.filter(pa.array(again))
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pc.add(b.column(2), 1)], ["doc", "start", "stop"])
+
+    n = partitions(texts.sparkSession)
+    dealt = bodies(texts, length).repartition(n, "gram", "way").sortWithinPartitions("gram", "way", "doc", "first")
+    # A window sends one row per task's share; those that are settled go anywhere.
+    to = F.when(F.col("window").isNull(), F.xxhash64("doc", "first")).otherwise(F.xxhash64("window"))
+    single = hot_windows(texts, length).withColumn("to", to).repartition(n, "to") \
+        .sortWithinPartitions("window", "doc", "first").select("window", "doc", "first")
+    kinds = "doc long, start long, stop long"
+    return dealt.mapInArrow(sort, kinds).union(single.mapInArrow(pick, kinds))
 
 
 def _repeats(t: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
