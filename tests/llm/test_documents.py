@@ -210,6 +210,22 @@ def test_katz_is_exact_and_normalised(docs, texts):
         assert found[0]["held_out"] == (i is not None and zlib.crc32(str(i).encode()) % 5 == 1)
 
 
+def test_katz_cuts_frequent_contexts(spark, docs, texts, monkeypatch):
+    monkeypatch.setattr(katz, "_HOT", 5, raising=False)
+    monkeypatch.setattr(katz, "_BLOCKS", 1, raising=False)
+    test_katz_is_exact_and_normalised(docs, texts)
+    rows = [(i, " ".join(f"the {i}w{k}" for k in range(60))) for i in range(40)]
+    blocks = katz.token_blocks(spark.createDataFrame(rows, "doc_id long, text string"))
+    unigrams = katz._unigram_counts(blocks, 4)
+    total, _, *n1 = katz._stats(unigrams, katz.K + 3)
+    known = katz._bigram_counts(blocks, unigrams, katz.Unigrams(total, n1), 4).where("block is not null").collect()
+    held = Counter()
+    for r in known:
+        held[r["part"]] += len(katz._unz(r["counts"], np.int64))
+    # Half of all pairs have one context; each part has its share of them.
+    assert len(held) == 4 and max(held.values()) < 0.3 * sum(held.values())
+
+
 def test_token_counts_and_encoding(docs, texts):
     v = unigram.vocabulary("piece_bpe_32k.model")
     counted = rows_by_id(token_counts.token_counts(docs))

@@ -3,7 +3,9 @@
 Texts become blocks of token numbers over a block's own dictionary, stored once and dealt
 by block. Counting and scoring are one exchange per order: a block sends its distinct
 n-grams with their training counts to the part that owns the context, the part adds them up
-and answers in the same order. The answers are the count tables, partitioned by block, and a
+and answers in the same order. The number of parts grows with that of blocks. A context of many
+tokens is cut into ways by second word, each in its own part; its sums over the ways are one
+small aggregate, joined back. The answers are the count tables, partitioned by block, and a
 block evaluates them recursively: bigram if seen, else the context's backoff weight times
 the unigram. No count table is ever held whole.
 
@@ -29,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucketed, partitions, slices, store
-from .words import text_bytes, words
+from .words import mix, text_bytes, words
 
 K = 5
 _END = np.uint64(1)
 _BLOCK_BYTES = 6 << 20
+_HOT = 1 << 16  # tokens of a context in one way
+_BLOCKS = 2  # blocks whose distinct n-grams a part may hold
 
 
 def _z(x: np.ndarray) -> bytes:
@@ -87,6 +91,10 @@ def token_blocks(docs: DataFrame) -> DataFrame:
         run, f"block long, ids array<{ids}>, held array<boolean>, sizes binary, words binary, stream binary"), "block")
 
 
+def parts_of(blocks: DataFrame) -> int:
+    return max(partitions(blocks.sparkSession), -(-blocks.count() // _BLOCKS))
+
+
 class _Block:
     """A block's tokens as numbers of its dictionary, which is ordered by hash."""
 
@@ -152,33 +160,42 @@ def _rows(columns: list[list], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _unigram_counts(blocks: DataFrame, parts: int) -> DataFrame:
-    """(block, part, counts, stats): each block's dictionary counts; rows without a block hold N, V, n_1...n_6."""
-    asked = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-    answer = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("counts", pa.binary()), ("stats", pa.list_(pa.int64()))])
+    """(block, part, counts, ways, hot, stats): each block's dictionary counts, the ways of its words as
+    contexts, and the words of several ways; rows without a block hold N, V, n_1...n_6."""
+    asked = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("held", pa.binary())])
+    answer = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("counts", pa.binary()), ("ways", pa.binary()),
+                        ("hot", pa.list_(pa.int64())), ("stats", pa.list_(pa.int64()))])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
                 x = _Block(row)
                 c = np.bincount(x.now, x.train, len(x.words)).astype(np.int64)
+                # As a context a word has as many tokens as by itself; only the end also starts texts.
+                held = np.bincount(x.now, minlength=len(x.words)) - c
                 split = x.by_part(parts)
                 yield _rows([[p for p, _ in split], [row["block"]] * len(split), [x.words[at].tobytes() for _, at in split],
-                             [_z(c[at]) for _, at in split]], asked)
+                             [_z(c[at]) for _, at in split], [_z(held[at]) for _, at in split]], asked)
 
     def add(t: pa.Table) -> pa.Table:
         keys = [np.frombuffer(k, np.uint64) for k in t["keys"].to_pylist()]
         c = np.concatenate([_unz(x, np.int64) for x in t["counts"].to_pylist()])
         names, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.zeros(len(names), np.int64)
+        total, ways = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
         np.add.at(total, at, c)
+        np.add.at(ways, at, c + np.concatenate([_unz(x, np.int64) for x in t["held"].to_pylist()]))
+        ways = ways // _HOT + 1
         stats = [int(total.sum()), int((total > 0).sum()), *_count_of_counts(total)]
-        back = np.split(total[at], np.cumsum([len(k) for k in keys])[:-1])
+        cuts = np.cumsum([len(k) for k in keys])[:-1]
+        back, each = np.split(total[at], cuts), np.split(ways[at], cuts)
         n = len(back)
-        return pa.Table.from_batches([_rows([t["block"].to_pylist() + [None], t["part"].to_pylist() + [None],
-                                             [_z(x) for x in back] + [None], [None] * n + [stats]], answer)])
+        return pa.Table.from_batches([_rows([
+            t["block"].to_pylist() + [None], t["part"].to_pylist() + [None], [_z(x) for x in back] + [None], [_z(x) for x in each] + [None],
+            [k[w > 1].view(np.int64) for k, w in zip(keys, each)] + [None], [None] * n + [stats]], answer)])
 
-    sent = blocks.select("block", "held", "sizes", "words", "stream").mapInArrow(ask, "part long, block long, keys binary, counts binary")
-    return store(sent.groupBy("part").applyInArrow(add, "block long, part long, counts binary, stats array<long>"))
+    sent = blocks.select("block", "held", "sizes", "words", "stream").mapInArrow(ask, "part long, block long, keys binary, counts binary, held binary")
+    return store(sent.groupBy("part").applyInArrow(
+        add, "block long, part long, counts binary, ways binary, hot array<long>, stats array<long>"))
 
 
 def _stats(answers: DataFrame, n: int) -> list[int]:
@@ -190,8 +207,8 @@ def _answers(t: DataFrame, *columns: str, name: str) -> DataFrame:
     return t.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("part", *columns)).alias(name))
 
 
-def _dictionary_counts(x: _Block, answers: list[dict], parts: int) -> np.ndarray:
-    got = {a["part"]: a["counts"] for a in answers}
+def _dictionary_counts(x: _Block, answers: list[dict], parts: int, name: str = "counts") -> np.ndarray:
+    got = {a["part"]: a[name] for a in answers}
     out = np.zeros(len(x.words), np.int64)
     for p, at in x.by_part(parts):
         out[at] = _unz(got[p], np.int64)
@@ -205,29 +222,34 @@ def _known_pairs(x: _Block, c: np.ndarray) -> tuple[np.ndarray, ...]:
     return first, second, n, at, np.flatnonzero(known)
 
 
-def _pairs_by_part(x: _Block, c: np.ndarray, first: np.ndarray, known: np.ndarray, parts: int):
-    """(part, its known contexts, its known pairs): pairs are ordered by context already."""
-    word_part = np.zeros(len(x.words), np.int64)
-    split = x.by_part(parts)
-    for p, at in split:
-        word_part[at] = p
+def _second(x: _Block, second: np.ndarray) -> np.ndarray:
+    return x.words[second] >> np.uint64(16)
+
+
+def _pairs_by_part(x: _Block, c: np.ndarray, ways: np.ndarray, first: np.ndarray, second: np.ndarray, known: np.ndarray, parts: int):
+    """(part, its known contexts, its known pairs): pairs are ordered by context already. A context
+    of several ways is in each part that has one of its pairs."""
     contexts = np.zeros(len(x.words), bool)
     contexts[first] = True
-    contexts &= c > 0
-    part = word_part[first[known]]
+    contexts &= (c > 0) & (ways == 1)
+    way = mix(_second(x, second[known])) % ways[first[known]].astype(np.uint64)
+    part = ((x.words[first[known]] % np.uint64(parts) + way) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     part = part[order]
-    for p, at in split:
+    own = dict(x.by_part(parts))
+    for p in np.union1d(np.array(list(own), np.int64), part).tolist():
         a, b = np.searchsorted(part, [p, p + 1])
-        at = at[contexts[at]]
+        pairs, at = known[order[a:b]], own.get(p, np.zeros(0, np.int64))
+        at = np.union1d(at[contexts[at]], first[pairs])
         if len(at):
-            yield p, at, known[order[a:b]]
+            yield p, at, pairs
 
 
 def _bigram_counts(blocks: DataFrame, unigrams: DataFrame, p_of: Unigrams, parts: int) -> DataFrame:
-    """(block, part, counts, contexts, stats): each block's pair counts, and what weighs its contexts."""
+    """(block, part, counts, totals, few, seen, stats): each block's pair counts, and what weighs its
+    contexts; rows without a block hold the part's share of contexts of several ways."""
     asked = pa.schema([("part", pa.int64()), ("block", pa.int64()), *((k, pa.binary()) for k in (
-        "context", "runs", "low", "high", "counts", "second"))])
+        "context", "hot", "runs", "low", "high", "counts", "second"))])
     answer = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("counts", pa.binary()), ("totals", pa.binary()),
                         ("few", pa.binary()), ("seen", pa.binary()), ("stats", pa.list_(pa.int64()))])
 
@@ -235,14 +257,14 @@ def _bigram_counts(blocks: DataFrame, unigrams: DataFrame, p_of: Unigrams, parts
         for b in batches:
             for row in b.to_pylist():
                 x = _Block(row)
-                c = _dictionary_counts(x, row["unigrams"], parts)
+                c, ways = (_dictionary_counts(x, row["unigrams"], parts, k) for k in ("counts", "ways"))
                 first, second, n, _, known = _known_pairs(x, c)
                 out = [[] for _ in asked]
-                for p, contexts, pairs in _pairs_by_part(x, c, first, known, parts):
+                for p, contexts, pairs in _pairs_by_part(x, c, ways, first, second, known, parts):
                     runs = np.bincount(np.searchsorted(contexts, first[pairs]), minlength=len(contexts))
-                    h = x.words[second[pairs]] >> np.uint64(16)
+                    h = _second(x, second[pairs])
                     for column, value in zip(out, (
-                            p, row["block"], x.words[contexts].tobytes(), _z(runs), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(),
+                            p, row["block"], x.words[contexts].tobytes(), _z((ways[contexts] > 1).astype(np.uint8)), _z(runs), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(),
                             (h >> np.uint64(32)).astype(np.uint16).tobytes(), _z(n[pairs]), _z(c[second[pairs]]))):
                         column.append(value)
                 yield _rows(out, asked)
@@ -252,7 +274,8 @@ def _bigram_counts(blocks: DataFrame, unigrams: DataFrame, p_of: Unigrams, parts
             return [np.frombuffer(x, kind) if kind else _unz(x, np.int64) for x in t[k].to_pylist()]
 
         context, runs = column("context", np.uint64), column("runs")
-        names, name = np.unique(np.concatenate(context), return_inverse=True)
+        names, at, name = np.unique(np.concatenate(context), return_index=True, return_inverse=True)
+        hot = np.concatenate([_unz(x, np.uint8) for x in t["hot"].to_pylist()])[at] > 0
         first = np.repeat(name, np.concatenate(runs))
         second = np.concatenate(column("low", np.uint32)).astype(np.uint64) | (
             np.concatenate(column("high", np.uint16)).astype(np.uint64) << np.uint64(32))
@@ -274,20 +297,40 @@ def _bigram_counts(blocks: DataFrame, unigrams: DataFrame, p_of: Unigrams, parts
         own = np.split(name, np.cumsum([len(x) for x in context])[:-1])
         k = len(each)
         return pa.Table.from_batches([_rows([
-            t["block"].to_pylist() + [None], t["part"].to_pylist() + [None], [_z(x) for x in each] + [None],
-            [_z(totals[o]) for o in own] + [None], [_z(few[o]) for o in own] + [None], [_z(mass[o]) for o in own] + [None],
+            t["block"].to_pylist() + [None], t["part"].to_pylist() + [None], [_z(x) for x in each] + [names[hot].tobytes()],
+            *([_z(v[o]) for o in own] + [_z(v[hot])] for v in (totals, few, mass)),
             [None] * k + [_count_of_counts(total)]], answer)])
 
-    sent = blocks.select("block", "held", "sizes", "words", "stream").join(_answers(unigrams, "counts", name="unigrams"), "block")
+    sent = blocks.select("block", "held", "sizes", "words", "stream").join(_answers(unigrams, "counts", "ways", name="unigrams"), "block")
     kinds = ", ".join(f"{k} {'long' if k in ('part', 'block') else 'binary'}" for k in asked.names)
     return store(sent.mapInArrow(ask, kinds).groupBy("part").applyInArrow(
         add, "block long, part long, counts binary, totals binary, few binary, seen binary, stats array<long>"))
 
 
+def _hot_contexts(unigrams: DataFrame, bigrams: DataFrame) -> DataFrame:
+    """(block, hot): what weighs the contexts of several ways that a block has."""
+    few = [f"n{r}" for r in range(1, K + 1)]
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                n = _unz(row["few"], np.int64).reshape(-1, K)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (
+                    np.frombuffer(row["counts"], np.int64), _unz(row["totals"], np.int64), *n.T.copy(), _unz(row["seen"], np.float64))],
+                    ["context", "total", *few, "seen"])
+
+    share = bigrams.where("block is null").select("counts", "totals", "few", "seen").mapInArrow(
+        shares, f"context long, total long, {', '.join(f'{k} long' for k in few)}, seen double")
+    sums = share.groupBy("context").agg(*(F.sum(k).alias(k) for k in ("total", *few, "seen")))
+    asked = unigrams.where("block is not null").select("block", F.explode("hot").alias("context"))
+    return asked.join(sums, "context").groupBy("block").agg(F.collect_list(F.struct(
+        "context", "total", F.array(*few).alias("few"), "seen")).alias("hot"))
+
+
 def lm_scores(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    parts = partitions(docs.sparkSession)
     blocks = token_blocks(docs)
+    parts = parts_of(blocks)
     unigrams = _unigram_counts(blocks, parts)
     total, distinct, *n1 = _stats(unigrams, K + 3)
     p_of = Unigrams(total, n1)
@@ -300,20 +343,28 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         for b in batches:
             for i, row in enumerate(b.to_pylist()):
                 x = _Block(row)
-                c = _dictionary_counts(x, row["unigrams"], parts)
+                c, ways = (_dictionary_counts(x, row["unigrams"], parts, k) for k in ("counts", "ways"))
                 first, second, _, at, known = _known_pairs(x, c)
                 got = {a["part"]: a for a in row["bigrams"] or []}
                 count = np.zeros(len(first), np.int64)
                 # Per word as a context: its size, and what is left for unseen words.
                 size, weight = np.ones(len(x.words)), np.ones(len(x.words))
-                for p, contexts, pairs in _pairs_by_part(x, c, first, known, parts):
+
+                def weigh(contexts: np.ndarray, totals: np.ndarray, few: np.ndarray, mass: np.ndarray) -> None:
+                    cut = ((1 - d[1:]) * np.arange(1, K + 1) * few.reshape(-1, K)).sum(1)
+                    size[contexts] = np.where(cut > 0, totals, totals + 1)
+                    weight[contexts] = np.where(cut > 0, cut, 1.0) / size[contexts] / (1 - mass)
+
+                for p, contexts, pairs in _pairs_by_part(x, c, ways, first, second, known, parts):
                     a = got[p]
                     count[pairs] = _unz(a["counts"], np.int64)
-                    totals, few = _unz(a["totals"], np.int64), _unz(a["few"], np.int64).reshape(-1, K)
-                    cut = ((1 - d[1:]) * np.arange(1, K + 1) * few).sum(1)
-                    rest = np.where(cut > 0, cut, 1.0)
-                    size[contexts] = np.where(cut > 0, totals, totals + 1)
-                    weight[contexts] = rest / size[contexts] / (1 - _unz(a["seen"], np.float64))
+                    one = ways[contexts] == 1
+                    weigh(contexts[one], _unz(a["totals"], np.int64)[one], _unz(a["few"], np.int64).reshape(-1, K)[one],
+                          _unz(a["seen"], np.float64)[one])
+                hot = row["hot"] or []
+                words_of = np.array([h["context"] for h in hot], np.int64).view(np.uint64)
+                weigh(np.searchsorted(x.words, words_of), *(np.array([h[k] for h in hot], kind) for k, kind in (
+                    ("total", np.int64), ("few", np.int64), ("seen", np.float64))))
                 seen = d[np.minimum(count, K)] * (count <= K) + (count > K)
                 p_pair = np.where(count > 0, seen * count / size[first], weight[first] * p_of(c[second]))
                 logs = np.log10(p_pair)[at]
@@ -324,6 +375,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
                     pa.array(np.bincount(x.doc, c[x.now] > 0, n).astype(np.int64)), pa.array(np.full(n, total)),
                     pa.array(np.bincount(x.doc, base, n)), pa.array(np.bincount(x.doc, logs, n))], names)
 
-    whole = blocks.join(_answers(unigrams, "counts", name="unigrams"), "block").join(
-        _answers(bigrams, "counts", "totals", "few", "seen", name="bigrams"), "block", "left")
+    whole = blocks.join(_answers(unigrams, "counts", "ways", name="unigrams"), "block").join(
+        _answers(bigrams, "counts", "totals", "few", "seen", name="bigrams"), "block", "left").join(
+        _hot_contexts(unigrams, bigrams), "block", "left")
     return whole.mapInArrow(score, f"doc_id {ids}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
