@@ -258,6 +258,23 @@ def _(v):
     return v.clusters.select("person_row").join(by_join, "person_row", "left").fillna(0.0)
 
 
+# All steps; longer closed walks are too slow in SQL, so a test holds them to powers of the walk matrix.
+_ALL_WALK_COLUMNS = "person_row:i " + " ".join(f"rw{k}:d" for k in range(1, C.RWSE_STEPS + 1))
+
+
+@query("random_walk_encoding_all_steps", "G10", _ALL_WALK_COLUMNS)
+def _(v):
+    return graph.random_walk_encoding(v.directed_edges, v.clusters)
+
+
+@query("random_walk_by_join_all_steps", "G10", _ALL_WALK_COLUMNS)
+def _(v):
+    intra = cut(graph.intra_cluster_edges(v.directed_edges, v.clusters, "person_row").select("u", "v"))
+    by_join = graph.return_probabilities_by_join(intra, C.RWSE_STEPS).groupBy(F.col("node").alias("person_row")).agg(
+        *[F.max(F.when(F.col("k") == k, F.col("p"))).alias(f"rw{k}") for k in range(1, C.RWSE_STEPS + 1)])
+    return v.clusters.select("person_row").join(by_join, "person_row", "left").fillna(0.0)
+
+
 @query("neighbor_means", "G12", "person_row:i etype:s hop:i age:d tier_count:d",
        f"""WITH {_EDGE_SQL}, h1 AS (SELECT u, etype, avg(age) AS age, avg(tier_count) AS tier_count
          FROM way JOIN person ON person_row = v GROUP BY 1, 2),
@@ -492,7 +509,7 @@ def _(v):
     t = model_table(v)
     num, cat, _ = features.task_features("turnout", t.columns)
     held = t.filter("split = 'test' and y_turnout >= 0").withColumnRenamed("y_turnout", "y")
-    boosted = models.predict(models.fit_turnout(t, num, cat, iterations=8, depth=3), held, num, cat)
+    boosted = models.predict(models.fit_turnout(t, num, cat), held, num, cat)
     floor = models.predict(models.fit_age_floor(t), held, ["age"], [])
     out = None
     for name, scored in (("boosted", boosted), ("age_floor", floor)):
@@ -507,8 +524,8 @@ def _(v):
     t = model_table(v)
     tn, tc, _ = features.task_features("turnout", t.columns)
     pn, pc, _ = features.task_features("party", t.columns)
-    s = models.score_people(t, models.fit_turnout(t, tn, tc, iterations=4, depth=3),
-                            models.fit_party(t, pn, pc, trees=8, depth=4), 1.2, 0.9)
+    s = models.score_people(t, models.fit_turnout(t, tn, tc),
+                            models.fit_party(t, pn, pc), 1.2, 0.9)
     total = F.col("p_dem_lean") + F.col("p_rep_lean") + F.col("p_other")
     return s.groupBy("registered_party").agg(
         F.count(F.lit(1)).alias("n"),
@@ -522,7 +539,7 @@ def _(v):
     t = splits.attach_split(t, splits.split_by_people(v.people, models.SEED))
     t = cut(t)
     h = {e: cut(history.history_features(v.people, v.ballots, e, REF_YEAR)) for e in (1998, TARGET)}
-    b = models.backtest(t, h[1998], h[TARGET], 1998, TARGET, REF_YEAR, iterations=4)
+    b = models.backtest(t, h[1998], h[TARGET], 1998, TARGET, REF_YEAR)
     return b.select("metric", F.col("gap").isNotNull().cast("int").alias("has_both"))
 
 
