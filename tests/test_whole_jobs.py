@@ -72,3 +72,37 @@ def test_backtest_returns_importances(spark):
     top = {m: r["forward"] for m, r in got.items() if m.startswith("importance_")}
     assert len(top) == 10 and max(top, key=top.get) == "importance_hist_n_generals"
     assert "auc" in got
+
+
+def test_feature_queries_take_all_numeric_features(spark):
+    v = Views(spark, FOLDER)
+    t = graph_queries.model_table(v).toPandas()
+    got = {q: REGISTRY[q + "_all_features"].run(spark, FOLDER).toPandas() for q in ("feature_aucs", "train_statistics", "standardized_features")}
+    names = set(graph_queries._numeric_features(graph_queries.model_table(v)))
+    assert len(names) > 40 and {"hist_n_votes", "hist_trend_3v5", "fec_total", "ed_dem_share_excl"} <= names
+    for rows in got.values():
+        assert set(rows.feature) == names
+    assert len(got["standardized_features"]) == len(names) * len(t)
+    for r in got["train_statistics"].itertuples():
+        x = t[r.feature].astype(float)
+        train = x[t.split == "train"]
+        if train.notna().any():
+            train = train.fillna(train.median())
+            std = train.std() or 1.0
+            assert (r.mean, r.std) == pytest.approx((train.mean(), std), abs=2e-6)
+            z = got["standardized_features"].query("feature == @r.feature").set_index("person_row").z
+            want = ((x.fillna(x[t.split == "train"].median()) - train.mean()) / std).set_axis(t.person_row)
+            assert z.sort_index().tolist() == pytest.approx(want.sort_index().tolist(), abs=2e-5)
+    own = t[t.y_turnout >= 0]
+    for r in got["feature_aucs"].itertuples():
+        x = own[r.feature].astype(float)
+        x = x.fillna(x.min()).fillna(0.0).to_numpy()
+        a, b = x[own.y_turnout == 1], x[own.y_turnout == 0]
+        less = (a[:, None] > b).mean() + (a[:, None] == b).mean() / 2
+        assert r.auc == pytest.approx(less, abs=2e-6) and r.n == len(own)
+
+
+def test_place_classification_takes_all_parties(spark):
+    keys = {r["key"] for r in REGISTRY["place_classification_all_parties"].run(spark, FOLDER).select("key").collect()}
+    parties = {r["party"] for r in Views(spark, FOLDER).people.collect() if r["person_row"] in keys}
+    assert len(parties) > 1

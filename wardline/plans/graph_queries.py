@@ -504,6 +504,31 @@ def model_table(v: Views) -> DataFrame:
     return cut(splits.attach_split(p, splits.split_by_people(v.people, models.SEED)))
 
 
+def _numeric_features(t: DataFrame) -> list[str]:
+    """Every numeric feature of the manifest that the table has."""
+    return [n for n, m in features.manifest().items() if m["type"] == "numeric" and n in t.columns]
+
+
+@query("feature_aucs_all_features", "A40", "feature:s auc:d n:i")
+def _(v):
+    t = model_table(v)
+    return metrics.feature_aucs(t.filter("y_turnout >= 0"), _numeric_features(t), "y_turnout")
+
+
+@query("train_statistics_all_features", "A43", "feature:s median:d mean:d std:d")
+def _(v):
+    t = model_table(v)
+    return features.train_statistics(t, _numeric_features(t))
+
+
+@query("standardized_features_all_features", "G11 A43", "person_row:i feature:s z:d")
+def _(v):
+    t = model_table(v)
+    names = _numeric_features(t)
+    z = features.standardize(t, names, features.train_statistics(t, names), "person_row")
+    return z.unpivot(["person_row"], names, "feature", "z")
+
+
 @query("turnout_model", "M1 M3 A34", "model:s auc_over_half:i n:i")
 def _(v):
     t = model_table(v)
