@@ -78,3 +78,19 @@ def test_url_rules_and_templates(spark):
     assert got[11] == ("y.net:", "//z/fr/", None, "allow")
     assert got[12][2:] == ("com/", "allow") and got[13] == ("a.com", "", None, "allow")
     assert urls.url_verdicts(df.where("n > 1")).count() == 0
+
+
+def test_walks_reach_every_partner_along_few_directions():
+    rng = np.random.RandomState(4)
+    x = np.zeros((4000, 64))
+    x[:, 0], x[:, 32] = 1, 1
+    x[:, [1, 33]] = rng.uniform(-1, 1, (4000, 2))  # the codebooks split these alone
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    grid = neardup.Grid(x, 16, 0.95)
+    met = np.zeros((4000, grid.codes ** 2), bool)
+    homes = []
+    for row, cell, home in grid.walk(x):
+        met[row, cell] = True
+        homes.append(home)
+    a, b = np.nonzero(x @ x.T >= 0.95)
+    assert met[a, np.concatenate(homes)[b]].all()

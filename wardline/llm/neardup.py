@@ -3,9 +3,8 @@
 Two codebooks, one per half of the components, make a grid of cells. A vector lives in the
 cell of its nearest codes. To find its partners it walks the cells in the order of the sum of
 both halves' squared distances to the cell (to the border between its own code's region and
-the cell's), the multi-sequence order, and stops where the wanted share of partners at the
-least similarity has been met. How far that is, is measured on drawn partners of exactly that
-similarity. Every visited cell is checked exactly.
+the cell's), the multi-sequence order, and stops at the squared distance of vectors of the
+least similarity, so no partner's cell is left out. Every visited cell is checked exactly.
 
 Equal vectors are one vector with a count. Cells of many homes or visitors are cut into
 blocks that meet pairwise, so no task holds a whole cell; a block returns link counts and a
@@ -34,20 +33,13 @@ CELL = (2048, 8192)
 class Grid:
     """Codebooks of both halves, fitted to a sample, and how far a walk goes."""
 
-    def __init__(self, sample: np.ndarray, codes: int, least: float, recall: float):
+    def __init__(self, sample: np.ndarray, codes: int, least: float):
         rng = np.random.RandomState(7)
         self.cut = sample.shape[1] // 2
         self.books = [self._fit(h, codes, rng) for h in self.halves(sample)]
         self.codes = max(len(b) for b in self.books)
-        x = sample[rng.randint(len(sample), size=20_000)] if len(sample) else sample
-        z = rng.standard_normal(x.shape)
-        z -= (z * x).sum(1, keepdims=True) * x
-        z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-30)
-        home, _ = self.places(least * x + np.sqrt(1 - least ** 2) * z)
-        _, far = self.places(x)
-        i, j = home // self.codes, home % self.codes
-        rows = np.arange(len(x))
-        self.reach = float(np.quantile(far[0][rows, i] + far[1][rows, j], recall)) if len(x) else 0.0
+        # The distance to a cell's border is never more than to a vector in it; the rest is rounding.
+        self.reach = 2 - 2 * least + 1e-6
 
     def halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return x[:, :self.cut], x[:, self.cut:]
@@ -104,7 +96,7 @@ def _forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.
         left, right = a, b
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.95, recall: float = 0.999, sample_rows: int = 20_000) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.95, sample_rows: int = 20_000) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row. ``sample_rows`` bounds the rows (by id
     hash) that the codebooks are fitted to; every row is indexed and compared."""
     own = F.lit(_LAST) + F.shiftrightunsigned(F.xxhash64("embedding"), 2)
@@ -115,7 +107,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, recall: float = 0.999,
     sample = one.select("embedding", "id").orderBy(F.xxhash64("id"), "id").limit(sample_rows).toArrow()["embedding"].combine_chunks()
     sample = sample.chunk(0) if isinstance(sample, pa.ChunkedArray) and sample.num_chunks else sample
     codes = int(max(8, min(256, 2 * n ** 0.25)))  # cells grow as the root of the rows
-    grid = Grid(_unit(sample, dims) if len(sample) else np.zeros((0, dims)), codes, least, recall)
+    grid = Grid(_unit(sample, dims) if len(sample) else np.zeros((0, dims)), codes, least)
     cells = grid.codes ** 2
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
