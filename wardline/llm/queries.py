@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, katz, neardup, oracle, packing, quality, repeats, search, spm, token_counts, urls
+from . import fim, jaccard, katz, neardup, oracle, packing, quality, repeats, search, spm, token_counts, urls
 from .common import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,6 +16,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_exact_top_k": oracle.TOP_K,
     "op7_url_filter": oracle.URLS,
     "op8_embedding_near_dedup": oracle.NEAR_VECTORS,
+    "op12_fill_in_middle": oracle.FIM,
 }
 
 
@@ -80,3 +81,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op5_sentencepiece")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return spm.digest(spm.encode(_table(spark, folder, "documents")))
+
+
+@_query("op12_fill_in_middle")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return fim.digest(fim.transform(_table(spark, folder, "documents")))
