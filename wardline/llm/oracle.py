@@ -117,3 +117,64 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
   sha256(t) AS restored_sha256
 FROM p
 """
+
+
+def _conversations() -> str:
+    """The repair as a recursion from each conversation's last row to its first: per role state
+    (0 nothing yet, 1 after s, 2 after u, 3 after a) the least (cost, audit, repaired text) of what follows."""
+    goes, role = {0: 2, 1: 2, 2: 3, 3: 2}, {0: "user", 1: "user", 2: "assistant", 3: "user"}
+
+    def plus(cost: str, letter: str, row: str, rest: str) -> str:
+        return f"{{'c': {cost} + {rest}.c, 'a': '{letter}' || {rest}.a, 'r': {row} || {rest}.r}}"
+
+    def keep(s: int) -> str:
+        to = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}[s]
+        return " ".join(f"WHEN i0 = '{i}' THEN " + plus("late", "K", "chr(10) || role || ':' || t", f"s{k}") for i, k in to.items())
+
+    def edited(s: int) -> str:
+        gone = plus("4", "D", "''", f"s{s}")
+        reroled = plus("late + 3", "R", f"chr(10) || '{role[s]}:' || t", f"s{goes[s]}")
+        return f"least({gone}, CASE WHEN fault < 2 THEN {reroled} END, CASE WHEN fault >= 2 THEN NULL {keep(s)} END) AS s{s}"
+
+    def inserted(s: int) -> str:
+        return f"least(s{s}, " + plus("3", "I", f"chr(10) || '{role[s]}:'", f"s{goes[s]}") + f") AS s{s}"
+
+    edit, insert = (", ".join(map(f, range(4))) for f in (edited, inserted))
+    return f"""
+WITH RECURSIVE bits(i, k, c) AS (
+  SELECT range, 0, range FROM range(256) UNION ALL
+  SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS t,
+    xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(
+      string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ord(x) AS BIGINT))),
+      lambda c, x: xor(tab[(xor(c, x) & 255) + 1], c >> 8))) % 20 AS draw
+  FROM conversations, tab),
+bad AS (
+  SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
+    CASE draw WHEN 1 THEN '' WHEN 2 THEN translate(t, '.!?', '') ELSE t END AS t, unnest(range(CASE draw WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS time FROM raw),
+seen AS (
+  SELECT *, row_number() OVER o AS i, row_number() OVER (PARTITION BY conv_id, role, t ORDER BY turn NULLS FIRST) AS nth,
+    left(role, 1) AS i0, lag(left(role, 1)) OVER o AS before FROM bad WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(t))),
+row AS (
+  SELECT *, CASE WHEN rtrim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 2 WHEN nth > 1 THEN 3
+    WHEN right(rtrim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) IN ('.', '!', '?') THEN 0 ELSE 1 END AS fault FROM seen),
+late AS (SELECT *, CASE fault WHEN 1 THEN 3 ELSE 0 END AS late FROM row),
+cheap(conv_id, i, s0, s1, s2, s3) AS (
+  SELECT conv_id, max(i), {{'c': 0, 'a': '', 'r': ''}}, {{'c': 6, 'a': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'}},
+    {{'c': 3, 'a': 'I', 'r': chr(10) || 'assistant:'}}, {{'c': 0, 'a': '', 'r': ''}} FROM row GROUP BY 1 UNION ALL
+  SELECT conv_id, i, {insert} FROM (SELECT conv_id, i, {insert} FROM (
+    SELECT l.conv_id, l.i - 1 AS i, {edit} FROM cheap c JOIN late l ON l.conv_id IS NOT DISTINCT FROM c.conv_id AND l.i = c.i))),
+count AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 2) AS blank,
+    count(*) FILTER (fault = 3) AS duplicate, count(*) FILTER (fault = 1) AS truncated,
+    count(*) FILTER (i > 1 AND before || i0 NOT IN ('su', 'ua', 'au')) AS illegal FROM row GROUP BY 1)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(s0.c, 0) AS BIGINT) AS cost, coalesce(s0.a, '') AS audit, sha256(coalesce(substr(s0.r, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN count n ON n.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN cheap c ON c.conv_id IS NOT DISTINCT FROM a.conv_id AND c.i = 0
+"""
+
+
+CONVERSATIONS = _conversations()

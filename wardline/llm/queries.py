@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fim, jaccard, katz, neardup, oracle, packing, quality, repeats, search, spm, token_counts, urls
+from . import conversations, fim, jaccard, katz, neardup, oracle, packing, quality, repeats, search, spm, token_counts, urls
 from .common import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,6 +17,7 @@ ORACLE_SQL: dict[str, str] = {
     "op7_url_filter": oracle.URLS,
     "op8_embedding_near_dedup": oracle.NEAR_VECTORS,
     "op12_fill_in_middle": oracle.FIM,
+    "op13_conversation_repair": oracle.CONVERSATIONS,
 }
 
 
@@ -86,3 +87,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op12_fill_in_middle")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return fim.digest(fim.transform(_table(spark, folder, "documents")))
+
+
+@_query("op13_conversation_repair")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.digest(conversations.damage(_table(spark, folder, "conversations")))
