@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, fim, jaccard, katz, neardup, oracle, packing, quality, repeats, search, spm, token_counts, urls
+from . import conversations, fim, html_text, jaccard, katz, neardup, oracle, packing, quality, repeats, search, spm, token_counts, urls
 from .common import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,8 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op13_conversation_repair")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.digest(conversations.damage(_table(spark, folder, "conversations")))
+
+
+@_query("op11_html_extraction")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(_table(spark, folder, "pages"))
