@@ -120,7 +120,7 @@ def test_models_beat_the_floor_and_score_everyone(planted):
         return metrics.binary_metrics(models.predict(model, held, n, c).withColumn("p", F.get("probs", F.lit(1)))).first()["auc"]
 
     assert auc(t, num, cat) > auc(models.fit_age_floor(planted), ["age"], []) + .2
-    assert models.feature_importances(t, num + cat, 1)[0][0] == "hist_n_generals"
+    assert models.feature_importances(t, 1)[0][0] == "hist_n_generals"
     pn, pc, _ = features.task_features("party", planted.columns)
     s = models.score_people(planted, t, models.fit_party(planted, pn, pc, trees=5, depth=4))
     assert s.count() == 1200 and s.filter("turnout_propensity is null or p_dem_lean is null").count() == 0

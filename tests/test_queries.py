@@ -5,7 +5,6 @@ from __spark_entry__ import REGISTRY, entry, oracle_sql, queries
 from check_queries import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
-MODELS = {"turnout_model", "party_model", "temporal_backtest"}
 
 
 @pytest.fixture(scope="module")
@@ -13,7 +12,7 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", [n for n in REGISTRY if n not in MODELS])
+@pytest.mark.parametrize("name", REGISTRY)
 def test_query(spark, con, name):
     status, _, note = compare(spark, con, name, FOLDER)
     assert status in ("ok", "rows-only"), note

@@ -1,8 +1,12 @@
 """Queries are registered over the whole job of their operators."""
 import inspect
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from wardline.operators import models
@@ -35,28 +39,82 @@ def test_walks_take_all_steps(spark):
             assert [r[f"rw{k}"] for k in range(1, 17)] == pytest.approx(want[at[r["person_row"]]], abs=2e-6)
 
 
-def test_models_are_registered_whole(spark, monkeypatch):
-    seen = []
-
-    def record(name, *of):
-        shape = inspect.signature(getattr(models, name))
-
-        def call(*args, **kw):
-            bound = shape.bind(*args, **kw)
-            bound.apply_defaults()
-            seen.append((name, *(bound.arguments[k] for k in of)))
-            if name != "fit_turnout" or stop:
-                raise KeyError(name)
-        monkeypatch.setattr(models, name, call)
-    record("fit_turnout", "iterations", "depth", "patience")
-    record("fit_party", "trees", "depth")
-    record("backtest", "iterations")
-    monkeypatch.setattr(graph_queries, "model_table", lambda v: spark.sql("SELECT 'test' AS split, 1 AS y_turnout"))
-    for name, stop in (("turnout_model", True), ("party_model", False), ("temporal_backtest", True)):
-        with pytest.raises(KeyError):
-            REGISTRY[name].run(spark, FOLDER)
-    boosted = ("fit_turnout", 800, 6, 50)
-    assert seen == [boosted, boosted, ("fit_party", 100, 10), ("backtest", 800)]
+def test_turnout_metrics_equal_those_of_the_written_predictions(spark, monkeypatch, tmp_path):
+    """The whole query with 800 rounds allowed; its numbers recomputed by SQL from the predictions."""
+    kept, build, fit = str(tmp_path / "predictions"), graph_queries.held_out_predictions, models.fit_turnout
+    fits = []
+
+    def written(v):
+        build(v).write.parquet(kept)
+        return spark.read.parquet(kept)
+
+    def recorded(*args, **kw):
+        bound = inspect.signature(fit).bind(*args, **kw)
+        bound.apply_defaults()
+        fits.append([bound.arguments[k] for k in ("iterations", "depth", "patience")])
+        return fit(*args, **kw)
+    monkeypatch.setattr(graph_queries, "held_out_predictions", written)
+    monkeypatch.setattr(models, "fit_turnout", recorded)
+    got = {(r["model"], r["metric"]): r["value"] for r in REGISTRY["turnout_model"].run(spark, FOLDER).collect()}
+    want = duckdb.sql(f"""
+        WITH p AS (SELECT *, greatest(1e-15, least(1 - 1e-15, p)) AS c FROM '{kept}/*.parquet'),
+        auc AS (SELECT a.model, avg(CASE WHEN a.p > b.p THEN 1 WHEN a.p = b.p THEN 0.5 ELSE 0 END) AS auc
+          FROM p a JOIN p b ON a.model = b.model AND a.y = 1 AND b.y = 0 GROUP BY 1)
+        SELECT model, auc, avg(-(y * ln(c) + (1 - y) * ln(1 - c))), avg((y - p) * (y - p)), avg(y), count(*) FROM p JOIN auc USING (model) GROUP BY 1, 2""").fetchall()
+    assert fits == [[800, 6, 50]] and {m for m, *_ in want} == {"boosted", "age_floor"}
+    for model, *values in want:
+        assert [got[model, k] for k in ("auc", "log_loss", "brier", "base_rate", "n")] == pytest.approx(values, abs=2e-6)
+
+
+def test_first_rounds_are_the_model_of_fewer_rounds(spark, tmp_path):
+    n = F.col("id")
+    df = spark.range(400).select(array_to_vector(F.array((n * 7 % 13).cast("double"), (n % 5).cast("double"))).alias("features"),
+                                 ((n * 7 % 13 + n % 3) > 6).cast("double").alias("label"))
+    boosted = GBTClassifier(maxIter=6, maxDepth=2, seed=1)
+    long, short = boosted.fit(df), boosted.setMaxIter(3).fit(df)
+    cut = models.first_rounds(long, 3)
+    assert cut.getNumTrees == 3 and cut.evaluateEachIteration(df) == pytest.approx(long.evaluateEachIteration(df)[:3])
+    PipelineModel([cut]).write().save(str(tmp_path / "m"))
+    cut = PipelineModel.load(str(tmp_path / "m"))
+
+    def scores(m):
+        return [r[0][1] for r in m.transform(df).select("probability").collect()]
+    assert scores(cut) == pytest.approx(scores(short), abs=1e-12)
+
+
+def test_rounds_are_fitted_until_the_patience_is_used_up(spark, monkeypatch):
+    """Whatever was fitted on the way, the model is the one of all rounds looked through with patience."""
+    fitted = []
+
+    class Fake:
+        def __init__(self, **kw):
+            fitted.append(kw["maxIter"])
+
+        def fit(self, train):
+            return self
+
+        def evaluateEachIteration(self, val):
+            return ([1 / (i + 1) for i in range(90)] + [1.0] * 710)[:fitted[-1]]
+    monkeypatch.setattr(models, "GBTClassifier", Fake)
+    monkeypatch.setattr(models, "PipelineModel", lambda stages: stages[-1])
+    monkeypatch.setattr(models, "first_rounds", lambda model, n: n)
+    df = spark.createDataFrame([(k, 20 + k, k % 2, s) for k, s in enumerate(["train"] * 6 + ["val"] * 3)], "person_row int, age int, y_turnout int, split string")
+    assert models.fit_turnout(df, ["age"], []) == 90 and fitted == [63, 126, 252]
+    fitted.clear()
+    assert models.fit_turnout(df.filter("split = 'train'"), ["age"], []) == 800 and fitted == [800]
+
+
+def test_training_rows_are_bounded_and_wide_categories_are_means(spark):
+    n = F.col("id")
+    df = spark.range(3000).select(n.alias("person_row"), (n % 90).cast("string").alias("zip_code"), (n % 3).cast("string").alias("party"),
+                                  (n % 90 > 60).cast("int").alias("y_turnout"), F.when(n % 10 == 9, "val").otherwise("train").alias("split"))
+    some = models.bounded(df, 600)
+    assert 450 < some.count() < 750 and some.collect() == models.bounded(df, 600).collect()
+    assert models.bounded(df, 3000).count() == 3000
+    model = models.fit_turnout(df, [], ["zip_code", "party"], iterations=2, depth=2)
+    assert models.feature_importances(model, 1)[0][0] == "zip_code"
+    new = df.limit(1).withColumn("zip_code", F.lit("never seen"))
+    assert 0 <= models.predict(model, new, [], ["zip_code", "party"]).first()["probs"][1] <= 1
 
 
 def test_backtest_returns_importances(spark):

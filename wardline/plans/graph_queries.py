@@ -1,6 +1,8 @@
 """Queries over places, graph, splits, features, measures and models."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -529,22 +531,25 @@ def _(v):
     return z.unpivot(["person_row"], names, "feature", "z")
 
 
-@query("turnout_model", "M1 M3 A34", "model:s auc_over_half:i n:i")
-def _(v):
+def held_out_predictions(v: Views) -> DataFrame:
+    """(model, ed_key, y, p) of the held-out people: boosted trees, and age alone."""
     t = model_table(v)
     num, cat, _ = features.task_features("turnout", t.columns)
     held = t.filter("split = 'test' and y_turnout >= 0").withColumnRenamed("y_turnout", "y")
     boosted = models.predict(models.fit_turnout(t, num, cat), held, num, cat)
     floor = models.predict(models.fit_age_floor(t), held, ["age"], [])
-    out = None
-    for name, scored in (("boosted", boosted), ("age_floor", floor)):
-        m = metrics.binary_metrics(scored.withColumn("p", F.get("probs", F.lit(1)))).select(
-            F.lit(name).alias("model"), (F.col("auc") > 0.5).cast("int").alias("auc_over_half"), "n")
-        out = m if out is None else out.unionByName(m)
-    return out
+    return cut(boosted.withColumn("model", F.lit("boosted")).unionByName(floor.withColumn("model", F.lit("age_floor"))).select(
+        "model", "ed_key", "y", F.get("probs", F.lit(1)).alias("p")))
+
+
+@query("turnout_model", "M1 M3 A34", "model:s metric:s value:d")
+def _(v):
+    scored = held_out_predictions(v)
+    return reduce(DataFrame.unionByName, [
+        metrics.as_long(metrics.binary_metrics(scored.filter(F.col("model") == m))).withColumn("model", F.lit(m)) for m in ("boosted", "age_floor")])
 
 
-@query("party_model", "M2 M6 A35", "registered_party:s n:i in_range:i sums_to_one:i")
+@query("party_model", "M2 M6 A35", "registered_party:s n:i in_range:i sums_to_one:i dem:d rep:d other:d turnout:d")
 def _(v):
     t = model_table(v)
     tn, tc, _ = features.task_features("turnout", t.columns)
@@ -555,17 +560,18 @@ def _(v):
     return s.groupBy("registered_party").agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.col("turnout_propensity").between(0, 1).cast("int")).alias("in_range"),
-        F.min((F.abs(total - 1) < 1e-9).cast("int")).alias("sums_to_one"))
+        F.min((F.abs(total - 1) < 1e-9).cast("int")).alias("sums_to_one"),
+        F.avg("p_dem_lean").alias("dem"), F.avg("p_rep_lean").alias("rep"), F.avg("p_other").alias("other"),
+        F.avg("turnout_propensity").alias("turnout"))
 
 
-@query("temporal_backtest", "M4 F23", "metric:s has_both:i")
+@query("temporal_backtest", "M4 F23", "metric:s forward:d same_year:d gap:d")
 def _(v):
     t = v.labelled.select("person_row", "ed_key", "party", "county", "city", "age")
     t = splits.attach_split(t, splits.split_by_people(v.people, models.SEED))
     t = cut(t)
     h = {e: cut(history.history_features(v.people, v.ballots, e, REF_YEAR)) for e in (1998, TARGET)}
-    b = models.backtest(t, h[1998], h[TARGET], 1998, TARGET, REF_YEAR)
-    return b.select("metric", F.col("gap").isNotNull().cast("int").alias("has_both"))
+    return models.backtest(t, h[1998], h[TARGET], 1998, TARGET, REF_YEAR)
 
 
 @query("temperature_scaling", "M5", "temperature_ok:i n:i")
