@@ -1,4 +1,6 @@
 import math
+import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -42,6 +44,50 @@ def test_point_on_an_edge_is_not_located(spark):
     assert got == {(0.5, 0.5): "A", (3.0, 8.0): "B"}
 
 
+def _inside(px, py, rings):
+    """Strictly inside by exact arithmetic."""
+    px, py, odd = Fraction(px), Fraction(py), False
+    for ring in rings:
+        for (ax, ay), (bx, by) in zip(ring, ring[1:]):
+            ax, ay, bx, by = map(Fraction, (ax, ay, bx, by))
+            cross = (bx - ax) * (py - ay) - (by - ay) * (px - ax)
+            if cross == 0 and min(ax, bx) <= px <= max(ax, bx) and min(ay, by) <= py <= max(ay, by):
+                return False
+            if (ay > py) != (by > py) and px < ax + (bx - ax) * (py - ay) / (by - ay):
+                odd = not odd
+    return odd
+
+
+def test_cell_cover(spark, most=12):
+    """Cells of few and of many edges answer as exact arithmetic does: on a grid that cell borders share,
+    with holes, spikes, crossings, points on edges and corners, one polygon over all others, equal rows."""
+    rng = random.Random(most)
+
+    def star(x, y, r, n):
+        return [(x + r * (0.3 + rng.random()) * math.cos(2 * math.pi * k / n), y + r * (0.3 + rng.random()) * math.sin(2 * math.pi * k / n)) for k in range(n)]
+
+    def grid(n):
+        return [(rng.randint(-8, 8) / 4, rng.randint(-8, 8) / 4) for _ in range(n)]
+
+    rings = {"A": [star(0, 0, 3, 60)], "B": [[(0, 0), (2, 0), (2, 2), (0, 2)], [(0.5, 0.5), (1, 0.5), (1, 1), (0.5, 1)]], "C": [grid(9)], "D": [grid(15)],
+             "0E": [star(1.3, -1, 0.01, 7)], "0F": [[(-1, -1), (1, 1), (-1, 1), (1, -1)]], "G": [[(0, 0), (1, 0)]], "Z": [star(0, 0, 40, 700)], "H": [star(-73.9, 40.7, 0.2, 90)]}
+    rings = {k: [r + r[:1] for r in v] for k, v in rings.items()}
+    pts = [(rng.randint(-12, 12) / 4, rng.randint(-12, 12) / 4) for _ in range(150)] + [(rng.uniform(-4, 4), rng.uniform(-4, 4)) for _ in range(150)]
+    pts += [p for r in rings.values() for q in r for p in q[:20]] + [(rng.uniform(-60, 60), rng.uniform(-60, 60)) for _ in range(100)]
+    pts += [(1.3 + rng.uniform(-.012, .012), -1 + rng.uniform(-.012, .012)) for _ in range(60)] + [(-73.9 + rng.uniform(-.3, .3), 40.7 + rng.uniform(-.3, .3)) for _ in range(80)]
+    rows = [(k, [[{"x": float(x), "y": float(y)} for x, y in r] for r in v]) for k, v in rings.items()]
+    polys = spark.createDataFrame(rows + rows[1:2] + [("N", None), ("M", [])], "geoid string, rings array<array<struct<x:double,y:double>>>")
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in pts] + [(None, 1.0)], "lon double, lat double")
+    got = {(r["lon"], r["lat"]): r["geoid"] for r in spatial.locate_in_polygons(df, polys, most=most).collect()}
+    want = {p: min((k for k, v in rings.items() if _inside(*p, v)), default=None) for p in {(float(x), float(y)) for x, y in pts}}
+    assert got == {p: k for p, k in want.items() if k}
+    assert set(got.values()) >= {"0E", "0F", "A", "B", "D", "H", "Z"}
+    cover = spatial.cell_cover(polys, most=most).withColumn("n", F.size("edges"))
+    big = cover.filter("geoid = 'Z'").agg(F.max("n").alias("n"), F.min("n").alias("free")).first()
+    assert big["free"] == 0 and big["n"] <= most
+    assert spatial.locate_in_polygons(df, polys.filter("geoid = 'none'")).count() == 0
+
+
 def test_click_cutoff(spark):
     h = spark.createDataFrame([(1, 40.0, -73.0, 5), (2, 40.001, -73.0, 0), (3, 40.0012, -73.0, 1)],
                               "household_id long, lat double, lon double, score_total int")

@@ -68,6 +68,61 @@ def strictly_inside(x: Column, y: Column, rings: Column) -> Column:
     return ~F.exists(all_edges, touches) & (hits % 2 == 1)
 
 
+def ring_edges(rings: Column) -> Column:
+    """All edges of all rings as structs of their ends."""
+    def edges(ring: Column) -> Column:
+        n = F.size(ring)
+        return F.zip_with(F.slice(ring, F.lit(1), n - 1), F.slice(ring, F.lit(2), n - 1),
+                          lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
+
+    return F.flatten(F.transform(rings, edges))
+
+
+def _positive(e: Column, x: Column, y: Column) -> Column:
+    """Whether a point, moved up by a hair and right by a hair of a hair, lies left of the edge's direction.
+    The move decides points on the edge's line, always alike."""
+    dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
+    cross = dx * (y - e["ay"]) - dy * (x - e["ax"])
+    return F.when(cross != 0, cross > 0).when(dx != 0, dx > 0).otherwise(dy < 0)
+
+
+def _beyond(e: Column, x: Column, y: Column) -> Column:
+    """The edge meets the ray from the (moved) point to the right."""
+    return ((e["ay"] > y) != (e["by"] > y)) & (_positive(e, x, y) == (e["by"] > e["ay"]))
+
+
+def _above(e: Column, x: Column, y: Column) -> Column:
+    """The edge meets the ray from the (moved) point upwards."""
+    return ((e["ax"] > x) != (e["bx"] > x)) & (_positive(e, x, y) != (e["bx"] > e["ax"]))
+
+
+def crossings_right(e: Column, x: Column, y: Column) -> Column:
+    return _beyond(e, x, y).cast("int")
+
+
+def crossings_to_corner(e: Column, x: Column, y: Column, right: Column, top: Column) -> Column:
+    """How often an edge crosses the way from a point rightwards, then upwards to (right, top)."""
+    level = _beyond(e, x, y) & ~_beyond(e, right, y)
+    return level.cast("int") + (_above(e, right, y) & ~_above(e, right, top)).cast("int")
+
+
+def on_edge(e: Column, x: Column, y: Column) -> Column:
+    cross = (e["bx"] - e["ax"]) * (y - e["ay"]) - (e["by"] - e["ay"]) * (x - e["ax"])
+    return ((cross == 0) & x.between(F.least(e["ax"], e["bx"]), F.greatest(e["ax"], e["bx"]))
+            & y.between(F.least(e["ay"], e["by"]), F.greatest(e["ay"], e["by"])))
+
+
+def meets_box(e: Column, left: Column, bottom: Column, right: Column, top: Column) -> Column:
+    """Whether an edge may touch a closed box; a hair of rounding counts as touching."""
+    dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
+    sides = [dx * (y - e["ay"]) - dy * (x - e["ax"]) for x in (left, right) for y in (bottom, top)]
+    hair = (F.abs(dx) + F.abs(dy)) * 1e-14 * (F.abs(left) + F.abs(right) + F.abs(bottom) + F.abs(top)
+                                              + F.abs(e["ax"]) + F.abs(e["ay"]))
+    return ((F.greatest(e["ax"], e["bx"]) >= left) & (F.least(e["ax"], e["bx"]) <= right)
+            & (F.greatest(e["ay"], e["by"]) >= bottom) & (F.least(e["ay"], e["by"]) <= top)
+            & (F.least(*sides) <= hair) & (F.greatest(*sides) >= -hair))
+
+
 def local_metres(lon: Column, lat: Column, lon0: Column, lat0: Column) -> tuple[Column, Column]:
     """Equirectangular metres around a centre."""
     x = (lon - lon0) * C.METRES_PER_DEGREE_LON * F.cos(F.radians(lat0))

@@ -1,6 +1,8 @@
 """Point-in-polygon, nearest neighbours and click lookup by grid cells."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,36 +14,102 @@ from .groups import first_n
 
 
 def _cell(c: Column, size: Column) -> Column:
-    return F.floor(c / size)
+    return F.floor(c / size).cast("bigint")
+
+
+#: A cell with more edges of a polygon is split, down to cells of 2 ** LEAST_LEVEL.
+CELL_EDGES = 32
+LEAST_LEVEL = -30
+#: A split halves a cell's side this often; levels are multiples of it, so few are in use.
+_STEP = 2
+
+
+def _box(size: Column) -> list[Column]:
+    cx, cy = F.col("cx"), F.col("cy")
+    return [cx * size, cy * size, (cx + 1) * size, (cy + 1) * size]
+
+
+def cell_cover(polygons: DataFrame, polygon_id: str = "geoid", most: int = CELL_EDGES, least: int = LEAST_LEVEL) -> DataFrame:
+    """Cells (polygon_id, part, level, cx, cy) that cover each row of polygons, without overlap, with its edges
+    that meet the cell and whether the cell's upper right corner is inside. A cell without edges is inside
+    as a whole. ``part`` tells rows of one id apart.
+
+    A cell of level l has the side 2 ** l, so all borders are exact. A polygon starts with the one to four cells
+    of its size; cells with many edges are split by rounds, each edge going to the children it meets. A
+    child's corner is inside or not by its parent's corner and the parent's edges between the two: no round reads
+    a polygon whole, and no row holds more than a cell's edges."""
+    def along(c: str) -> Column:
+        return F.transform(F.flatten("rings"), lambda p: p[c])
+
+    boxed = polygons.select(F.col(polygon_id).alias("id"), "rings", *(
+        f(along(c)).alias(f"{c}{k}") for c in "xy" for k, f in enumerate((F.array_min, F.array_max)))).filter("x0 is not null and y0 is not null")
+    extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(2.0 ** least))
+    level = F.ceil(F.log2(extent) / _STEP).cast("int") * _STEP
+    size = F.pow(F.lit(2.0), F.col("level"))
+
+    def span(c: str) -> Column:
+        return F.explode(F.sequence(_cell(F.col(f"{c}0"), size), _cell(F.col(f"{c}1"), size)))
+
+    boxed = cut(boxed.withColumn("part", F.monotonically_increasing_id()))
+    edges = boxed.withColumn("level", level).withColumn("e", F.explode(geometry.ring_edges(F.col("rings")))).drop("rings")
+    key, above = ["id", "part", "level", "cx", "cy"], ["up_level", "up_cx", "up_cy"]
+    rooted = edges.withColumn("cx", span("x")).withColumn("cy", span("y"))
+    left, bottom, right, top = _box(size)
+    rooted = rooted.select(*key, "e", geometry.crossings_right(F.col("e"), right, top).alias("crossed"),
+                           geometry.meets_box(F.col("e"), left, bottom, right, top).alias("meets"))
+
+    def counted(df: DataFrame) -> DataFrame:
+        return df.groupBy(*key).agg(F.sum("crossed").alias("crossed"), F.count(F.when(F.col("meets"), 1)).alias("n"))
+
+    cells = cut(counted(rooted).select(*key, (F.col("crossed") % 2 == 1).alias("inside"), "n"))
+    parts = cut(rooted.filter("meets").select(*key, "e"))
+    done = []
+    ways = 1 << _STEP
+    while True:
+        crowded = (F.col("n") > most) & (F.col("level") - _STEP >= least)
+        kept = cells.filter(~crowded).filter("inside or n > 0")
+        done.append(kept.join(parts, key, "left").groupBy(*key, "inside").agg(F.collect_list("e").alias("edges")))
+        split = cells.filter(crowded).select(*key, "inside")
+        if split.isEmpty():
+            break
+        steps = F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))
+        up = F.pow(F.lit(2.0), F.col("level"))
+        corners = [F.col("cx") + 1, F.col("cy") + 1]
+        children = split.withColumns({"right": corners[0] * up, "top": corners[1] * up}).withColumn("i", steps).withColumn("j", steps)
+        children = children.select("id", "part", *(F.col(c[3:]).alias(c) for c in above), "inside", "right", "top",
+                                   (F.col("level") - _STEP).alias("level"), (F.col("cx") * ways + F.col("i")).alias("cx"),
+                                   (F.col("cy") * ways + F.col("j")).alias("cy"))
+        near = parts.select("id", "part", *(F.col(c[3:]).alias(c) for c in above), "e").join(children, ["id", "part", *above])
+        left, bottom, right, top = _box(size)
+        near = near.select(*key, "e", geometry.crossings_to_corner(F.col("e"), right, top, F.col("right"), F.col("top")).alias("crossed"),
+                           geometry.meets_box(F.col("e"), left, bottom, right, top).alias("meets")).filter("meets or crossed > 0")
+        near = cut(near)
+        cells = cut(children.select(*key, "inside").join(counted(near), key, "left").select(
+            *key, (F.col("inside") != (F.coalesce("crossed", F.lit(0)) % 2 == 1)).alias("inside"), F.coalesce("n", F.lit(0)).alias("n")))
+        parts = near.filter("meets").select(*key, "e")
+    return reduce(DataFrame.unionByName, done).withColumnRenamed("id", polygon_id)
 
 
 def locate_in_polygons(points: DataFrame, polygons: DataFrame, polygon_id: str = "geoid",
-                       base: float = 0.01, x: str = "lon", y: str = "lat") -> DataFrame:
+                       x: str = "lon", y: str = "lat", most: int = CELL_EDGES) -> DataFrame:
     """Distinct points with the polygon they lie strictly within; others are left out.
 
-    Each polygon is put on the grid level whose cells match its size, so it
-    covers a handful of cells; points are put on every level in use. Where
-    polygons overlap, the smallest id is kept.
+    Points meet the cells of ``cell_cover``: a cell without edges answers at once, another by its own
+    edges between the point and its corner. So a point pays for few edges, however large the polygon, and
+    rings are not exchanged. Where polygons overlap, the smallest id is kept.
     """
-    pts = points.select(x, y).dropna().distinct()
-    xs = F.transform(F.flatten("rings"), lambda p: p["x"])
-    ys = F.transform(F.flatten("rings"), lambda p: p["y"])
-    boxed = polygons.select(polygon_id, "rings").withColumns({
-        "x0": F.array_min(xs), "x1": F.array_max(xs), "y0": F.array_min(ys),
-        "y1": F.array_max(ys)})
-    extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(base))
-    boxed = boxed.withColumn("level", F.ceil(F.log2(extent / base)).cast("int"))
-    size = F.pow(F.lit(2.0), F.col("level")) * base
-    cells = boxed.withColumn("cx", F.explode(F.sequence(
-        _cell(F.col("x0"), size), _cell(F.col("x1"), size)))).withColumn(
-        "cy", F.explode(F.sequence(_cell(F.col("y0"), size), _cell(F.col("y1"), size))))
-    levels = boxed.agg(F.collect_set("level")).scalar()
-    probes = pts.withColumn("level", F.explode(levels)).withColumns({
-        "cx": _cell(F.col(x), size), "cy": _cell(F.col(y), size)})
-    near = probes.join(cells, ["level", "cx", "cy"]).filter(
-        F.col(x).between(F.col("x0"), F.col("x1")) & F.col(y).between(F.col("y0"), F.col("y1")))
-    return (near.filter(geometry.strictly_inside(F.col(x), F.col(y), F.col("rings")))
-            .groupBy(x, y).agg(F.min(polygon_id).alias(polygon_id)))
+    cover = cut(cell_cover(polygons, polygon_id, most))
+    pts = points.select(F.col(x).alias("px"), F.col(y).alias("py")).dropna().distinct()
+    levels = cover.agg(F.collect_set("level")).scalar()  # a handful
+    size = F.pow(F.lit(2.0), F.col("level"))
+    probes = pts.withColumn("level", F.explode(levels)).withColumns({"cx": _cell(F.col("px"), size), "cy": _cell(F.col("py"), size)})
+    near = probes.join(cover, ["level", "cx", "cy"])
+    px, py = F.col("px"), F.col("py")
+    left, bottom, right, top = _box(size)
+    ways = F.aggregate("edges", F.lit(0), lambda n, e: n + geometry.crossings_to_corner(e, px, py, right, top))
+    inside = ~F.exists("edges", lambda e: geometry.on_edge(e, px, py)) & (F.col("inside") != (ways % 2 == 1))
+    return near.filter(F.when(F.size("edges") == 0, F.col("inside")).otherwise(inside)).groupBy(
+        F.col("px").alias(x), F.col("py").alias(y)).agg(F.min(polygon_id).alias(polygon_id))
 
 
 def attach_polygon(people: DataFrame, located: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:

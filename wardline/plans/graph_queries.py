@@ -87,7 +87,31 @@ _POLY_SQL = """poly AS (SELECT 'G' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') A
          ON lon > x AND lon < x + w AND lat > y AND lat < y + w AND (s % 2 = 0 OR (lon - x) + (lat - y) < w)
          GROUP BY 1) SELECT vec_id, geoid FROM pt LEFT JOIN g USING (vec_id)""")
 def _(v):
-    return spatial.attach_polygon(v.points, spatial.locate_in_polygons(v.points, v.polygons, base=0.03))
+    return spatial.attach_polygon(v.points, spatial.locate_in_polygons(v.points, v.polygons))
+
+
+def _star() -> list[str]:
+    """Corners of a star around all points, for i from 0 to 3999, in the dialect of both engines."""
+    r, t = "(0.2 + 0.25 * (i * 7919 % 97) / 97)", "(i * 2 * pi() / 4000)"
+    return [f"{r} * cos({t}) AS px", f"{r} * sin({t}) AS py"]
+
+
+@query("point_in_large_polygon", "J7 S12 D12", "vec_id:i geoid:s",
+       f"""WITH {_POLY_SQL}, corner AS (SELECT range AS i0, range % 4000 AS i FROM range(4001)),
+       c AS (SELECT i0, {', '.join(_star())} FROM corner),
+       edge AS (SELECT px, py, lead(px) OVER (ORDER BY i0) AS qx, lead(py) OVER (ORDER BY i0) AS qy FROM c),
+       big AS (SELECT vec_id FROM pt JOIN edge ON (py > lat) <> (qy > lat) AND lon < px + (qx - px) * (lat - py) / (qy - py)
+         GROUP BY 1 HAVING count(*) % 2 = 1),
+       h AS (SELECT vec_id, geoid FROM pt JOIN poly ON lon > x AND lon < x + w AND lat > y AND lat < y + w AND (s % 2 = 0 OR (lon - x) + (lat - y) < w)
+         UNION ALL SELECT vec_id, 'H' FROM big),
+       g AS (SELECT vec_id, min(geoid) AS geoid FROM h GROUP BY 1) SELECT vec_id, geoid FROM pt LEFT JOIN g USING (vec_id)""")
+def _(v):
+    corners = v.spark.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(4000))).alias("i0")).selectExpr("i0", "i0 % 4000 AS i").selectExpr("i0", *_star())
+    ring = F.transform(F.array_sort(F.collect_list(F.struct("i0", F.col("px").alias("x"), F.col("py").alias("y")))),
+                       lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y")))
+    big = corners.agg(F.array(ring).alias("rings")).select(F.lit("H").alias("geoid"), "rings")
+    polygons = v.polygons.select("geoid", "rings").unionByName(big)
+    return spatial.attach_polygon(v.points, spatial.locate_in_polygons(v.points, polygons))
 
 
 @query("polygon_areas", "S13", "geoid:s area_km2:d",
