@@ -31,3 +31,13 @@ def household_uuid(county: Column, number: Column, street: Column, zip5: Column)
     h = F.md5(F.concat_ws("|", county, number, street, zip5))
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4),
                        F.substring(h, 17, 4), F.substring(h, 21, 12))
+
+
+def draw(*parts: Column) -> Column:
+    """A number below 2 ** DRAW_BITS from the MD5 of the parts' text, joined by colons. Any engine
+    with MD5 draws the same, so samples and splits can be checked row by row."""
+    text = F.concat_ws(":", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, DRAW_BITS // 4), 16, 10).cast("bigint")
+
+
+DRAW_BITS = 60

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions.ids import draw
 from ..session import cut, ship_package
 from . import spatial
 from .groups import group_positions
@@ -34,7 +35,7 @@ def sample_group_peers(nodes: DataFrame, group: str, n_peers: int | Column, node
                              seed, pos="pos", size="size").filter(F.col("size") >= 2)
     n = n_peers if isinstance(n_peers, Column) else F.lit(n_peers)
     draws = placed.withColumn("draw", F.explode(F.sequence(F.lit(1), n.cast("int")))).withColumn(
-        "target", F.pmod(F.xxhash64(F.lit(seed + 1), F.col(node), F.col("draw")), F.col("size")))
+        "target", draw(F.lit(seed + 1), F.col(node), F.col("draw")) % F.col("size"))
     peers = placed.select(F.col(group), F.col("pos").alias("target"), F.col(node).alias("peer"),
                           *([F.col(exclude).alias("peer_x")] if exclude else []))
     hit = draws.join(peers, [group, "target"]).filter(F.col(node) != F.col("peer"))
@@ -82,18 +83,16 @@ def ed_edges(people: DataFrame, node: str = "person_row", ed: str = "ed_key",
 
 def spatial_edges(people: DataFrame, k: int = C.KNN_K, node: str = "person_row",
                   seed: int = 0) -> DataFrame:
-    """Each person with one hash-chosen member of each of the k nearest other points."""
+    """Each person with one hash-chosen member of each of the k nearest other points.
+    A point goes by the smallest node on it."""
     geo = people.select(F.col(node).alias("node"), "lon", "lat").dropna()
-    points = spatial.metric_points(geo).withColumn(
-        "point", F.concat_ws(",", "lon", "lat"))
-    near = spatial.nearest_points(points, "point", k).select("point", "neighbor")
-    members = group_positions(geo.select("node", F.concat_ws(",", "lon", "lat").alias("point")),
-                              ["point"], "node", seed)
+    named = geo.groupBy("lon", "lat").agg(F.min("node").alias("point"))
+    near = spatial.nearest_points(spatial.metric_points(geo).join(named, ["lon", "lat"]), "point", k).select("point", "neighbor")
+    members = cut(group_positions(geo.join(named, ["lon", "lat"]).select("node", "point"), ["point"], "node", seed))
     sizes = members.groupBy("point").agg(F.count(F.lit(1)).alias("n"))
     asks = (members.select("node", "point").join(near, "point")
             .join(sizes.withColumnRenamed("point", "neighbor"), "neighbor")
-            .withColumn("pos", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("node"),
-                                                 F.col("neighbor")), F.col("n"))))
+            .withColumn("pos", draw(F.lit(seed + 1), F.col("node"), F.col("neighbor")) % F.col("n")))
     partner = members.select(F.col("point").alias("neighbor"), "pos", F.col("node").alias("peer"))
     return (asks.join(partner, ["neighbor", "pos"])
             .select(*_undirected(F.col("node"), F.col("peer"))).distinct())

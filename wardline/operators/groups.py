@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ids import DRAW_BITS, draw
+
 #: A group is cut into at most 2 ** PART_BITS parts by the leading bits of a hash.
 PART_BITS = 10
 
@@ -61,10 +63,10 @@ def group_positions(df: DataFrame, keys: list[str], node: str, seed: int = 0,
     The order is that of a hash of the node. Parts are the leading bits of that
     hash, so the positions do not depend on how many parts there are.
     """
-    h = F.xxhash64(F.lit(seed), F.col(node))
+    h = draw(F.lit(seed), F.col(node))
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(size))
     placed = df.join(sizes, keys).withColumns({
-        "__h": h, "__part": F.call_function("shiftright", h, F.lit(64 - part_bits))})
+        "__h": h, "__part": F.call_function("shiftright", h, F.lit(DRAW_BITS - part_bits))})
     ranked = ordered_rank(placed, keys, ["__part"], ["__h", node], "__rank")
     return ranked.withColumn(pos, F.col("__rank") - 1).drop("__h", "__part", "__rank")
 

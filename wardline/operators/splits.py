@@ -5,6 +5,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions.ids import DRAW_BITS, draw
+from ..session import cut
 from .groups import running_sums
 
 # A split bucket: the leading bits of the shuffle hash.
@@ -12,8 +14,8 @@ _HASH_BITS = 10
 
 
 def _shuffled(eds: DataFrame, seed: int, key: str) -> DataFrame:
-    h = F.xxhash64(F.lit(seed), F.col(key))
-    return eds.withColumns({"__h": h, "__hb": F.call_function("shiftright", h, F.lit(64 - _HASH_BITS))})
+    h = draw(F.lit(seed), F.col(key))
+    return eds.withColumns({"__h": h, "__hb": F.call_function("shiftright", h, F.lit(DRAW_BITS - _HASH_BITS))})
 
 
 def split_by_people(people: DataFrame, seed: int, train: float = 0.8, val: float = 0.1,
@@ -86,28 +88,34 @@ def pack_districts(eds: DataFrame, target: int = C.CLUSTER_TARGET, ed: str = "ed
                    county: str = "county") -> DataFrame:
     """Cluster per district: snake order within the county, closed at ``target`` persons.
 
-    Packing is sequential by nature, so it folds over districts (one small row
-    each), never over people.
+    A district's pointer goes to the one after the first that fills a cluster begun at it, found among
+    the running sums. The districts that begin a cluster are those that pointers reach from the county's
+    first; pointers are doubled, so the rounds are the logarithm of the clusters, and every step is a join of small rows.
     """
     snake = F.col("lon") * F.when(F.col("band") % 2 == 0, 1).otherwise(-1)
-    rows = eds.groupBy(county).agg(F.array_sort(F.collect_list(
-        F.struct(F.col("band"), snake.alias("s"), F.col(ed).alias("ed"), F.col("n")))).alias("rows"))
-
-    def step(acc: Column, r: Column) -> Column:
-        full = acc["cum"] >= target
-        c = acc["c"] + F.when(full, 1).otherwise(0)
-        return F.struct(F.when(full, r["n"]).otherwise(acc["cum"] + r["n"]).alias("cum"),
-                        c.alias("c"), F.concat(acc["out"], F.array(c)).alias("out"))
-
-    start = F.struct(F.lit(0).cast("bigint").alias("cum"), F.lit(0).alias("c"),
-                     F.array().cast("array<int>").alias("out"))
-    folded = rows.withColumn("ids", F.aggregate("rows", start, step)["out"])
-    folded = folded.withColumn("used", F.element_at("ids", -1) + 1)
-    w = Window.orderBy(county).rowsBetween(Window.unboundedPreceding, 0)
-    offset = folded.select(county, "used").withColumn("offset", F.sum("used").over(w) - F.col("used"))
-    pairs = folded.select(county, F.explode(F.arrays_zip("rows", "ids")).alias("z"))
-    return pairs.join(offset.select(county, "offset"), county).select(
-        F.col("z.rows.ed").alias(ed), (F.col("z.ids") + F.col("offset")).cast("int").alias("cluster"))
+    rows = eds.select(F.col(county).alias("county"), "band", snake.alias("s"), F.col(ed).alias("ed"), F.col("n").cast("bigint").alias("n"))
+    placed = running_sums(rows, ["county"], ["band"], ["s", "ed"], {"sum": F.col("n"), "i": F.lit(1).cast("bigint")})
+    placed = cut(placed.select("county", "band", "s", "ed", "i", "sum", "n"))
+    # per district the first running sum that reaches the sum before it plus the target
+    reached = placed.select("county", "i", F.col("sum").alias("at"), F.lit(1).alias("kind")).unionByName(
+        placed.select("county", "i", (F.col("sum") - F.col("n") + target).alias("at"), F.lit(0).alias("kind")))
+    later = Window.partitionBy("county").orderBy("at", "kind").rowsBetween(0, Window.unboundedFollowing)
+    hit = F.min(F.when(F.col("kind") == 1, F.col("i"))).over(later)
+    jump = cut(reached.withColumn("to", hit + 1).filter("kind = 0 and to is not null").select("county", "i", "to"))
+    starts, n = placed.filter("i = 1").select("county", "i"), -1
+    while True:
+        starts = cut(starts.unionByName(starts.join(jump, ["county", "i"]).select("county", F.col("to").alias("i"))).distinct())
+        before, n = n, starts.count()
+        if n == before:
+            break
+        jump = cut(jump.join(jump.select("county", F.col("i").alias("to"), F.col("to").alias("far")), ["county", "to"])
+                   .select("county", "i", F.col("far").alias("to")))
+    begun = placed.join(starts.withColumn("begins", F.lit(1)), ["county", "i"], "left")
+    numbered = running_sums(begun, ["county"], ["band"], ["s", "ed"], {"c": F.coalesce("begins", F.lit(0)).cast("bigint")})
+    # one row per county
+    offset = numbered.groupBy("county").agg(F.max("c").alias("used"))
+    offset = running_sums(offset, [], [], ["county"], {"upto": F.col("used")}).select("county", (F.col("upto") - F.col("used")).alias("offset"))
+    return numbered.join(offset, "county").select(F.col("ed").alias(ed), (F.col("c") - 1 + F.col("offset")).cast("int").alias("cluster"))
 
 
 def assign_clusters(people: DataFrame, target: int = C.CLUSTER_TARGET, ed: str = "ed_key",

@@ -226,6 +226,78 @@ def _(v):
     return graph.household_edges(v.people)
 
 
+def _draw(*parts: str) -> str:
+    """``ids.draw`` in SQL."""
+    return "CAST('0x' || substr(md5(" + " || ':' || ".join(f"CAST({p} AS VARCHAR)" for p in parts) + "), 1, 15) AS BIGINT)"
+
+
+def _peers(nodes: str, draws: str, seed: int) -> str:
+    """Sampled pairs of the members (g, node, x) of groups; members of one x are no pair."""
+    return f"""SELECT DISTINCT least(a.node, b.node) AS u, greatest(a.node, b.node) AS v FROM (
+           SELECT *, unnest(range(1, {draws} + 1)) AS draw FROM {nodes}_placed) a
+         JOIN {nodes}_placed b ON a.g = b.g AND b.pos = {_draw(seed + 1, 'a.node', 'a.draw')} % a.size
+         WHERE a.node <> b.node AND a.x <> b.x"""
+
+
+def _placed(nodes: str, seed: int) -> str:
+    return f"""{nodes}_placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY {_draw(seed, 'node')}, node) - 1 AS pos,
+         count(*) OVER (PARTITION BY g) AS size FROM {nodes} WHERE g IS NOT NULL)"""
+
+
+_HOUSE_SQL = f"""house AS (SELECT household_row AS g, person_row AS node, person_row AS x FROM person
+         WHERE household_row IN (SELECT household_row FROM person GROUP BY 1 HAVING count(*) > 2)), {_placed('house', 0)}"""
+_ADDRESS_SQL = f"""placed_person AS (SELECT p.person_row AS node, p.household_row AS x,
+           p.county || '|' || p.city || '|' || street || '|' || address_num AS g FROM person p JOIN household h USING (household_row)),
+       address AS (SELECT * FROM placed_person WHERE g IN (SELECT g FROM placed_person GROUP BY 1 HAVING count(DISTINCT x) > 1)), {_placed('address', 10)}"""
+_DISTRICT_SQL = f"district AS (SELECT ed_key AS g, person_row AS node, person_row AS x FROM person), {_placed('district', 20)}"
+_CODONOR_SQL = f"""gave AS (SELECT DISTINCT person_row AS node, coalesce(committee, '') AS g FROM person JOIN donation USING (donor_key)
+         WHERE confirmed AND donation_date < DATE '2000-11-07' AND upper(coalesce(committee, '')) NOT IN ('ACTBLUE', 'WINRED')),
+       codonor AS (SELECT g, node, node AS x FROM gave WHERE g IN (SELECT g FROM gave GROUP BY 1 HAVING count(*) BETWEEN 2 AND 5000)),
+       {_placed('codonor', 40)}"""
+_NEAR_SQL = f"""located AS (SELECT person_row AS node, lon, lat FROM person JOIN pt ON vec_id = person_row % (SELECT count(*) FROM pt)),
+       spot AS (SELECT lon, lat, min(node) AS point FROM located GROUP BY 1, 2),
+       metre AS (SELECT point, (lon - (avg(lon) OVER ())) * 111320.0::DOUBLE * cos(radians(avg(lat) OVER ())) AS x,
+         (lat - (avg(lat) OVER ())) * 110540.0::DOUBLE AS y FROM spot),
+       near AS (SELECT * FROM (SELECT a.point, b.point AS neighbor, row_number() OVER (PARTITION BY a.point
+         ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.point) AS r FROM metre a JOIN metre b ON a.point <> b.point) WHERE r <= 10),
+       member AS (SELECT point AS g, node, node AS x FROM located JOIN spot USING (lon, lat)), {_placed('member', 30)},
+       knn AS (SELECT DISTINCT least(m.node, p.node) AS u, greatest(m.node, p.node) AS v FROM member m JOIN near ON near.point = m.g
+         JOIN (SELECT g, any_value(size) AS n FROM member_placed GROUP BY 1) z ON z.g = neighbor
+         JOIN member_placed p ON p.g = neighbor AND p.pos = {_draw(31, 'm.node', 'neighbor')} % n)"""
+
+
+@query("household_peers", "G2 G1", "u:i v:i", f"""WITH {_CLIQUE_SQL}, {_HOUSE_SQL}
+       SELECT u, v FROM clique WHERE u NOT IN (SELECT node FROM house) UNION ALL {_peers('house', '5', 0)}""")
+def _(v):
+    return graph.household_edges(v.people, limit=2)
+
+
+@query("same_address_edges", "G3 G1", "u:i v:i", f"WITH {_ADDRESS_SQL} {_peers('address', '5', 10)}")
+def _(v):
+    return graph.same_address_edges(v.placed_people, seed=10)
+
+
+@query("district_edges", "G4 G1", "u:i v:i", f"WITH {_DISTRICT_SQL} {_peers('district', '5', 20)}")
+def _(v):
+    return graph.ed_edges(v.people, seed=20)
+
+
+@query("spatial_edges", "G5 G1 J17", "u:i v:i", f"WITH {_NEAR_SQL} SELECT u, v FROM knn")
+def _(v):
+    return graph.spatial_edges(_at_points(v), seed=30)
+
+
+def _at_points(v: Views) -> DataFrame:
+    """People on the points of the embeddings, several on each."""
+    n = v.points.agg(F.count(F.lit(1))).scalar()
+    return v.people.withColumn("vec_id", F.col("person_row") % n).join(v.points.select("vec_id", "lon", "lat"), "vec_id")
+
+
+@query("codonor_edges", "G6 G1", "u:i v:i", f"WITH {_CODONOR_SQL} {_peers('codonor', 'least(5, size - 1)', 40)}")
+def _(v):
+    return graph.codonor_edges(donations.donor_committees(v.people, v.donations, CUTOFF), seed=40)
+
+
 @query("shared_addresses", "W7 G3", "node:i addr:s",
        """WITH a AS (SELECT p.person_row, p.household_row, p.county || '|' || p.city || '|' || street || '|' || address_num
          AS addr FROM person p JOIN household h USING (household_row))
@@ -312,12 +384,19 @@ def _(v):
     return graph.neighbor_means(v.stored("directed_edges"), v.stored("people"), ["age", "tier_count"], hops=2)
 
 
-@query("sampled_edges", "G1 G3 G4 G5 G6 G7", "etype:s edges:i ordered:i")
+@query("sampled_edges", "G1 G2 G3 G4 G5 G6 G7 W6", "u:i v:i etype:s",
+       f"""WITH {_CLIQUE_SQL}, {_ADDRESS_SQL}, {_DISTRICT_SQL}, {_CODONOR_SQL}, {_NEAR_SQL},
+       every AS (SELECT u, v, 0 AS p, 'household' AS etype FROM clique
+         UNION ALL SELECT u, v, 1, 'same_address' FROM ({_peers('address', '5', 10)})
+         UNION ALL SELECT u, v, 2, 'donation' FROM ({_peers('codonor', 'least(5, size - 1)', 40)})
+         UNION ALL SELECT u, v, 3, 'spatial_knn' FROM knn
+         UNION ALL SELECT u, v, 4, 'ed' FROM ({_peers('district', '5', 20)}))
+       SELECT u, v, arg_min(etype, p) AS etype FROM every GROUP BY 1, 2""")
 def _(v):
     donors = cut(donations.donor_committees(v.people, v.donations, CUTOFF))
-    e = graph.build_edges(v.stored("placed_people"), donors)
-    return e.groupBy("etype").agg(F.count(F.lit(1)).alias("edges"),
-                                  F.min((F.col("u") < F.col("v")).cast("int")).alias("ordered"))
+    # addresses are the households', points those of the embeddings
+    people = _at_points(v).join(v.placed_people.select("person_row", "address_number", "street_name"), "person_row")
+    return graph.build_edges(cut(people), donors)
 
 
 @query("district_centroids", "A20", "ed_key:s county:s lat:d lon:d n:i",
@@ -345,29 +424,58 @@ def _(v):
     return splits.latitude_bands(h)
 
 
-@query("district_splits", "W5 A20", "county:s districts:i persons:i",
-       "SELECT county, count(DISTINCT ed_key) AS districts, count(*) AS persons FROM person GROUP BY 1")
+_SPLIT_SQL = f"""ed AS (SELECT ed_key, any_value(county) AS county, count(*) AS n_persons FROM person GROUP BY 1),
+       cum AS (SELECT *, sum(n_persons) OVER (PARTITION BY county ORDER BY {_draw(models.SEED, 'ed_key')}, ed_key) AS cum,
+         sum(n_persons) OVER (PARTITION BY county) AS total FROM ed),
+       split AS (SELECT ed_key, county, n_persons, CASE WHEN cum <= 0.8 * total THEN 'train' WHEN cum <= 0.9 * total THEN 'val'
+         ELSE 'test' END AS split FROM cum)"""
+
+
+@query("district_splits", "W5 A20", "ed_key:s county:s n_persons:i split:s", f"WITH {_SPLIT_SQL} SELECT * FROM split")
 def _(v):
-    s = splits.split_by_people(v.people, models.SEED)
-    return s.groupBy("county").agg(F.count(F.lit(1)).alias("districts"), F.sum("n_persons").alias("persons"))
+    return splits.split_by_people(v.people, models.SEED)
 
 
-@query("split_shares", "W5 J6", "split:s persons:i")
+@query("split_shares", "W5 J6", "split:s persons:i", f"WITH {_SPLIT_SQL} SELECT split, count(*) AS persons FROM person JOIN split USING (ed_key) GROUP BY 1")
 def _(v):
     p = splits.attach_split(v.people, splits.split_by_people(v.people, models.SEED))
     return p.groupBy("split").agg(F.count(F.lit(1)).alias("persons"))
 
 
-@query("split_by_count", "W5b", "split:s districts:i",
-       """SELECT split, n AS districts FROM (SELECT count(DISTINCT ed_key) AS c FROM person),
-       LATERAL (VALUES ('train', floor(c * 0.8)), ('val', floor(c * 0.9) - floor(c * 0.8)), ('test', c - floor(c * 0.9)))
-         t(split, n)""")
+@query("split_by_count", "W5b", "ed_key:s split:s",
+       f"""SELECT ed_key, CASE WHEN r <= floor(n * 0.8) THEN 'train' WHEN r <= floor(n * 0.9) THEN 'val' ELSE 'test' END AS split FROM (
+         SELECT ed_key, row_number() OVER (ORDER BY {_draw(models.SEED, 'ed_key')}, ed_key) AS r, count(*) OVER () AS n
+         FROM (SELECT DISTINCT ed_key FROM person))""")
+def _(v):
+    return splits.split_by_count(v.people, models.SEED, "ed_key")
+
+
+# bands by latitude as in latitude_bands, then one row after the other in snake order
+_CLUSTER_SQL = """e0 AS (SELECT ed_key, any_value(p.county) AS county, avg(CAST(lat AS DECIMAL(12,7))) AS lat,
+         avg(CAST(lon AS DECIMAL(12,7))) AS lon, count(*) AS n FROM person p JOIN household h USING (household_row) GROUP BY 1),
+       e AS (SELECT ed_key, county, coalesce(lat, avg(lat) OVER ()) AS lat, coalesce(lon, avg(lon) OVER ()) AS lon, n FROM e0),
+       l AS (SELECT county, list_sort(list(lat)) AS lats, count(*) AS m, least(20, greatest(1, count(*) // 50)) AS q FROM e GROUP BY 1),
+       x AS (SELECT DISTINCT county, lats[CAST(floor((m - 1) * i / q) AS INT) + 1] + (lats[CAST(least(floor((m - 1) * i / q) + 1, m - 1) AS INT) + 1]
+           - lats[CAST(floor((m - 1) * i / q) AS INT) + 1]) * ((m - 1) * i / q - floor((m - 1) * i / q)) AS edge FROM l, unnest(range(0, 21)) AS r(i) WHERE i <= q),
+       b AS (SELECT *, greatest(0, (SELECT count(*) FROM x WHERE x.county = e.county AND edge < e.lat) - 1) AS band FROM e),
+       o AS (SELECT ed_key, county, n, row_number() OVER (PARTITION BY county ORDER BY band, CASE WHEN band % 2 = 0 THEN lon ELSE -lon END, ed_key) AS i FROM b),
+       pack AS (SELECT ed_key, county, i, n AS cum, 0 AS c FROM o WHERE i = 1 UNION ALL
+         SELECT o.ed_key, o.county, o.i, CASE WHEN cum >= 120 THEN o.n ELSE cum + o.n END, c + CASE WHEN cum >= 120 THEN 1 ELSE 0 END
+         FROM pack JOIN o ON o.county = pack.county AND o.i = pack.i + 1),
+       used AS (SELECT county, max(c) + 1 AS used FROM pack GROUP BY 1),
+       first AS (SELECT county, coalesce(sum(used) OVER (ORDER BY county ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM used),
+       cluster AS (SELECT ed_key, c + first AS cluster FROM pack JOIN first USING (county))"""
+
+
+@query("district_clusters", "G8 W9 W10", "person_row:i cluster:i",
+       f"WITH RECURSIVE {_CLUSTER_SQL} SELECT person_row, cluster FROM person JOIN cluster USING (ed_key)")
 def _(v):
-    s = splits.split_by_count(v.people, models.SEED, "ed_key")
-    return s.groupBy("split").agg(F.count(F.lit(1)).alias("districts"))
+    return splits.assign_clusters(v.placed_people, target=120)
 
 
-@query("cluster_sizes", "G8 W9 W10 A44", "clusters:i smallest:i median:i largest:i")
+@query("cluster_sizes", "G8 W9 W10 A44", "clusters:i smallest:i median:i largest:i",
+       f"""WITH RECURSIVE {_CLUSTER_SQL}, z AS (SELECT cluster, count(*) AS n FROM person JOIN cluster USING (ed_key) GROUP BY 1)
+       SELECT count(*) AS clusters, min(n) AS smallest, floor(quantile_cont(n, 0.5)) AS median, max(n) AS largest FROM z""")
 def _(v):
     return splits.cluster_sizes(splits.assign_clusters(v.placed_people, target=120))
 
