@@ -94,3 +94,33 @@ def test_walks_reach_every_partner_along_few_directions():
         homes.append(home)
     a, b = np.nonzero(x @ x.T >= 0.95)
     assert met[a, np.concatenate(homes)[b]].all()
+
+
+@pytest.mark.parametrize("shape", ["isotropic", "few directions", "one residue"])
+def test_recall_is_measured_and_links_are_symmetric(spark, shape):
+    """20,000 vectors with partners planted at similarities of 0.94 to 0.96 and closer."""
+    rng = np.random.RandomState(3)
+    n, dims, pairs = 20_000, 32, 1500
+    x = rng.standard_normal((n, dims))
+    if shape == "few directions":
+        x[:, 4:] *= 0.05
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal((pairs, dims))
+    if shape == "few directions":
+        side[:, 4:] = 0
+    side -= (side * x[:pairs]).sum(1, keepdims=True) * x[:pairs]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = np.concatenate([rng.uniform(0.94, 0.96, pairs // 2), rng.uniform(0.96, 1, pairs - pairs // 2)])[:, None]
+    x[n - pairs:] = c * x[:pairs] + np.sqrt(1 - c ** 2) * side
+    x = x.astype(np.float32)
+    by = 64 if shape == "one residue" else 1
+    ready(spark)
+    df = spark.createDataFrame([(k * by, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(8)
+    got = {r["vec_id"] // by: r for r in neardup.near_vectors(df).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    deg = np.zeros(n, int)
+    for lo in range(0, n, 1000):
+        deg[lo:lo + 1000] = (u[lo:lo + 1000] @ u.T >= 0.95).sum(1) - 1
+    found = np.array([got[k]["n_links"] for k in range(n)])
+    assert (found <= deg).all() and found.sum() % 2 == 0
+    assert found.sum() >= 0.99 * deg.sum() > 0

@@ -1,10 +1,18 @@
 """Near-duplicate vectors by an inverted multi-index.
 
 Two codebooks, one per half of the components, make a grid of cells. A vector lives in the
-cell of its nearest codes. To find its partners it walks the cells in the order of the sum of
-both halves' squared distances to the cell (to the border between its own code's region and
-the cell's), the multi-sequence order, and stops at the squared distance of vectors of the
-least similarity, so no partner's cell is left out. Every visited cell is checked exactly.
+cell of its nearest codes. To find its partners it walks the cells in the multi-sequence order:
+by the sum of both halves' squared distances to the cell (to the border between its own code's
+region and the cell's). Every visited cell is checked exactly.
+
+The walk stops at the sum that reaches a target recall. It is measured: partners of a bounded
+sample of rows are found exactly among all rows, and the stop is where the target share of them
+has been met (and of partners drawn around the sample at the least similarity, for data with few
+real ones). A recall of 1 asks for the exact bound: a cell's border is never farther than a vector in it, so
+at the squared distance of the least similarity no partner is left out.
+
+A pair is found if either of both meets the other's cell, and counts for both then, so the
+links are symmetric.
 
 Equal vectors are one vector with a count. Cells of many homes or visitors are cut into
 blocks that meet pairwise, so no task holds a whole cell; a block returns link counts and a
@@ -24,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import components, groups, partitions, store
 from .search import valid
+from .words import mix
 
 _LAST = 1 << 62
 #: Homes and visitors of one block.
@@ -38,8 +47,9 @@ class Grid:
         self.cut = sample.shape[1] // 2
         self.books = [self._fit(h, codes, rng) for h in self.halves(sample)]
         self.codes = max(len(b) for b in self.books)
+        self.least = least
         # The distance to a cell's border is never more than to a vector in it; the rest is rounding.
-        self.reach = 2 - 2 * least + 1e-6
+        self.exact = self.reach = 2 - 2 * least + 1e-6
 
     def halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return x[:, :self.cut], x[:, self.cut:]
@@ -68,13 +78,60 @@ class Grid:
             home = home * self.codes + own
         return home, far
 
+    def costs(self, far: list[np.ndarray], row: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """The sums at which rows meet cells."""
+        return far[0][row, cell // self.codes] + far[1][row, cell % self.codes]
+
     def walk(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(rows, visited cell of each, home per row of the chunk): cells within reach."""
+        """(rows, visited cell of each, home per row of the chunk): cells within reach, nearest first."""
         for lo in range(0, len(x), 256):
             home, far = self.places(x[lo:lo + 256])
-            i, a, b = np.nonzero(far[0][:, :, None] + far[1][:, None, :] <= self.reach)
+            sums = far[0][:, :, None] + far[1][:, None, :]
+            i, a, b = np.nonzero(sums <= self.reach)
+            order = np.lexsort((sums[i, a, b], i))
+            i, a, b = i[order], a[order], b[order]
             yield i + lo, a * self.codes + b, home
 
+    def met(self, x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The sum at which a walk first joins x[i] and y[j], from either side."""
+        (hx, fx), (hy, fy) = self.places(x), self.places(y)
+        return np.minimum(self.costs(fx, i, hy[j]), self.costs(fy, j, hx[i]))
+
+
+#: Parts of the way to the exact bound that recall is measured at.
+_STEPS = 1000
+
+
+def set_reach(grid: Grid, one: DataFrame, asked: np.ndarray, ids: np.ndarray, dims: int, recall: float) -> None:
+    """Stop walks where they have met the share ``recall`` of the partners of the rows ``asked``."""
+    if recall >= 1 or not len(asked):
+        return
+    step = grid.exact / _STEPS
+
+    def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(_STEPS + 1, np.int64)
+        for b in batches:
+            x, own = _unit(b.column(0), dims), b.column(1).to_numpy()
+            for lo in range(0, len(x), 4096):
+                i, j = np.nonzero((x[lo:lo + 4096] @ asked.T >= grid.least) & (own[lo:lo + 4096, None] != ids))
+                if len(i):
+                    found += np.bincount(np.ceil(grid.met(x[lo:lo + 4096], asked, i, j) / step).astype(int), minlength=_STEPS + 1)[:_STEPS + 1]
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], ["step", "pairs"])
+
+    real = np.zeros(_STEPS + 1, np.int64)
+    for k, n in one.select("embedding", "id").mapInArrow(partners, "step long, pairs long").groupBy("step").agg(F.sum("pairs")).collect():
+        real[k] = n
+    rng = np.random.RandomState(11)
+    drawn = np.repeat(asked, 4, 0)
+    side = rng.standard_normal(drawn.shape)
+    side -= (side * drawn).sum(1, keepdims=True) * drawn
+    side /= np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-12)
+    at = np.arange(len(drawn))
+    made = np.bincount(np.minimum(np.ceil(grid.met(drawn, grid.least * drawn + (1 - grid.least ** 2) ** 0.5 * side, at, at) / step), _STEPS).astype(int),
+                       minlength=_STEPS + 1)
+    grid.reach = max(int(np.searchsorted(np.cumsum(n), recall * n.sum())) for n in (real, made)) * step
+
 
 def _unit(column: pa.Array, dims: int) -> np.ndarray:
     size = np.diff(column.offsets.to_numpy())
@@ -96,18 +153,21 @@ def _forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.
         left, right = a, b
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.95, sample_rows: int = 20_000) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.95, recall: float = 0.999, sample_rows: int = 20_000,
+                 asked_rows: int = 1024) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row. ``sample_rows`` bounds the rows (by id
-    hash) that the codebooks are fitted to; every row is indexed and compared."""
+    hash) that the codebooks are fitted to, ``asked_rows`` those whose partners set the stop of
+    walks; every row is indexed and compared."""
     own = F.lit(_LAST) + F.shiftrightunsigned(F.xxhash64("embedding"), 2)
     rows = vectors.select("vec_id", F.coalesce(F.col("vec_id").cast("long"), own).alias("id"), "embedding", (
         valid("embedding") & F.exists("embedding", lambda x: x != 0)).alias("ok"))
     one = store(rows.where("ok").groupBy("embedding").agg(F.min("id").alias("id"), F.count("*").alias("n")))
     n, dims = one.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
-    sample = one.select("embedding", "id").orderBy(F.xxhash64("id"), "id").limit(sample_rows).toArrow()["embedding"].combine_chunks()
-    sample = sample.chunk(0) if isinstance(sample, pa.ChunkedArray) and sample.num_chunks else sample
+    sample = one.select("embedding", "id").orderBy(F.xxhash64("id"), "id").limit(sample_rows).toArrow().combine_chunks()
+    x = _unit(sample["embedding"].chunk(0), dims) if sample.num_rows else np.zeros((0, dims))
     codes = int(max(8, min(256, 2 * n ** 0.25)))  # cells grow as the root of the rows
-    grid = Grid(_unit(sample, dims) if len(sample) else np.zeros((0, dims)), codes, least)
+    grid = Grid(x, codes, least)
+    set_reach(grid, one, x[:asked_rows], sample["id"].to_numpy()[:asked_rows], dims, recall)
     cells = grid.codes ** 2
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,14 +187,14 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, sample_rows: int = 20_
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, ids = _unit(b.column(0), dims), b.column(1).to_numpy()
+            x, hashed = _unit(b.column(0), dims), (mix(b.column(1).to_numpy().view(np.uint64)) >> np.uint64(1)).astype(np.int64)
             lo = 0
             for row, cell, home in grid.walk(x):
                 for visitor, r, c in ((False, np.arange(lo, lo + len(home)), home), (True, row, cell)):
                     mine, other = split[int(visitor), c], split[1 - int(visitor), c]
                     at = np.repeat(np.arange(len(r)), other)
                     k = np.arange(len(at)) - np.repeat(np.cumsum(other) - other, other)
-                    m = (ids[r] % mine)[at]
+                    m = (hashed[r] % mine)[at]
                     h, v = (k, m) if visitor else (m, k)
                     part = b.take(pa.array(r[at]))
                     yield pa.RecordBatch.from_arrays(
@@ -149,12 +209,19 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, sample_rows: int = 20_
                 continue
             x = _unit(t["embedding"].chunk(0), dims)
             ids, n_of = t["id"].to_numpy(), t["n"].to_numpy()
+            far = grid.places(x[:cut])[1]
             for lo in range(cut, t.num_rows, 512):
                 v = slice(lo, lo + 512)
                 links = (x[v] @ x[:cut].T >= least) & (ids[v][:, None] != ids[None, :cut])
-                count = links @ n_of[:cut]
+                i, j = np.nonzero(links)
+                if not len(i):
+                    continue
+                home = grid.places(x[v])[0]
+                back = grid.costs(far, j, home[i]) <= grid.reach  # then j finds i, too, and counts it
+                count = np.bincount(i, n_of[j], len(ids[v])).astype(np.int64)
+                other = np.bincount(j[~back], n_of[lo + i[~back]], cut).astype(np.int64)
                 a, b = _forest(links, ids[v], ids[:cut])
-                out = [(ids[v], count, a, count > 0), (ids[:cut], np.zeros(cut, np.int64), b, b != ids[:cut])]
+                out = [(ids[v], count, a, count > 0), (ids[:cut], other, b, (b != ids[:cut]) | (other > 0))]
                 i, c, m = (np.concatenate([y[k][y[3]] for y in out]) for k in range(3))
                 yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(c), pa.array(m)], ["id", "links", "reaches"])
 
