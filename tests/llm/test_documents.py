@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardline.llm import jaccard, katz, packing, quality, repeats, spm, token_counts, unigram, words
+from wardline.llm.common import ready
 
 
 def rows_by_id(df):
@@ -102,8 +103,52 @@ def test_jaccard_groups(docs, texts, monkeypatch):
     assert Counter(map(tuple, jaccard.near_groups(docs.repartition(7)).collect())) == want
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
+    # one row per group, of its least id; the group of the row without an id holds no other; wordless rows stay
     assert Counter(r["doc_id"] for r in kept.select("doc_id").collect()) == Counter(
-        {i: n for (i, _, c), n in want.items() if i == c or i is None} | {None: 2})
+        {i: n if size == 0 else 1 for (i, size, c), n in want.items() if i is not None and i == c} | {None: 2})
+
+
+def test_rows_of_one_id_keep_their_own_texts(spark):
+    """Ids shared by different texts: each row is a document; columns named as inner ones pass through."""
+    ready(spark)
+    rng = np.random.RandomState(5)
+
+    def noise(n):
+        return " ".join("".join(map(chr, rng.randint(97, 123, 7))) for _ in range(n))
+    base, other = noise(60), noise(60)
+    # 1: a copy of 0 beside a text of its own; 2: equal rows beside another; 3: three texts that share a passage
+    rows = [(0, base), (1, base), (1, other), (2, noise(40)), (2, noise(5) + base[:150]), (3, noise(9) + other), (3, other + noise(9)), (3, noise(30)),
+            (None, base), (None, noise(8)), (4, ""), (4, None), (2**62 - 1, noise(20)), (2**62 - 1, base[50:300] + noise(4))]
+    rows += [rows[3]]
+    df = spark.createDataFrame([(i, t, k, k, k, k, k) for k, (i, t) in enumerate(rows)],
+                               "doc_id long, text string, _doc int, _left int, doc int, key int, place_id int").repartition(3)
+    for low in (False, True):  # ids that can be moved up, and such that must be numbered first
+        if low:
+            df, rows = df.where("doc_id is null or doc_id < 100"), [r for r in rows if r[0] is None or r[0] < 100]
+        order = sorted({(i is None, i or 0, hashlib.sha256((t or "").encode()).hexdigest(), t or "") for i, t in rows})
+        seen, want = set(), {}
+        for none, i, _, t in order:
+            gone = [False] * len(t)
+            for p in range(len(t) - 99):
+                if t[p:p + 100] in seen:
+                    gone[p:p + 100] = [True] * 100
+                seen.add(t[p:p + 100])
+            want[None if none else i, t] = "".join(c for c, g in zip(t, gone) if not g)
+        got = repeats.without_repeats(df)
+        assert got.columns == df.columns
+        left = {r["_left"]: r for r in got.collect()}
+        of = {r["_left"]: (r["doc_id"], r["text"] or "") for r in df.collect()}
+        assert {k: (r["doc_id"], r["text"] or "") for k, r in left.items()} == {k: (i, want[i, t]) for k, (i, t) in of.items()}
+        assert Counter(r["kept_sha256"] for r in repeats.repeats(df).collect()) == Counter(hashlib.sha256(want[k].encode()).hexdigest() for k in of.values())
+    kept = jaccard.keep_one(df)
+    texts = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert kept.columns == df.columns
+    assert texts[0, base] == 1 and texts[1, base] == texts[None, base] == 0  # copies of one text
+    assert texts[rows[3]] == 1 and texts[rows[4]] == 1  # equal rows are one, the other text stays
+    assert sum(n for (_, t), n in texts.items() if t and other in t) == 1  # the three near copies
+    assert texts[3, rows[7][1]] == texts[4, ""] == texts[4, None] == 1 and texts[rows[9]] == 1
+    packed = packing.pack(repeats.without_repeats(kept))
+    assert {r["doc_id"] for r in packed.select("doc_id").collect()} >= {0, 2, 3, 4}
 
 
 def test_suffix_dedup(docs, texts, monkeypatch):
@@ -148,7 +193,8 @@ def test_a_frequent_gram_is_cut_into_bounded_shards(spark, monkeypatch):
     # windows around the phrase that recur in differing segments
     texts += [noise()[:i % 7] + texts[i % 40 + 1][20:-20] + noise()[:i % 5] for i in range(60)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    own = repeats.texts_of(repeats._ordered(docs), repeats.shared_segments(repeats._ordered(docs), 100))
+    ordered = docs.select(F.col("doc_id").alias("doc"), "text")
+    own = repeats.texts_of(ordered, repeats.shared_segments(ordered, 100))
     assert own.where(F.col("most") > 77).count() > 0
     sizes = repeats.bodies(own, 100).groupBy("gram", "way").count()
     assert (sizes.agg(F.max("count")).first()[0] or 0) <= repeats._WAYS * repeats._SPLIT

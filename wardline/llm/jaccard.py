@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, groups, partitions, slices, store
+from .common import components, free_names, groups, partitions, slices, store
 from .words import mix, text_bytes, words
 
 #: Tokens in at most so many lists keep their exact frequency for the order of prefixes; it is
@@ -402,8 +402,8 @@ def cell_links(lists: DataFrame, texts: DataFrame, component: DataFrame, n: int,
     return rows.repartition(partitions(lists.sparkSession), *cell).sortWithinPartitions(*cell).mapInArrow(work, "u long, v long")
 
 
-def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row: link where 100 |A and B| >= percent |A or B|."""
+def _components(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``document_sets``, and (set_id, component) of every set that is not empty."""
     rows = store(document_sets(docs, words))
     lists = leader_lists(docs, words, percent)
     one = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("key").alias("key"))
@@ -412,9 +412,14 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     first = components(star)
     links = star.union(cell_links(lists, texts, first, words, percent))
     closed = components(links).select(F.col("id").alias("set_id"), "component")
+    return rows, one.join(closed, "set_id", "left").select("set_id", F.coalesce("component", "set_id").alias("component"))
+
 
+def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) per row: link where 100 |A and B| >= percent |A or B|."""
+    rows, sets = _components(docs, words, percent)
     own = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
-    named = own.join(closed, "set_id", "left").select("set_id", "least", F.coalesce("component", "set_id").alias("component"))
+    named = own.join(sets, "set_id")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_set = named.join(least, "component").select("set_id", "component_id")
     return rows.join(by_set, "set_id", "left").select(
@@ -422,8 +427,19 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that name their group: one per group.
-    Rows that share an id stay or go together; rows without an id stay."""
-    found = near_groups(docs.select("doc_id", "text"), words, percent)
-    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs``, with all their columns, that are the first of their group: of the least
+    id (none is last), then of the least hash of id and text; of equal ones a single row. Rows without
+    words are linked with nothing and stay."""
+    rows, sets = _components(docs.select("doc_id", "text"), words, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"]
+    texts = rows.where("n_shingles > 0").join(sets, "set_id").groupBy("component", "key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    best = texts.groupBy("component").agg(first.alias("best"))
+    ranked = store(texts.join(best, "component").select("key", (F.col("key") == F.col("best")).alias("stays"), "n"))
+    key, = free_names(docs, "key")
+    kept = docs.withColumn(key, _key()).join(ranked.where(~F.col("stays")).select(F.col("key").alias(key)), key, "left_anti")
+    many = ranked.where(F.col("stays") & (F.col("n") > 1)).select(F.col("key").alias(key))
+    if many.isEmpty():
+        return kept.select(*(f"`{c}`" for c in docs.columns))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    once = kept.join(many, key, "left_semi").groupBy(key).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row"))
+    return kept.join(many, key, "left_anti").select(*(f"`{c}`" for c in docs.columns)).unionByName(once.select("row.*"))

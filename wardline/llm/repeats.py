@@ -13,6 +13,7 @@ The text itself moves twice, compressed, to its own segments; what moves by gram
 
 Cases: null and empty texts keep nothing and lose nothing; texts that equal an earlier one
 lose every byte if they have ``length``; repeated rows are one document and give equal rows;
+rows of one id and different texts are documents of their own, in the order of their SHA-256;
 rows without an id come after all others; other columns are not read. Texts are the same if
 their SHA-256 is."""
 from __future__ import annotations
@@ -24,10 +25,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucketed, groups, partitions, slices, store
+from ..operators.groups import ordered_rank
+from .common import bucketed, free_names, groups, partitions, slices, store
 from .induced import suffixes
 from .words import _CODE, _DOWN, _UP, mix, text_bytes
 
@@ -78,10 +80,43 @@ def segments(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _ordered(docs: DataFrame) -> DataFrame:
-    """(doc, text): ``doc`` orders all documents; without an id they follow, by text."""
-    own = F.lit(_LAST) + F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2)
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), own).alias("doc"), "text")
+class Places:
+    """The place ``doc`` of every document in the order of all: that of its id, and of its text among
+    those of one id. Ids are places themselves unless some id has several texts; then they are moved up by as
+    many bits as these need, after being numbered if they are too large for that."""
+
+    def __init__(self, docs: DataFrame):
+        self.sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+        own = F.lit(_LAST) + F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2)
+        self.id, self.bits, self.several, self.ranks = F.coalesce(F.col("doc_id").cast("long"), own), 0, None, None
+        hashed = store(docs.select("doc_id", self.id.alias("id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+                                   self.sha.alias("sha")))
+        several = store(hashed.where(F.col("id") < _LAST).groupBy("id").agg(F.min("sha").alias("least"), F.max("sha").alias("most"))
+                        .where("least <> most").select("id"))
+        if not several.isEmpty():
+            texts = hashed.join(several, "id").select("id", "sha").distinct()
+            self.several = store(texts.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("sha")) - 1))
+            ids = hashed.where(F.col("id") < _LAST)
+            nth, low, high = self.several.agg(F.max("nth")).first()[0], *ids.agg(F.min("id"), F.max("id")).first()
+            self.bits = nth.bit_length()
+            if max(-low, high) >= _LAST >> self.bits:
+                parts = [F.shiftright("id", k).alias(f"b{k}") for k in (42, 21)]
+                self.ranks = store(ordered_rank(ids.select("id", *parts).distinct(), [], ["b42", "b21"], ["id"]).select("id", "rank"))
+        #: (doc_id, n_bytes, sha, doc) of every row.
+        self.rows = self.of(hashed.withColumnRenamed("id", "id_"), F.col("id_"), F.col("sha"), "doc").drop("id_")
+
+    def of(self, df: DataFrame, own: Column, sha: Column, name: str) -> DataFrame:
+        """``df`` with the places of its rows, given their id and SHA-256, as column ``name``."""
+        if self.several is None:
+            return df.withColumn(name, own)
+        i, h = free_names(df, "place_id", "place_sha")
+        df = df.withColumns({i: own, h: sha}).join(self.several.select(F.col("id").alias(i), F.col("sha").alias(h), F.col("nth").alias(f"{i}_nth")), [i, h], "left")
+        number = F.col(i)
+        if self.ranks is not None:
+            df = df.join(self.ranks.select(F.col("id").alias(i), F.col("rank").alias(f"{i}_rank")), i, "left")
+            number = F.col(f"{i}_rank")
+        place = F.when(F.col(i) >= _LAST, F.col(i)).otherwise(F.shiftleft(number, self.bits) + F.coalesce(f"{i}_nth", F.lit(0)))
+        return df.withColumn(name, place).drop(i, h, f"{i}_nth", f"{i}_rank")
 
 
 def _fresh(b: pa.RecordBatch, seen: dict[bytes, int]) -> pa.RecordBatch:
@@ -342,48 +377,42 @@ def kept_texts(texts: DataFrame, runs: DataFrame, length: int) -> DataFrame:
         run, "doc long, n_removed long, n_spans long, kept binary")
 
 
-def _first_of_text(texts: DataFrame) -> DataFrame:
-    """(doc, n_bytes, sha, least): every document's size and SHA-256, and the first with that text."""
-    hashed = texts.select("doc", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
-                          F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
-    hashed = store(hashed)
-    return hashed.join(hashed.groupBy("sha").agg(F.min("doc").alias("least")), "sha")
-
-
-def _found(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    texts = _ordered(docs)
+def _found(docs: DataFrame, length: int) -> tuple[Places, DataFrame, DataFrame]:
+    """Places, the rows (doc_id, doc, n_bytes, sha, copy), and what is left of documents. ``copy``: an
+    earlier document has the same text, and it is long enough to go."""
+    places = Places(docs)
+    rows = places.rows.join(places.rows.groupBy("sha").agg(F.min("doc").alias("least")), "sha")
+    rows = rows.withColumn("copy", (F.col("least") < F.col("doc")) & (F.col("n_bytes") >= length))
+    texts = places.of(docs.select("doc_id", "text"), places.id, places.sha, "doc").select("doc", "text")
     own = texts_of(texts, shared_segments(texts, length))
-    return texts, kept_texts(own, store(repeated_runs(own, length)), length)
+    return places, rows, kept_texts(own, store(repeated_runs(own, length)), length)
 
 
 def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    texts, kept = _found(docs, length)
+    _, rows, kept = _found(docs, length)
     kept = kept.select("doc", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha"))
-    copy = (F.col("least") < F.col("doc")) & (F.col("n_bytes") >= length)
     zero = F.lit(0).cast("long")
-    return _first_of_text(texts).join(kept, "doc", "left").select(
-        F.when(F.col("doc") < _LAST, F.col("doc")).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n_bytes",
-        F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
-        F.when(copy, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
-        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"))
+    return rows.join(kept, "doc", "left").select(
+        "doc_id", "n_bytes",
+        F.when(F.col("copy"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
+        F.when(F.col("copy"), F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
+        F.when(F.col("copy"), F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"))
 
 
 def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """``docs`` with what is left of each text, and ``n_chars`` (if there) as its length. A character
     of which only some bytes stay goes whole. Rows whose text equals an earlier one lose it all
     if it has ``length`` bytes; no row goes."""
-    texts, kept = _found(docs, length)
-    copies = _first_of_text(texts).where((F.col("least") < F.col("doc")) & (F.col("n_bytes") >= length)) \
-        .select("doc", F.lit(b"").alias("left")).distinct()
+    places, rows, kept = _found(docs, length)
+    copies = rows.where("copy").select("doc", F.lit(b"").alias("left")).distinct()
     changed = kept.where("n_removed > 0").select("doc", F.col("kept").alias("left")).join(copies.select("doc"), "doc", "left_anti").union(copies)
-    change = store(changed.mapInArrow(_as_text, "doc long, left string")).select(F.col("doc").alias("_doc"), F.col("left").alias("_left"))
-    own = F.lit(_LAST) + F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2)
-    joined = docs.join(change, F.coalesce(docs["doc_id"].cast("long"), own) == F.col("_doc"), "left")
-    text = F.coalesce(F.col("_left"), docs["text"])
-    new = {"text": text} | ({"n_chars": F.when(F.col("_left").isNull(), docs["n_chars"]).otherwise(F.char_length("_left")).cast(
+    doc, left = free_names(docs, "doc", "left")
+    change = store(changed.mapInArrow(_as_text, "doc long, left string")).select(F.col("doc").alias(doc), F.col("left").alias(left))
+    joined = places.of(docs, places.id, places.sha, doc).join(change, doc, "left")
+    new = {"text": F.coalesce(left, "text")} | ({"n_chars": F.when(F.col(left).isNull(), F.col("n_chars")).otherwise(F.char_length(left)).cast(
         docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return joined.select(*(new.get(c, docs[c]).alias(c) for c in docs.columns))
+    return joined.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
 
 def _as_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
