@@ -62,6 +62,70 @@ def test_cache_and_contributions(spark, tmp_path):
     assert [tuple(r) for r in names.collect()] == [("C1", "New")]
 
 
+@pytest.fixture()
+def small_splits(spark):
+    """Byte ranges of a few hundred bytes, several of them in one task."""
+    conf = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "1"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k in conf:
+        spark.conf.unset(k)
+
+
+def test_file_order_over_a_folder(spark, tmp_path, small_splits):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    want = []
+    for f, rows in (("b.csv", 90), ("a c.csv", 3), ("d.csv", 40), ("c.csv", 1)):
+        lines = [f"{HEADER}".strip()] + [f"NASSAU,T{f[0]}{i},1,{i},Main,1,1,1,{'x' * (i % 50)}" for i in range(rows)]
+        (folder / f).write_text("\n".join(lines) + "\n")
+    for f, rows in (("a", 3), ("b", 90), ("c", 1), ("d", 40)):
+        want += [f"T{f}{i}" for i in range(rows)]
+    h = files.number_rows(files.read_households(spark, [str(folder), str(folder / "d.csv")]))
+    got = [r["city"] for r in h.orderBy("household_row").collect()]
+    assert got == want + [f"Td{i}" for i in range(40)]
+    assert sorted(r["household_row"] for r in h.collect()) == list(range(174))
+    assert spark.read.csv(str(folder)).rdd.getNumPartitions() > 3
+    first = people.first_per_key(h.select("county", "city", "ordinal"), "county", "ordinal").first()
+    assert first["city"] == "Ta0"
+    names = tmp_path / "names"
+    names.mkdir()
+    for f in ("2", "1"):
+        (names / f).write_text("".join(f"C{i % 7}|name {f} {i}|x\n" for i in range(80)))
+    got = {r["committee_id"]: r["committee_name"] for r in files.read_committee_names(spark, {2024: str(names)}).collect()}
+    assert got == {f"C{k}": f"name 2 {max(i for i in range(80) if i % 7 == k)}" for k in range(7)}
+
+
+def test_one_object_is_read_in_parts(spark, tmp_path, small_splits):
+    """Strings with braces, quotes and backslashes at every place of a byte range."""
+    odd = ["}", "{", '"', "\\", '\\"}', "a{b}c", '{"x": "}"}', "\u00e9}", "", "end\\"]
+    cache = {f"K{i}|{odd[i % 10]}|{i}": {"confirmed": [{"date": "2020-01-02", "amount": i + k, "committee": odd[(i + k) % 10] * (i % 9)} for k in range(i % 4)],
+                                      "possible": [], "checked_at": odd[i % 7]} for i in range(300)}
+    for k, indent in enumerate((None, 2)):
+        path = tmp_path / f"cache{k}.json"
+        path.write_text(json.dumps(cache, indent=indent, ensure_ascii=bool(k)))
+        got = files.read_donation_cache(spark, str(path), "fec", confirmed_only=False, lines=False)
+        rows = {r["key"]: r for r in got.collect()}
+        assert rows.keys() == cache.keys() and got.count() == 300
+        for key, entry in cache.items():
+            assert [c.asDict() for c in rows[key]["confirmed"]] == entry["confirmed"] and rows[key]["checked_at"] == entry["checked_at"]
+    assert spark.read.option("lineSep", "}").text(str(path)).rdd.getNumPartitions() > 50
+    (tmp_path / "none.json").write_text("{}")
+    assert files.read_donation_cache(spark, str(tmp_path / "none.json"), "fec", False, False).count() == 0
+    layer = {"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "x"}}, "features": [
+        {"type": "Feature", "properties": {"SLD": str(i), "note": odd[i % 10]}, "geometry": {
+            "type": "Polygon", "coordinates": [[[0, 0], [i, 0], [i, i], [0, 0]]]}} for i in range(1, 60)], "last": {"a": 1}}
+    for k, order in enumerate((list(layer), ["features", "crs", "type", "last"])):
+        (tmp_path / f"l{k}.json").write_text(json.dumps({c: layer[c] for c in order}))
+        got = {r["d"]: r["rings"][0][1]["x"] for r in files.read_geojson(spark, str(tmp_path / f"l{k}.json"), ["SLD"], "d").collect()}
+        assert got == {str(i): float(i) for i in range(1, 60)}
+    results = {race: {str(y): {str(d): {"total_votes": y + d, "winner": odd[d % 10]} for d in range(9)} for y in (2020, 2022)} for race in ("senate", "house")}
+    (tmp_path / "r.json").write_text(json.dumps(results))
+    got = {(r["race"], r["year"], r["district"]): (r["total_votes"], r["winner"]) for r in files.read_results(spark, str(tmp_path / "r.json")).collect()}
+    assert got == {(a, int(y), d): (x["total_votes"], x["winner"]) for a, ys in results.items() for y, ds in ys.items() for d, x in ds.items()}
+
+
 def test_layers_and_results(spark, tmp_path):
     g = tmp_path / "l.geojson"
     ring = [[0, 0], [2, 0], [2, 2], [0, 2], [0, 0]]
@@ -106,7 +170,7 @@ def test_refresh_is_deterministic_and_adds_people_of_stored_households(spark):
 
 
 def test_voter_file_to_features_end_to_end(spark, voter_files, tmp_path):
-    h = files.read_households(spark, voter_files).withColumnRenamed("ordinal", "household_row")
+    h = files.number_rows(files.read_households(spark, voter_files))
     empty = spark.createDataFrame([], "donor_key string, source string, donation_date string, amount double, committee string, confirmed boolean")
     out = jobs.build_person_tables(h.withColumns({"lon": F.lit(None).cast("double"), "lat": F.lit(None).cast("double")}),
                                    empty, 2024, 2026, str(tmp_path / "stage"))
@@ -152,7 +216,7 @@ def test_match_refresh_job(spark, tmp_path):
 
 def test_prospect_job(spark, voter_files, tmp_path):
     import datetime as dt
-    h = files.read_households(spark, voter_files).withColumnRenamed("ordinal", "household_row")
+    h = files.number_rows(files.read_households(spark, voter_files))
     p = people.number_people(people.explode_people(people.with_people(h)))
     gifts = spark.createDataFrame([("ROE BO|TOWN|11797", "fec", "2025-01-01", 99.0, "Progressive Fund", True, 0)],
                                   "donor_key string, source string, donation_date string, amount double, committee string, confirmed boolean, ordinal long")
