@@ -3,9 +3,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from wardline import schemas
 from wardline.operators import donations, people
 from wardline.plans import jobs
-from wardline.sources import files, sinks
+from wardline.sources import files, sinks, versions
 
 HEADER = "county,city,zip_code,address_number,street_name,assembly_district,election_district,voters_at_address,household_detail\n"
 
@@ -161,6 +162,49 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "m")).first()["n"] == 6
 
 
+def test_versions_survive_a_crash_and_runs_count_once(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "people")
+    with pytest.raises(LookupError):
+        versions.read(spark, folder)
+    first = versions.publish(spark.createDataFrame([(1, "ANN", None), (2, "BO", 0.5)], "person_id long, name string, turnout_prob double"), folder)
+    scores = spark.createDataFrame([(1, 0.12345, 0.1, 0.2), (9, 0.9, 0.1, 0.2)], "person_id long, turnout_propensity double, p_dem_lean double, p_rep_lean double")
+    for _ in range(2):  # the second one changes nothing
+        now = sinks.store_scores(scores, folder, "scores 2024")
+        assert {r["person_id"]: r["turnout_prob"] for r in now.collect()} == {1: 0.1235, 2: 0.5}
+    batch = spark.createDataFrame([(2, "BO", 1), (3, "CY", 2), (3, "CY", 3)], "person_id long, name string, ordinal long").withColumn(
+        "turnout_prob", F.lit(None).cast("double")).withColumns({c: F.lit(None).cast("double") for c in ("dem_lean_prob", "rep_lean_prob")})
+    for _ in range(2):
+        now = sinks.load_absent(batch, folder, ["person_id"], ["ordinal"], "load 7")
+        assert sorted(r["name"] for r in now.collect()) == ["ANN", "BO", "CY"]
+    assert [(v, run) for v, _, run in versions.history(spark, folder)] == [(1, None), (2, "scores 2024"), (3, "load 7")]
+    # a run that ends after its data and before its pointer: the old version stays current, a repeat succeeds
+    write = versions.publish
+
+    def crash(df, *rest):
+        df.write.parquet(f"{folder}/data/half")
+        raise KeyboardInterrupt
+    monkeypatch.setattr(versions, "publish", crash)
+    with pytest.raises(KeyboardInterrupt):
+        versions.update(spark, folder, lambda t: t.limit(0), "load 8")
+    assert versions.read(spark, folder).count() == 3
+    monkeypatch.setattr(versions, "publish", write)
+    versions.update(spark, folder, lambda t: t.filter("person_id > 1"), "load 8")
+    assert versions.read(spark, folder).count() == 2 and versions.read(spark, folder, 2).count() == 2
+    assert first.count() == versions.read(spark, folder, 1).count() == 2 and "dem_lean_prob" not in first.columns
+    with pytest.raises(LookupError):
+        versions.read(spark, folder, 9)
+
+
+def test_voter_files_to_people_in_one_job(spark, voter_files, tmp_path):
+    empty = spark.createDataFrame([], "donor_key string, source string, donation_date string, amount double, committee string, confirmed boolean")
+    streets = spark.createDataFrame([("NASSAU", "Main Street", "1", "49", "2", "50", "11797", "11797", "S1400", 0, [(-73.5, 40.7), (-73.4, 40.7)])], schemas.SEGMENT)
+    out = jobs.build_from_files(spark, voter_files, streets, empty, 2024, 2026, str(tmp_path / "stage"))
+    p = {r["name"]: r for r in out["people"].collect()}
+    assert set(p) == {"ANN ROE", "BO ROE", "CY DOE"} and p["ANN ROE"]["household_row"] == 0 and p["CY DOE"]["household_row"] == 2
+    assert p["ANN ROE"]["has_geo"] == 1 and -73.5 < p["ANN ROE"]["lon"] < -73.4 and p["CY DOE"]["has_geo"] == 0
+    assert sorted(r["person_row"] for r in out["history"].collect()) == [0, 1, 2]
+
+
 def test_refresh_is_deterministic_and_adds_people_of_stored_households(spark):
     stored = spark.createDataFrame([("h1", "ANN")], "household_id string, name string")
     batch = spark.createDataFrame([("h1", "ANN", 1), ("h1", "BO", 2), ("h1", "BO", 3), ("h2", "CY", 4)],

@@ -3,14 +3,14 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import dates
 from ..operators import (context, donations, geocode, graph, history, households, matching, people,
                          splits)
-from ..sources import sinks
+from ..sources import files, sinks
 
 
 def build_person_tables(homes: DataFrame, gifts: DataFrame, target: int, ref_year: int,
@@ -40,6 +40,14 @@ def build_person_tables(homes: DataFrame, gifts: DataFrame, target: int, ref_yea
             "segments_schema": schemas.SEGMENT}
 
 
+def build_from_files(spark: SparkSession, paths: list[str], segments: DataFrame, gifts: DataFrame, target: int,
+                     ref_year: int, folder: str) -> dict:
+    """Voter files to people, ballots, donors and history: rows are numbered in file order and geocoded first."""
+    homes = files.number_rows(files.read_households(spark, paths)).drop("ordinal")
+    placed = sinks.write_stage(geocode.geocode(homes, segments), f"{folder}/homes")
+    return build_person_tables(placed, gifts, target, ref_year, folder)
+
+
 def check_alignment(persons: DataFrame, hist: DataFrame, key: str = "person_row") -> None:
     """Every person has exactly one history row."""
     twice = hist.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

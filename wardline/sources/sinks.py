@@ -1,10 +1,12 @@
-"""Writers. Stages are versioned: each run writes to a new path, an existing one is refused."""
+"""Writers. Stages are versioned: each run writes to a new path, an existing one is refused.
+Tables that runs write back to are kept by ``versions``."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.groups import first_n
+from . import versions
 
 
 def write_stage(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -44,6 +46,17 @@ def insert_absent(existing: DataFrame, batch: DataFrame, keys: list[str],
     return fresh.join(existing.select(*keys), keys, "left_anti")
 
 
+def load_absent(batch: DataFrame, folder: str, keys: list[str], order: list[str | Column], run: str) -> DataFrame:
+    """Add the absent rows of a batch to a stored table, once per run."""
+    return versions.update(batch.sparkSession, folder, lambda t: t.unionByName(
+        insert_absent(t, batch, keys, order).select(t.columns)), run)
+
+
+def store_scores(scores: DataFrame, folder: str, run: str, key: str = "person_id") -> DataFrame:
+    """Write scores back to the stored people, once per run."""
+    return versions.update(scores.sparkSession, folder, lambda t: write_scores_back(t, scores, key), run)
+
+
 def reload_donations(rows: DataFrame, path: str) -> DataFrame:
     """Truncate and reload. No unique key exists, so nothing is dropped."""
     return write_stage(rows.select("donor_key", "source", "donation_date",
