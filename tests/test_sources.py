@@ -162,6 +162,23 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "m")).first()["n"] == 6
 
 
+def test_money_sums_do_not_depend_on_row_order(spark, tmp_path):
+    rows = [("A|T|11797", "fec", "2020-01-02", (k * 7919 % 100_000) / 100 + (1e7 if k % 500 == 0 else 0), f"C{k % 3}", k % 5 > 0, k) for k in range(3000)]
+    kinds = "donor_key string, source string, donation_date string, amount double, committee string, confirmed boolean, ordinal long"
+    cents = sum(round(r[3] * 100) for r in rows if r[5])
+    seen = set()
+    for n, order in ((1, rows), (7, rows[::-1]), (13, sorted(rows, key=lambda r: r[3]))):
+        d = spark.createDataFrame(order, kinds).withColumn("donation_date", F.to_date("donation_date")).repartition(n)
+        people_of = spark.createDataFrame([("A|T|11797", "DEM", 1), ("A|T|11797", "DEM", 2)], "donor_key string, party string, person_row long")
+        total = donations.donor_summaries(d).first()["total_donated"]
+        assert total == cents / 100 == donations.donation_meta(d).first()["confirmed_total"] == donations.top_zips(d).first()["total"]
+        assert donations.party_giving(d, people_of).first()["total"] == 2 * cents / 100
+        seen.add(tuple(r["total"] for r in donations.top_committees(d).collect()))
+        stored = sinks.reload_donations(d, str(tmp_path / f"d{n}"))
+        assert stored.count() == 3000 and stored.agg(F.sum("amount")).first()[0] * 100 == sum(round(r[3] * 100) for r in rows)
+    assert len(seen) == 1
+
+
 def test_versions_survive_a_crash_and_runs_count_once(spark, tmp_path, monkeypatch):
     folder = str(tmp_path / "people")
     with pytest.raises(LookupError):

@@ -16,6 +16,12 @@ def _amount() -> Column:
     return F.coalesce(F.col("amount").cast("double"), F.lit(0.0))
 
 
+def _money(c: Column | None = None) -> Column:
+    """An amount as summed: exact to a hundredth of a cent, so that sums don't depend on the order of
+    rows. They become doubles once, at the end."""
+    return (F.col("amount") if c is None else c).try_cast("decimal(18,4)")
+
+
 def parse_date(c: Column) -> Column:
     """``year-month-day`` text to a date; anything else to null."""
     t = c.cast("string")
@@ -59,7 +65,7 @@ def donation_features(donations: DataFrame, cutoff: dt.date) -> DataFrame:
     d = (as_of_donations(donations.filter("confirmed"), cutoff)
          .withColumn("committee", F.coalesce("committee", F.lit(""))))
     parts = d.groupBy("donor_key", "source", "committee").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(_amount()).alias("total"),
+        F.count(F.lit(1)).alias("n"), F.sum(_money()).alias("total"),
         F.max("donation_date").alias("last"))
     per = parts.groupBy("donor_key").agg(
         *[F.coalesce(F.sum(F.when(F.col("source") == s, F.col("n"))), F.lit(0)).alias(f"{s}_n")
@@ -96,15 +102,13 @@ def donation_totals_simple(donations: DataFrame, cutoff: dt.date) -> DataFrame:
     """Variant aggregate per (donor key, source); dateless and possible records count."""
     d = as_of_donations_simple(donations, cutoff)
     parts = d.groupBy("donor_key", "source", "committee").agg(
-        F.sum(F.col("amount").cast("double")).alias("total"), F.count(F.lit(1)).alias("n"),
+        F.sum(_money()).alias("total"), F.count(F.lit(1)).alias("n"),
         F.max("donation_date").alias("last"))
     return parts.groupBy("donor_key", "source").agg(
-        F.sum("total").alias("total"), F.sum("n").alias("n"), F.max("last").alias("last_date"),
+        F.sum("total").cast("double").alias("total"), F.sum("n").alias("n"), F.max("last").alias("last_date"),
         F.count("committee").alias("n_committees"),
-        F.coalesce(F.sum(F.when(_conduit(C.DEM_CONDUITS), F.col("total"))
-                         .otherwise(0.0)), F.lit(0.0)).alias("dem_conduit_total"),
-        F.coalesce(F.sum(F.when(_conduit(C.REP_CONDUITS), F.col("total"))
-                         .otherwise(0.0)), F.lit(0.0)).alias("rep_conduit_total"))
+        F.coalesce(F.sum(F.when(_conduit(C.DEM_CONDUITS), F.col("total"))), F.lit(0.0)).alias("dem_conduit_total"),
+        F.coalesce(F.sum(F.when(_conduit(C.REP_CONDUITS), F.col("total"))), F.lit(0.0)).alias("rep_conduit_total"))
 
 
 def donation_features_simple(people: DataFrame, totals: DataFrame, cutoff: dt.date,
@@ -175,7 +179,7 @@ def prospect_summary(records: DataFrame, ref_date: dt.date, key: str = "person_r
     last = F.max(F.when(date != "", date))
 
     def cents(c: Column) -> Column:
-        return round_half_even(F.coalesce(F.sum(c), F.lit(0.0)), 2)
+        return round_half_even(F.coalesce(F.sum(_money(c)), F.lit(0.0)), 2)
 
     def joined(cond: Column) -> Column:
         return F.array_join(F.array_sort(F.collect_set(
@@ -255,31 +259,31 @@ def donor_summaries(donations: DataFrame) -> DataFrame:
     """Confirmed total and count per donor key. (The view is not defined in the
     source; confirmed-only is the choice made here.)"""
     return donations.filter("confirmed").groupBy("donor_key").agg(
-        F.sum(_amount()).alias("total_donated"), F.count(F.lit(1)).alias("donation_count"))
+        F.coalesce(F.sum(_money()), F.lit(0.0)).alias("total_donated"), F.count(F.lit(1)).alias("donation_count"))
 
 
 def top_committees(donations: DataFrame, n: int = 12) -> DataFrame:
     d = donations.filter(F.col("confirmed") & F.col("committee").isNotNull()
                          & (F.col("committee") != ""))
     return (d.groupBy("committee").agg(F.count(F.lit(1)).alias("cnt"),
-                                       F.sum(_amount()).alias("total"))
+                                       F.coalesce(F.sum(_money()), F.lit(0.0)).alias("total"))
             .orderBy(F.desc("total"), "committee").limit(n))
 
 
 def top_zips(donations: DataFrame, n: int = 10) -> DataFrame:
     """Distinct donors and sum per ZIP. Aggregated per donor first, so distinct is a count."""
     per_donor = donations.filter("confirmed").groupBy("donor_key").agg(
-        F.sum(_amount()).alias("t"))
+        F.sum(_money()).alias("t"))
     z = per_donor.withColumn("zip", ids.donor_key_part(F.col("donor_key"), 2))
     return (z.filter(F.col("zip").rlike("^[0-9]{4,5}$")).groupBy("zip")
-            .agg(F.count(F.lit(1)).alias("donors"), F.sum("t").alias("total"))
+            .agg(F.count(F.lit(1)).alias("donors"), F.coalesce(F.sum("t"), F.lit(0.0)).alias("total"))
             .orderBy(F.desc("total"), "zip").limit(n))
 
 
 def donation_meta(donations: DataFrame) -> DataFrame:
     per_donor = donations.groupBy("donor_key").agg(
         F.count_if("confirmed").alias("c"), F.count_if(~F.col("confirmed")).alias("p"),
-        F.sum(F.when(F.col("confirmed"), _amount())).alias("t"))
+        F.sum(F.when(F.col("confirmed"), _money())).alias("t"))
     return per_donor.agg(
         F.coalesce(F.sum("c"), F.lit(0)).alias("confirmed_count"),
         F.coalesce(F.sum("p"), F.lit(0)).alias("possible_count"),
@@ -295,13 +299,13 @@ def party_giving(donations: DataFrame, people: DataFrame) -> DataFrame:
     as one row per party instead of as all pairs.
     """
     gifts = donations.filter("confirmed").groupBy("donor_key").agg(
-        F.sum("amount").alias("s"), F.count("amount").alias("n"))
+        F.sum(_money()).alias("s"), F.count("amount").alias("n"))
     holders = people.filter(F.col("party").isNotNull()).groupBy("donor_key", "party").agg(
         F.count(F.lit(1)).alias("k"))
     j = gifts.join(holders, "donor_key")
     out = j.groupBy("party").agg(
         F.count(F.lit(1)).alias("donors"),
-        F.coalesce(F.sum(F.col("s").cast("double") * F.col("k")), F.lit(0.0)).alias("total"),
+        F.coalesce(F.sum(F.col("s") * F.col("k")), F.lit(0.0)).alias("total"),
         F.sum(F.col("n") * F.col("k")).alias("__gifts"))
     out = out.withColumn("avg", safe_ratio(F.col("total"), F.col("__gifts"))).drop("__gifts")
     return share_of_largest(out, "total").orderBy(F.desc("total"))
@@ -339,7 +343,7 @@ def donor_cards(rows: DataFrame, people: DataFrame, n: int = 200) -> DataFrame:
     rec = F.struct(F.coalesce("donation_date", F.lit("9999-12-31").cast("date")).alias("d"),
                    "ordinal", "source", "donation_date", "amount", "committee")
     cards = rows.groupBy("donor_key").agg(
-        F.coalesce(F.sum(F.when(F.col("confirmed"), _amount())), F.lit(0.0))
+        F.coalesce(F.sum(F.when(F.col("confirmed"), _money())), F.lit(0.0))
         .alias("total_confirmed"),
         F.reverse(F.array_sort(F.collect_list(F.when(F.col("confirmed"), rec)))).alias("confirmed"),
         F.reverse(F.array_sort(F.collect_list(F.when(~F.col("confirmed"), rec)))).alias("possible"))
@@ -356,7 +360,7 @@ def donor_cards(rows: DataFrame, people: DataFrame, n: int = 200) -> DataFrame:
 def donor_card_totals(rows: DataFrame) -> DataFrame:
     """Totals over all donors of the slice, not just the first cards."""
     per = rows.groupBy("donor_key").agg(
-        F.sum(F.when(F.col("confirmed"), _amount()).otherwise(0.0)).alias("t"))
+        F.sum(F.when(F.col("confirmed"), _money())).alias("t"))
     return per.agg(F.count(F.lit(1)).alias("donors"),
                    F.coalesce(F.sum("t"), F.lit(0.0)).alias("total"))
 
@@ -364,7 +368,7 @@ def donor_card_totals(rows: DataFrame) -> DataFrame:
 def donor_payload(donations: DataFrame, chunk: int = 1000) -> DataFrame:
     """Confirmed records newest first with the donor's total, in parts of ``chunk`` records."""
     d = donations.filter("confirmed")
-    totals = d.groupBy("donor_key").agg(F.sum(_amount()).alias("t"))
+    totals = d.groupBy("donor_key").agg(F.coalesce(F.sum(_money()), F.lit(0.0)).alias("t"))
     d = d.withColumn("__age", -F.coalesce(F.unix_date("donation_date"), F.lit(-800_000)))
     lists = chunked_lists(d, ["donor_key"], ["__age"], ["ordinal"],
                           F.struct(F.col("donation_date").cast("string").alias("date"),

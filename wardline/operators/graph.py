@@ -175,11 +175,16 @@ def neighbor_means(directed: DataFrame, features: DataFrame, columns: list[str],
 
 def _walk_block(pdf: pd.DataFrame, steps: int) -> pd.DataFrame:
     """diag(P^k), k=1..steps, of one cluster's start nodes, in column blocks. ``first`` and
-    ``last`` bound the start nodes by their rank in the cluster."""
+    ``last`` bound the start nodes by their rank in the cluster.
+
+    Where every edge goes both ways the walk is reversible, d_i P_ij = d_j P_ji, so diag(P^(a+b)) at i is
+    the sum over j of P^a_ji P^b_ji d_j / d_i: half as many multiplications as steps."""
     nodes, idx = np.unique(pdf[["u", "v"]].to_numpy().ravel(), return_inverse=True)
     idx = idx.reshape(-1, 2)
-    order = np.argsort(idx[:, 0], kind="stable")
+    order = np.lexsort((idx[:, 1], idx[:, 0]))
     u, v = idx[order, 0], idx[order, 1]
+    back = np.lexsort((u, v))
+    both_ways = (u == v[back]).all() and (v == u[back]).all()
     n = len(nodes)
     degree = np.bincount(u, minlength=n)
     starts = np.concatenate([[0], np.cumsum(degree)[:-1]])
@@ -188,14 +193,27 @@ def _walk_block(pdf: pd.DataFrame, steps: int) -> pd.DataFrame:
     out = np.zeros((n, steps))
     block = int(max(1, min(n, 4_000_000 // max(len(u), 1))))
     first, last = int(pdf["first"].iloc[0]), min(int(pdf["last"].iloc[0]), n)
+
+    def step(x: np.ndarray) -> np.ndarray:
+        y = np.zeros_like(x)
+        y[has] = np.add.reduceat(x[v], starts[has], axis=0)
+        return y * weight
+
     for at in range(first, last, block):
         cols = np.arange(at, min(at + block, last))
         x = np.zeros((n, len(cols)))
         x[cols, np.arange(len(cols))] = 1.0
+        if both_ways:
+            for m in range(1, (steps + 1) // 2 + 1):
+                y = step(x)
+                scaled = y * (degree[:, None] / degree[cols])
+                out[cols, 2 * m - 2] = (x * scaled).sum(0)
+                if 2 * m <= steps:
+                    out[cols, 2 * m - 1] = (y * scaled).sum(0)
+                x = y
+            continue
         for k in range(steps):
-            y = np.zeros_like(x)
-            y[has] = np.add.reduceat(x[v], starts[has], axis=0)
-            x = y * weight
+            x = step(x)
             out[cols, k] = x[cols, np.arange(len(cols))]
     res = pd.DataFrame(np.clip(out[first:last], 0.0, 1.0), columns=[f"rw{k}" for k in range(1, steps + 1)])
     res.insert(0, "node", nodes[first:last])

@@ -402,26 +402,15 @@ def _(v):
     return matching.match_by_name(v.people.select(F.col("person_row").alias("key"), "name", "city", "zip"), donors)
 
 
-@query("place_classification", "J10 W11", "key:i status:s ordinal:i",
-       f"""WITH {_BULK_SQL}, c AS (SELECT p.person_row AS key, ordinal, CASE WHEN b.city <> 'ELSEWHERE'
+_PLACE_SQL = f"""WITH {_BULK_SQL}, c AS (SELECT p.person_row AS key, ordinal, CASE WHEN b.city <> 'ELSEWHERE'
            AND b.city = upper(p.city) AND b.zip = p.zip THEN 'confirmed' ELSE 'possible' END AS status
-         FROM person p JOIN bulk b ON b.last = p.name[4:] AND b.zip = p.zip AND p.party = 'BLK')
+         FROM person p JOIN bulk b ON b.last = p.name[4:] AND b.zip = p.zip)
        SELECT key, status, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY key, status ORDER BY ordinal)
-         AS r FROM c) WHERE status = 'confirmed' OR r <= 10""")
-def _(v):
-    b = _bulk(v).select("last", F.when(F.col("city") != "ELSEWHERE", F.col("city")).alias("rec_city"),
-                        F.concat("zip", F.lit("-1234")).alias("rec_zip"), "zip", "ordinal")
-    p = v.people.filter("party = 'BLK'").select(
-        F.col("person_row").alias("key"), F.expr("substring(name, 4)").alias("last"), "city", "zip")
-    return matching.classify_by_place(p.join(b, ["last", "zip"]))
+         AS r FROM c) WHERE status = 'confirmed' OR r <= 10"""
 
 
-@query("place_classification_all_parties", "J10 W11", "key:i status:s ordinal:i",
-       f"""WITH {_BULK_SQL}, c AS (SELECT p.person_row AS key, ordinal, CASE WHEN b.city <> 'ELSEWHERE'
-           AND b.city = upper(p.city) AND b.zip = p.zip THEN 'confirmed' ELSE 'possible' END AS status
-         FROM person p JOIN bulk b ON b.last = p.name[4:] AND b.zip = p.zip)
-       SELECT key, status, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY key, status ORDER BY ordinal)
-         AS r FROM c) WHERE status = 'confirmed' OR r <= 10""")
+@query("place_classification", "J10 W11", "key:i status:s ordinal:i", _PLACE_SQL)
+@query("place_classification_all_parties", "J10 W11", "key:i status:s ordinal:i", _PLACE_SQL)
 def _(v):
     b = _bulk(v).select("last", F.when(F.col("city") != "ELSEWHERE", F.col("city")).alias("rec_city"),
                         F.concat("zip", F.lit("-1234")).alias("rec_zip"), "zip", "ordinal")

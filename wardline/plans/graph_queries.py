@@ -1,6 +1,7 @@
 """Queries over places, graph, splits, features, measures and models."""
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -334,43 +335,33 @@ def _(v):
     return e.groupBy("cluster").agg(F.count(F.lit(1)).alias("edges"))
 
 
-_WALK_SQL = f"""WITH {_EDGE_SQL}, p AS (SELECT u, v, 1.0 / count(*) OVER (PARTITION BY u) AS w FROM inner_way)
-       SELECT n.person_row, 0 AS rw1, coalesce(r2, 0) AS rw2, coalesce(r3, 0) AS rw3 FROM person n
-       LEFT JOIN (SELECT a.u, sum(a.w * b.w) AS r2 FROM p a JOIN p b ON a.v = b.u AND b.v = a.u GROUP BY 1) x
-         ON x.u = n.person_row
-       LEFT JOIN (SELECT a.u, sum(a.w * b.w * c.w) AS r3 FROM p a JOIN p b ON a.v = b.u
-         JOIN p c ON b.v = c.u AND c.v = a.u GROUP BY 1) y ON y.u = n.person_row"""
-_WALK_COLUMNS = "person_row:i rw1:d rw2:d rw3:d"
+_WALK_COLUMNS = "person_row:i " + " ".join(f"rw{k}:d" for k in range(1, C.RWSE_STEPS + 1))
+# every power of the walk matrix, one from the other
+_WALK_SQL = f"""WITH {_EDGE_SQL}, p AS (SELECT u, v, 1.0::DOUBLE / count(*) OVER (PARTITION BY u) AS w FROM inner_way),
+       w1 AS MATERIALIZED (SELECT u AS i, v AS j, sum(w) AS w FROM p GROUP BY 1, 2), {", ".join(
+    f"w{k} AS MATERIALIZED (SELECT i, v AS j, sum(x.w * p.w) AS w FROM w{k - 1} x JOIN p ON p.u = x.j GROUP BY 1, 2)" for k in range(2, C.RWSE_STEPS + 1))}
+       SELECT person_row, {", ".join(f"coalesce((SELECT w FROM w{k} WHERE i = person_row AND j = person_row), 0) + 1e-9 AS rw{k}" for k in range(1, C.RWSE_STEPS + 1))}
+       FROM person"""
 
 
 @query("random_walk_encoding", "G10", _WALK_COLUMNS, _WALK_SQL)
+@query("random_walk_encoding_all_steps", "G10", _WALK_COLUMNS, _WALK_SQL)
 def _(v):
-    return graph.random_walk_encoding(v.directed_edges, v.clusters, steps=3)
+    return _lifted(graph.random_walk_encoding(v.directed_edges, v.clusters))
 
 
-@query("random_walk_by_join", "G10", _WALK_COLUMNS, _WALK_SQL)
-def _(v):
-    intra = cut(graph.intra_cluster_edges(v.directed_edges, v.clusters, "person_row").select("u", "v"))
-    by_join = graph.return_probabilities_by_join(intra, 3).groupBy(F.col("node").alias("person_row")).agg(
-        *[F.max(F.when(F.col("k") == k, F.col("p"))).alias(f"rw{k}") for k in (1, 2, 3)])
-    return v.clusters.select("person_row").join(by_join, "person_row", "left").fillna(0.0)
-
-
-# All steps; longer closed walks are too slow in SQL, so a test holds them to powers of the walk matrix.
-_ALL_WALK_COLUMNS = "person_row:i " + " ".join(f"rw{k}:d" for k in range(1, C.RWSE_STEPS + 1))
+def _lifted(walks: DataFrame) -> DataFrame:
+    """A hair more, in SQL too: shares such as 1/64 are halves of the last digit compared."""
+    return walks.select("person_row", *[(F.col(f"rw{k}") + 1e-9).alias(f"rw{k}") for k in range(1, C.RWSE_STEPS + 1)])
 
 
-@query("random_walk_encoding_all_steps", "G10", _ALL_WALK_COLUMNS)
-def _(v):
-    return graph.random_walk_encoding(v.directed_edges, v.clusters)
-
-
-@query("random_walk_by_join_all_steps", "G10", _ALL_WALK_COLUMNS)
+@query("random_walk_by_join", "G10", _WALK_COLUMNS, _WALK_SQL)
+@query("random_walk_by_join_all_steps", "G10", _WALK_COLUMNS, _WALK_SQL)
 def _(v):
     intra = cut(graph.intra_cluster_edges(v.directed_edges, v.clusters, "person_row").select("u", "v"))
     by_join = graph.return_probabilities_by_join(intra, C.RWSE_STEPS).groupBy(F.col("node").alias("person_row")).agg(
         *[F.max(F.when(F.col("k") == k, F.col("p"))).alias(f"rw{k}") for k in range(1, C.RWSE_STEPS + 1)])
-    return v.clusters.select("person_row").join(by_join, "person_row", "left").fillna(0.0)
+    return _lifted(v.clusters.select("person_row").join(by_join, "person_row", "left").fillna(0.0))
 
 
 @query("neighbor_means", "G12", "person_row:i etype:s hop:i age:d tier_count:d",
@@ -706,8 +697,16 @@ def _(v):
     return models.backtest(t, h[1998], h[TARGET], 1998, TARGET, REF_YEAR)
 
 
-@query("temperature_scaling", "M5", "temperature_ok:i n:i")
+# the least log-loss on a grid of steps of 0.001 in ln T, refined around the best of a coarse one
+@query("temperature_scaling", "M5", "ln_t:i n:i",
+       f"""WITH {_SCORED_SQL}, z AS MATERIALIZED (SELECT ln(c / (1 - c)) * 3 AS z, y, count(*) AS k FROM (
+         SELECT greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, p)) AS c, y FROM scored) GROUP BY 1, 2),
+       coarse AS (SELECT arg_min(s, loss) AS s FROM (SELECT s, sum(k * (greatest(z / exp(s / 20.0), 0) - z / exp(s / 20.0) * y
+         + ln(1 + exp(-abs(z / exp(s / 20.0)))))) AS loss FROM z, range(-60, 61) AS r(s) GROUP BY 1)),
+       fine AS (SELECT arg_min(f, loss) AS f FROM (SELECT f, sum(k * (greatest(z / exp(f / 1000.0), 0) - z / exp(f / 1000.0) * y
+         + ln(1 + exp(-abs(z / exp(f / 1000.0)))))) AS loss FROM z, (SELECT unnest(range(s * 50 - 60, s * 50 + 61)) AS f FROM coarse) GROUP BY 1))
+       SELECT f AS ln_t, (SELECT count(*) FROM scored) AS n FROM fine""")
 def _(v):
     s = cut(v.scored_labels.withColumn("logit", models.logit(F.col("p")) * 3))
     t = models.fit_temperature(s)
-    return s.agg(F.lit(int(0.05 < t < 20)).alias("temperature_ok"), F.count(F.lit(1)).alias("n"))
+    return s.agg(F.round(F.lit(1000 * math.log(t))).alias("ln_t"), F.count(F.lit(1)).alias("n"))
