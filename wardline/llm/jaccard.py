@@ -434,10 +434,12 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"]
     texts = rows.where("n_shingles > 0").join(sets, "set_id").groupBy("component", "key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
     best = texts.groupBy("component").agg(first.alias("best"))
-    ranked = store(texts.join(best, "component").select("key", (F.col("key") == F.col("best")).alias("stays"), "n"))
+    ranked = texts.join(best, "component").withColumn("stays", F.col("key") == F.col("best"))
+    # only the keys that need something are stored: the planner sees how few they are
+    acted = store(ranked.where(~F.col("stays") | (F.col("n") > 1)).select("key", "stays"))
     key, = free_names(docs, "key")
-    kept = docs.withColumn(key, _key()).join(ranked.where(~F.col("stays")).select(F.col("key").alias(key)), key, "left_anti")
-    many = ranked.where(F.col("stays") & (F.col("n") > 1)).select(F.col("key").alias(key))
+    kept = docs.withColumn(key, _key()).join(acted.where(~F.col("stays")).select(F.col("key").alias(key)), key, "left_anti")
+    many = acted.where("stays").select(F.col("key").alias(key))
     if many.isEmpty():
         return kept.select(*(f"`{c}`" for c in docs.columns))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
