@@ -1,4 +1,6 @@
 """Vector search, near-duplicate vectors and url filters against brute force."""
+import random
+
 import numpy as np
 import pytest
 
@@ -59,6 +61,78 @@ def test_near_vectors(vectors, monkeypatch):
     assert neardup.near_vectors(df.where("label > 0")).count() == 0
 
 
+def _tree(rows, rules):
+    """Verdicts by a tree of dictionaries: one node at a time, from the host down."""
+    import math
+    import re
+
+    def rule(host, path):
+        fits = [(len(h + p), v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    urls_ = [(i, h, p, rule(h, p), ["*" if re.search(urls._VARIABLE, x) else x for x in p.split("/") if x]) for i, h, p in rows]
+    out = {i: r or "allow" for i, _, _, r, _ in urls_}
+
+    def split(of, k):
+        kids = {}
+        for u in of:
+            if len(u[4]) > k:
+                kids.setdefault(u[4][k], []).append(u)
+        total = sum(map(len, kids.values()))
+        merged = {}
+        for s, us in kids.items():
+            known = [u[3] for u in us if u[3]]
+            if s != "*" and len(us) < max(5, total * 0.02):
+                s = "*" if not known else "*blocked" if 2 * known.count("block") >= len(known) else "*allowed"
+            merged.setdefault(s, []).extend(us)
+        rated = []
+        for s, us in merged.items():
+            known = [u[3] for u in us if u[3]]
+            if known:
+                rated.append(((known.count("block") + 1) / (len(known) + 2), s, len(known), us))
+        classes = []
+        for rate, s, n, us in sorted(rated, key=lambda x: x[:2]):
+            if classes:
+                rate0, n0 = classes[-1][0]
+                both = (rate * n + rate0 * n0) / (n + n0)
+            if not classes or rate - rate0 > 1.96 * math.sqrt(both * (1 - both) * (1 / n + 1 / n0)):
+                classes.append([None, []])
+            classes[-1][0] = (rate, n)
+            classes[-1][1] += us
+        for _, us in classes:
+            known = [u[3] for u in us if u[3]]
+            bad = known.count("block")
+            for i, _, _, r, _ in us:
+                out[i] = r or ("block" if (bad + 1) / (len(known) + 2) >= 0.7 else "allow")
+            if 0 < bad < len(known):
+                split(us, k + 1)
+
+    for host in {u[1] for u in urls_}:
+        split([u for u in urls_ if u[1] == host], 0)
+    return out
+
+
+def test_templates_of_any_depth(spark):
+    ready(spark)
+    rng, rows = random.Random(4), []
+    rules = [("block", "h.org", "/a/b/c/bad/x"), ("allow", "h.org", "/a/b/c/good/x"), ("block", "k.org", "/q/w/e/r/t/y/bad/"),
+             ("allow", "k.org", "/q/w/e/r/t/y/"), ("block", "k.org", "/q/w/e/r/u/")]
+    for k in range(15):
+        rows += [("h.org", f"/a/b/c/bad/x{k}")] + [("h.org", f"/a/b/c/good/x{k}")] * (k < 12)
+    rows += [("h.org", "/a/b/c/bad/zz"), ("h.org", "/a/b/c/good/zz"), ("h.org", "/a/b/c"), ("h.org", "/a//b/c/bad/")]
+    for _ in range(600):
+        n = rng.randint(0, 12)
+        rows.append(("k.org", "/" + "/".join(["q", "w", "e", "r", rng.choice("tu"), "y", rng.choice(["bad", "good", "n1", "rare%s" % rng.choice("abcdefgh")]),
+                                               *[rng.choice(["i", "j", "2026", "v"]) for _ in range(3)]][:n])))
+    rows += [("k.org", "//q/w/e/r/t/y/bad/i")] * 3 + [("k.org", "/q//w/e/r/t/y/good")] * 3 + [("k.org", "/" + "a/" * 300)]
+    rows = [(i, *r) for i, r in enumerate(rows)]
+    df = spark.createDataFrame([(i, f"http://{h}{p}") for i, h, p in rows], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in urls.url_verdicts(df, rules).collect()}
+    assert got == _tree(rows, rules)
+    by_path = {p: got[i] for i, _, p in rows}
+    assert by_path["/a/b/c/bad/zz"] == "block" and by_path["/a/b/c/good/zz"] == "allow"
+
+
 def test_url_rules_and_templates(spark):
     pages = [(1, "http://A.Com/x?y"), (2, "https://www.example.com/en/1"), (3, "https://shop.example.com/en/1#t"), (4, None),
              (5, "no scheme"), (6, "ftp://b.net/es"), (7, "ftp://b.net/en/1"), (8, "http://b.org"), (9, "http://b.org?a/b"), (10, ""),

@@ -49,34 +49,6 @@ SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM found
 """
 
 
-def _level(k: int) -> str:
-    b, s, a = f"t{k - 1}", f"s{k}", f"t{k}"
-    return f"""
-kid{k} AS (
-  SELECT host, {b}, {s}, sum(n) AS n, sum(labelled) AS labelled, sum(blocked) AS blocked, sum(sum(n)) OVER (PARTITION BY host, {b}) AS total
-  FROM tree{k - 1} WHERE {s} <> '' GROUP BY 1, 2, 3),
-kept{k} AS (
-  SELECT *, CASE WHEN {s} = '*' OR n >= greatest(5, total * 0.02) THEN {s} WHEN labelled = 0 THEN '*'
-    WHEN 2 * blocked >= labelled THEN '*blocked' ELSE '*allowed' END AS kept FROM kid{k}),
-branch{k} AS (
-  SELECT host, {b}, kept, sum(labelled) AS labelled, (sum(blocked) + 1) / (sum(labelled) + 2) AS rate FROM kept{k} GROUP BY 1, 2, 3),
-last{k} AS (
-  SELECT *, lag(rate) OVER o AS rate0, lag(labelled) OVER o AS n0 FROM branch{k}
-  WINDOW o AS (PARTITION BY host, {b}, labelled > 0 ORDER BY rate, kept)),
-new{k} AS (
-  SELECT *, CASE WHEN rate0 IS NULL OR labelled = 0 THEN 1 WHEN rate - rate0 > 1.96 * sqrt(
-    (rate * labelled + rate0 * n0) / (labelled + n0) * (1 - (rate * labelled + rate0 * n0) / (labelled + n0)) * (1 / labelled + 1 / n0))
-    THEN 1 ELSE 0 END AS new FROM last{k}),
-class{k} AS (SELECT *, sum(new) OVER (PARTITION BY host, {b}, labelled > 0 ORDER BY rate, kept) AS class FROM new{k}),
-named{k} AS (SELECT host, {b}, kept, {b} || '/' || min(kept) OVER (PARTITION BY host, {b}, labelled > 0, class) AS {a} FROM class{k}),
-tree{k} AS (
-  SELECT t.*, m.{a} FROM tree{k - 1} t LEFT JOIN (
-    SELECT host, {b}, {s}, {a} FROM kept{k} JOIN named{k} USING (host, {b}, kept)) m USING (host, {b}, {s})),
-pure{k} AS (
-  SELECT host, {a}, (bad + 1) / (labels + 2) AS p FROM (
-    SELECT host, {a}, sum(labelled) AS labels, sum(blocked) AS bad FROM tree{k} WHERE {a} IS NOT NULL GROUP BY 1, 2) WHERE labels > 0)"""
-
-
 def _rules(column: int) -> str:
     cases = " ".join(
         f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{(h + p, v)[column]}'"
@@ -85,21 +57,43 @@ def _rules(column: int) -> str:
 
 
 URLS = f"""
-WITH page AS (
+WITH RECURSIVE page AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
     regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-part AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS x, {_rules(0)} AS rule, {_rules(1)} AS ruled FROM page),
 seg AS (
-  SELECT *, {", ".join(f"CASE WHEN regexp_matches(coalesce(x[{k}], ''), '^[0-9a-f]{{8,}}([.][A-Za-z0-9]+)?$|^[^.]*[0-9][^.]*([.][A-Za-z0-9]+)?$') THEN '*' ELSE coalesce(x[{k}], '') END AS s{k}" for k in (1, 2, 3))}
-  FROM part),
-tree0 AS (
-  SELECT host, s1, s2, s3, count(*) AS n, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS blocked, '' AS t0
-  FROM seg GROUP BY 1, 2, 3, 4),{",".join(map(_level, (1, 2, 3)))},
-judged AS (
-  SELECT t.host, s1, s2, s3, coalesce(pure3.p, pure2.p, pure1.p, 0) >= 0.7 AS bad FROM tree3 t
-  LEFT JOIN pure1 USING (host, t1) LEFT JOIN pure2 USING (host, t2) LEFT JOIN pure3 USING (host, t3))
-SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict
-FROM seg JOIN judged USING (host, s1, s2, s3)
+  SELECT *, {_rules(0)} AS rule, {_rules(1)} AS ruled, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x:
+    CASE WHEN regexp_matches(x, '^[0-9a-f]{{8,}}([.][A-Za-z0-9]+)?$|^[^.]*[0-9][^.]*([.][A-Za-z0-9]+)?$') THEN '*' ELSE x END) AS parts FROM page),
+tree AS (
+  SELECT host, parts, count(*) AS n, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS blocked, 0 AS k, '' AS b,
+    CAST(NULL AS DOUBLE) AS purity, len(parts) > 0 AS split
+  FROM seg GROUP BY host, parts
+  UNION ALL (
+  WITH kid AS (
+    SELECT host, b, parts[k + 1] AS s, sum(n) AS n, sum(labelled) AS labelled, sum(blocked) AS blocked, sum(sum(n)) OVER (PARTITION BY host, b) AS total
+    FROM tree WHERE split GROUP BY 1, 2, 3),
+  kept AS (
+    SELECT *, CASE WHEN s = '*' OR n >= greatest(5, total * 0.02) THEN s WHEN labelled = 0 THEN '*'
+      WHEN 2 * blocked >= labelled THEN '*blocked' ELSE '*allowed' END AS kept FROM kid),
+  branch AS (
+    SELECT host, b, kept, sum(labelled) AS labelled, sum(blocked) AS blocked, (sum(blocked) + 1) / (sum(labelled) + 2) AS rate FROM kept GROUP BY 1, 2, 3),
+  last AS (
+    SELECT *, lag(rate) OVER o AS rate0, lag(labelled) OVER o AS n0 FROM branch
+    WINDOW o AS (PARTITION BY host, b, labelled > 0 ORDER BY rate, kept)),
+  new AS (
+    SELECT *, CASE WHEN rate0 IS NULL OR labelled = 0 THEN 1 WHEN rate - rate0 > 1.96 * sqrt(
+      (rate * labelled + rate0 * n0) / (labelled + n0) * (1 - (rate * labelled + rate0 * n0) / (labelled + n0)) * (1 / labelled + 1 / n0))
+      THEN 1 ELSE 0 END AS new FROM last),
+  class AS (SELECT *, sum(new) OVER (PARTITION BY host, b, labelled > 0 ORDER BY rate, kept) AS class FROM new),
+  named AS (
+    SELECT host, b, kept, b || '/' || min(kept) OVER c AS next, sum(labelled) OVER c AS labels, sum(blocked) OVER c AS bad FROM class
+    WINDOW c AS (PARTITION BY host, b, labelled > 0, class))
+  SELECT t.host, t.parts, t.n, t.labelled, t.blocked, t.k + 1, m.next,
+    CASE WHEN m.labels > 0 THEN (m.bad + 1) / (m.labels + 2) ELSE t.purity END, m.bad > 0 AND m.bad < m.labels AND len(t.parts) > t.k + 1
+  FROM tree t JOIN (SELECT host, b, s, next, labels, bad FROM kept JOIN named USING (host, b, kept)) m
+    ON t.host = m.host AND t.b = m.b AND t.parts[t.k + 1] = m.s
+  WHERE t.split))
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN coalesce(purity, 0) >= 0.7 THEN 'block' ELSE 'allow' END) AS verdict
+FROM seg JOIN (SELECT host, parts, purity FROM tree WHERE NOT split) USING (host, parts)
 """
 
 FIM = """

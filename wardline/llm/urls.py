@@ -3,16 +3,17 @@
 Rules label the urls they fit. Per host, paths form a tree of segments. Segments that are
 numbers or codes become the wildcard ``*``, and so do those too rare at their node to be
 literal, apart for unlabelled, mostly blocked and mostly allowed ones;
-siblings whose shares of blocked labels don't differ statistically become one branch. A url
-without a rule is blocked if the deepest labelled branch on its way (below the host itself)
-has a smoothed purity of blocked labels of at least ``least``.
+siblings whose shares of blocked labels don't differ statistically become one branch. A host
+is split, and then every branch that holds labels of both kinds, to whatever depth its paths
+have. A url without a rule is blocked if the deepest labelled branch on its way (below the
+host itself) has a smoothed purity of blocked labels of at least ``least``.
 
-All of it is joins and aggregates of distinct templates; a node keeps at most
+All of it is joins and aggregates of distinct templates, a round per level; a round has only
+the paths of branches that are split, and the rest is done. A node keeps at most
 ``1 / share`` literal children, so a window per node is small whatever the host's size.
 
 Cases: a null url or one without ``://`` has an empty host and path, no rule and is allowed;
-so is every branch without labels. Repeated rows count each. A path deeper than ``depth``
-segments is the branch of its first ones."""
+so is every branch without labels. Repeated rows count each; other columns are not read."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,52 +46,48 @@ def _longest_rule(rules: list[tuple[str, str, str]], value) -> Column:
     return out
 
 
-def _level(paths: DataFrame, before: str, segment: str, after: str, share: float, least_rows: int) -> DataFrame:
-    """``paths`` with the branch ``after`` of each segment below the branch ``before``; '' ends a path."""
-    kids = paths.where(F.col(segment) != "").groupBy("host", before, segment).agg(
-        F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    nodes = kids.groupBy("host", before).agg(F.sum("n").alias("of"))
-    literal = (F.col(segment) == "*") | (F.col("n") >= F.greatest(F.lit(least_rows), F.col("of") * share))
-    kids = kids.join(nodes, ["host", before]).withColumn("kept", F.when(literal, F.col(segment)).when(
+def _level(paths: DataFrame, k: int, share: float, least_rows: int) -> DataFrame:
+    """``paths`` (host, parts, n, labelled, blocked, branch, purity) with their branch on level ``k`` + 1 and
+    the purity there if it has labels. ``split``: it holds labels of both kinds, and the path goes on."""
+    at = ["host", "branch"]
+    here = paths.withColumn("segment", F.get("parts", k))
+    kids = here.groupBy(*at, "segment").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")))
+    nodes = kids.groupBy(*at).agg(F.sum("n").alias("of"))
+    literal = (F.col("segment") == "*") | (F.col("n") >= F.greatest(F.lit(least_rows), F.col("of") * share))
+    kids = kids.join(nodes, at).withColumn("kept", F.when(literal, F.col("segment")).when(
         F.col("labelled") == 0, "*").when(2 * F.col("blocked") >= F.col("labelled"), "*blocked").otherwise("*allowed"))
-    branch = kids.groupBy("host", before, "kept").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    rate = (F.col("blocked") + 1) / (F.col("labelled") + 2)
-    order = Window.partitionBy("host", before, F.col("labelled") > 0).orderBy("rate", "kept")
-    last_rate, last_n = F.lag("rate").over(order), F.lag("labelled").over(order)
-    both = (F.col("rate") * F.col("labelled") + last_rate * last_n) / (F.col("labelled") + last_n)
-    spread = F.sqrt(both * (1 - both) * (1 / F.col("labelled") + 1 / last_n))
-    differs = last_rate.isNull() | (F.col("labelled") == 0) | (F.col("rate") - last_rate > 1.96 * spread)
-    branch = branch.withColumn("rate", rate).withColumn("new", differs.cast("int")).withColumn("group", F.sum("new").over(order))
-    same = Window.partitionBy("host", before, F.col("labelled") > 0, "group")
-    branch = branch.withColumn(after, F.concat(before, F.lit("/"), F.min("kept").over(same)))
-    names = kids.select("host", before, segment, "kept").join(branch.select("host", before, "kept", after), ["host", before, "kept"])
-    return paths.join(names.drop("kept"), ["host", before, segment], "left")
-
-
-def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, depth: int = 3, share: float = 0.02,
+    kept = kids.groupBy(*at, "kept").agg(F.sum("labelled").alias("labels"), F.sum("blocked").alias("bad"))
+    kept = kept.withColumn("rate", (F.col("bad") + 1) / (F.col("labels") + 2))
+    order = Window.partitionBy(*at, F.col("labels") > 0).orderBy("rate", "kept")
+    last_rate, last_n = F.lag("rate").over(order), F.lag("labels").over(order)
+    both = (F.col("rate") * F.col("labels") + last_rate * last_n) / (F.col("labels") + last_n)
+    spread = F.sqrt(both * (1 - both) * (1 / F.col("labels") + 1 / last_n))
+    differs = last_rate.isNull() | (F.col("labels") == 0) | (F.col("rate") - last_rate > 1.96 * spread)
+    kept = kept.withColumn("new", differs.cast("int")).withColumn("class", F.sum("new").over(order))
+    same = Window.partitionBy(*at, F.col("labels") > 0, "class")
+    kept = kept.select(*at, "kept", F.concat("branch", F.lit("/"), F.min("kept").over(same)).alias("next"),
+                       F.sum("labels").over(same).alias("labels"), F.sum("bad").over(same).alias("bad"))
+    names = kids.select(*at, "segment", "kept").join(kept, [*at, "kept"]).drop("kept")
+    return here.join(names, [*at, "segment"]).select(
+        "host", "parts", "n", "labelled", "blocked", F.col("next").alias("branch"),
+        F.when(F.col("labels") > 0, (F.col("bad") + 1) / (F.col("labels") + 2)).otherwise(F.col("purity")).alias("purity"),
+        ((F.col("bad") > 0) & (F.col("bad") < F.col("labels")) & (F.size("parts") > k + 1)).alias("split"))
+
+
+def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, share: float = 0.02,
                  least_rows: int = 5, least: float = 0.7) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row."""
     rows = pages.select("page_id", host_of("url").alias("host"), path_of("url").alias("path"))
-    parts = F.filter(F.split("path", "/"), lambda x: x != "")
-    segments = [f"s{k}" for k in range(1, depth + 1)]
-
-    def segment(k: int) -> Column:
-        s = F.coalesce(F.get(parts, k), F.lit(""))
-        return F.when(s.rlike(_VARIABLE), "*").otherwise(s)
-
-    rows = rows.select("*", _longest_rule(rules, lambda r: r[1] + r[2]).alias("rule"), _longest_rule(rules, lambda r: r[0]).alias("ruled"),
-                       *(segment(k).alias(c) for k, c in enumerate(segments)))
-    tree = store(rows.groupBy("host", *segments).agg(
-        F.count("*").alias("n"), F.count("ruled").alias("labelled"), F.count(F.when(F.col("ruled") == "block", 1)).alias("blocked"),
-        F.lit("").alias("t0")))
-    for k, s in enumerate(segments):  # each level is stored: the next one reads it several times
-        tree = store(_level(tree, f"t{k}", s, f"t{k + 1}", share, least_rows))
-    purity = F.lit(None).cast("double")
-    for k in range(1, depth + 1):
-        branch = tree.groupBy("host", f"t{k}").agg(F.sum("labelled").alias("labels"), F.sum("blocked").alias("bad")) \
-            .where(f"t{k} is not null and labels > 0").select("host", f"t{k}", ((F.col("bad") + 1) / (F.col("labels") + 2)).alias(f"p{k}"))
-        tree = tree.join(branch, ["host", f"t{k}"], "left")
-        purity = F.coalesce(F.col(f"p{k}"), purity)
-    found = tree.select("host", *segments, (F.coalesce(purity, F.lit(0.0)) >= least).alias("bad"))
-    return rows.join(found, ["host", *segments]).select("page_id", "host", "path", "rule", F.coalesce(
+    segments = F.filter(F.split("path", "/"), lambda x: x != "")
+    rows = rows.select("*", F.transform(segments, lambda x: F.when(x.rlike(_VARIABLE), "*").otherwise(x)).alias("parts"),
+                       _longest_rule(rules, lambda r: r[1] + r[2]).alias("rule"), _longest_rule(rules, lambda r: r[0]).alias("ruled"))
+    level = store(rows.groupBy("host", "parts").agg(
+        F.count("*").alias("n"), F.count("ruled").alias("labelled"), F.count(F.when(F.col("ruled") == "block", 1)).alias("blocked"))
+        .select("*", F.lit("").alias("branch"), F.lit(None).cast("double").alias("purity"), (F.size("parts") > 0).alias("split")))
+    found, k = level.where("not split"), 0
+    while not (more := level.where("split")).isEmpty():  # each level is stored: the next one reads it several times
+        level, k = store(_level(more, k, share, least_rows)), k + 1
+        found = found.union(level.where("not split"))
+    found = found.select("host", "parts", (F.coalesce("purity", F.lit(0.0)) >= least).alias("bad"))
+    return rows.join(found, ["host", "parts"]).select("page_id", "host", "path", "rule", F.coalesce(
         "ruled", F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"))
