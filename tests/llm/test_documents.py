@@ -1,6 +1,7 @@
 """Operators on documents against brute force, on copies, short, empty, null and long texts."""
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -272,19 +273,100 @@ def test_katz_cuts_frequent_contexts(spark, docs, texts, monkeypatch):
     assert len(held) == 4 and max(held.values()) < 0.3 * sum(held.values())
 
 
-def test_token_counts_and_encoding(docs, texts):
-    v = unigram.vocabulary("piece_bpe_32k.model")
+@pytest.fixture(scope="module")
+def best_path():
+    """A Viterbi of its own, straight from the model file: ids and score of a text in which spaces are
+    U+2581; its positions in ``spelled`` are spelled by bytes whatever pieces there are."""
+    import functools
+    import math
+
+    import public_tokenizers
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    pieces, byte = {}, {}
+    for i in range(model.get_piece_size()):
+        value = math.floor(-math.log(27 + i) * 4096 + 0.5) / 4096 - 2.0 ** -22
+        if model.is_byte(i):
+            byte[int(model.id_to_piece(i)[1:-1], 16)] = i, value
+        elif not (model.is_control(i) or model.is_unknown(i)):
+            pieces[model.id_to_piece(i)] = i, value
+    longest = max(map(len, pieces))
+
+    @functools.lru_cache(None)
+    def run(text, spelled=frozenset()):
+        best = [(0.0, 0, ())]  # value, length and pieces of the last step
+        for j in range(1, len(text) + 1):
+            found = []
+            for k in range(1, min(j, longest) + 1):
+                if text[j - k:j] in pieces and not spelled & set(range(j - k, j)):
+                    i, value = pieces[text[j - k:j]]
+                    found.append((best[j - k][0] + value, -k, (i,)))
+            if not found or found[0][1] != -1:
+                raw = " " if text[j - 1] == "\u2581" and j - 1 not in spelled else text[j - 1]
+                of = [byte[x] for x in raw.encode()]
+                found.append((best[j - 1][0] + sum(x for _, x in of), -1, tuple(i for i, _ in of)))
+            value, k, ids = max(found, key=lambda f: f[:2])
+            best.append((value, -k, ids))
+        out, j = [], len(text)
+        while j:
+            out, j = [*best[j][2], *out], j - best[j][1]
+        return out, best[-1][0] + len(out) * 2.0 ** -22
+
+    return run
+
+
+def _encoding(best_path, text):
+    own = frozenset(i + 1 for i, c in enumerate(text) if c == "\u2581")
+    return best_path("\u2581" + text.replace(" ", "\u2581"), own) if text else ([], 0.0)
+
+
+def test_token_counts_and_encoding(docs, texts, best_path):
     counted = rows_by_id(token_counts.token_counts(docs))
-    encoded = {c: rows_by_id(spm.decode(spm.encode(docs, chunk=c))) for c in (1 << 15, 64)}
+    whole, cut = (rows_by_id(spm.decode(spm.encode(docs, chunk=c))) for c in (1 << 15, 64))
     digests = rows_by_id(spm.digest(spm.encode(docs)))
+    short = rows_by_id(spm.digest(spm.encode(docs, chunk=64)))
     for i, t in texts:
-        ids = [y for w in (t or "").encode().split() for y in unigram.walk(v, unigram.SPACE + w.decode())]
-        assert (len((t or "").encode().split()), len(ids)) in [(r["n_words"], r["n_tokens"]) for r in counted[i]]
-        for rows in encoded.values():
-            assert (t or "") in [r["decoded"] for r in rows[i]]
-        n = {len(r["ids"]) for rows in encoded.values() for r in rows[i] if r["decoded"] == (t or "")}
-        assert len(n) == 1  # chunks don't change the best path's length
-        assert zlib.crc32((t or "").encode()) in [r["text_crc32"] for r in digests[i]]
+        t = t or ""
+        found = [best_path("\u2581" + w.decode()) for w in t.encode().split()]
+        assert (len(found), sum(len(x) for x, _ in found), pytest.approx(sum(x for _, x in found))) in [
+            (r["n_words"], r["n_tokens"], r["score"]) for r in counted[i]]
+        ids, score = _encoding(best_path, t)
+        raw = np.array(ids, np.int32).tobytes()
+        assert (t, raw) in [(r["decoded"], bytes(r["ids"])) for r in whole[i]]
+        assert t in [r["decoded"] for r in cut[i]]
+        want = (len(ids), pytest.approx(score), zlib.crc32(t.encode()))
+        assert (*want, zlib.crc32(raw)) in [(r["n_tokens"], r["score"], r["text_crc32"], r["ids_crc32"]) for r in digests[i]]
+        assert want in [(r["n_tokens"], r["score"], r["text_crc32"]) for r in short[i]]
+
+
+def test_long_units_and_marks_share_the_trie(spark, best_path, monkeypatch):
+    """Units on both sides of 48 characters, with shared prefixes of any length, and texts of many chunks that hold U+2581."""
+    rng = random.Random(9)
+    stem = "".join(rng.choice(["an", "er", "th", "É", "on", "日", "🙂", "ing"]) for _ in range(400))
+    units = [stem[:n] + x for n in (0, 1, 47, 48, 49, 300, 700) for x in ("", "a", "ab", "the", "🙂🙂", "zzq")]
+    units += ["x" * n for n in (47, 48, 49, 1500)] + ["🙂" * 400]
+    v, units = unigram.vocabulary("piece_bpe_32k.model"), ["\u2581" + u for u in dict.fromkeys(units)]
+    for few in (0, 3, 32, 10_000):
+        monkeypatch.setattr(unigram, "_FEW", few)
+        tokens, score = unigram.trie_counts(v, units)
+        paths = unigram.trie_paths(v, units)
+        for u, n, value, path in zip(units, tokens, score, paths):
+            ids, best = best_path(u)
+            assert np.frombuffer(path, np.int32).tolist() == ids and n == len(ids) and value == pytest.approx(best, rel=1e-12)
+    monkeypatch.undo()
+    words_ = ["the", "\u2581", "a\u2581b", "\u2581\u2581", "longer", "日本", "\u2581 \u2581", "x" * 90]
+    rows = [(k, " ".join(rng.choice(words_) for _ in range(n))) for k, n in enumerate((1, 5, 40, 60, 300))] + [(9, "\u2581" * 500), (10, "a\u2581" * 90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert max(len(t) for _, t in rows) > 16 * 64
+    for chunk in (64, 100, 1 << 15):
+        encoded = spm.encode(df, chunk=chunk)
+        back = {r["doc_id"]: r["decoded"] for r in spm.decode(encoded).collect()}
+        sizes = {r["doc_id"]: (r["n_tokens"], pytest.approx(r["score"])) for r in spm.digest(encoded).collect()}
+        assert back == dict(rows)
+        for i, t in rows:
+            ids, score = _encoding(best_path, t)
+            assert sizes[i] == (len(ids), score)
 
 
 def test_scan_is_the_product_of_all_before():

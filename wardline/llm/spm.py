@@ -9,7 +9,8 @@ entry and exit state; then chunks are backtraced independently. A document of on
 only the states 0 and needs no scan.
 
 Decoding joins the pieces' bytes and drops the space in front: it gives back every text
-exactly. A U+2581 that stands in a text is spelled by its bytes.
+exactly. A U+2581 that stands in a text is spelled by its bytes, in chunks as elsewhere. Of
+equal best paths the last pieces are the shortest, but across a chunk's boundary any.
 
 Cases: null and empty texts have no ids; repeated rows give equal rows; other columns are
 not read."""
@@ -26,11 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import partitions, slices, store
-from .unigram import SPACE, UNIT, Paths, Vocabulary, vocabulary, walk
+from .unigram import MARK, SPACE, UNIT, Paths, Vocabulary, vocabulary
 
 CHUNK = 1 << 15
 _BREAK = re.compile(f"[^{SPACE}](?={SPACE})")
-_MARK = ""  # stands for a U+2581 of the text itself while units are cut
 
 
 def _matrix(v: Vocabulary, text: str, n: int) -> np.ndarray:
@@ -55,7 +55,7 @@ def _between(v: Vocabulary, text: str, n: int, enter: int, leave: int) -> list[i
     for i in range(enter, n):
         if best[i] > -np.inf:
             for k, value, piece in v.edges(text, i):
-                if best[i] + value > best[i + k]:
+                if best[i] + value >= best[i + k]:  # the shortest last piece, as in the trie
                     best[i + k], back[i + k] = best[i] + value, (k, piece)
     out, i = [], n + leave
     while i > enter:
@@ -123,28 +123,14 @@ def boundary_states(matrices: np.ndarray) -> np.ndarray:
 
 
 def _marked(text: str) -> str:
-    return SPACE + text.replace(" ", SPACE)
+    return SPACE + text.replace(SPACE, MARK).replace(" ", SPACE)
 
 
 def _encode_small(v: Vocabulary, paths: Paths, texts: list[str]) -> list[bytes]:
-    """Encodings of whole texts; one that holds U+2581 is walked as a whole."""
-    odd = {i for i, t in enumerate(texts) if SPACE in t}
-    units = [UNIT.findall(_marked(t)) if t and i not in odd else [] for i, t in enumerate(texts)]
+    """Encodings of whole texts."""
+    units = [UNIT.findall(_marked(t)) if t else [] for t in texts]
     paths.learn(set().union(*units))
-    return [np.array(_exact(v, t), np.int32).tobytes() if i in odd else b"".join(map(paths.__getitem__, u))
-            for i, (t, u) in enumerate(zip(texts, units))]
-
-
-def _exact(v: Vocabulary, text: str) -> list[int]:
-    """A text that holds U+2581: that character is spelled, and parts it from its surroundings."""
-    mark = [int(v.byte[b]) for b in SPACE.encode()]
-    out: list[int] = []
-    for k, part in enumerate(text.split(SPACE)):
-        out += mark if k else []
-        body = part.replace(" ", SPACE)
-        for unit in UNIT.findall(SPACE + body if k == 0 else body):
-            out += walk(v, unit)
-    return out
+    return [b"".join(map(paths.__getitem__, u)) for u in units]
 
 
 def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", chunk: int = CHUNK) -> DataFrame:
@@ -156,7 +142,7 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", chunk: int = CHU
         paths = Paths(v)
         for b in slices(batches):
             texts = [t or "" for t in b.column(2).to_pylist()]
-            small = [len(t) <= chunk or SPACE in t for t in texts]
+            small = [len(t) <= chunk for t in texts]
             ids = _encode_small(v, paths, [t if s else "" for t, s in zip(texts, small)])
             out = [(i, 0, 1, x, None, None, None) for i, (x, s) in enumerate(zip(ids, small)) if s]
             for i in np.flatnonzero(~np.array(small)).tolist():
@@ -164,11 +150,11 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", chunk: int = CHU
                 for c, lo in enumerate(range(0, len(t), chunk)):
                     n = min(chunk, len(t) - lo)
                     body = t[lo:lo + n + v.longest]
-                    out.append((i, c, -(-len(t) // chunk), None, body, n, transfer(v, paths, body, n).tobytes()))
+                    out.append((i, c, -(-len(t) // chunk), None, body.encode("utf-8", "surrogatepass"), n, transfer(v, paths, body, n).tobytes()))
             row, *rest = zip(*out)
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(
-                pa.array(x, k) for x, k in zip(rest, (pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.binary())))], names)
+                pa.array(x, k) for x, k in zip(rest, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary())))], names)
 
     def route(t: pa.Table) -> pa.Table:
         t = t.sort_by("chunk")
@@ -181,12 +167,13 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", chunk: int = CHU
         v = vocabulary(model)
         paths = Paths(v)
         for b in batches:
-            ids = [np.array(trace(v, paths, *x), np.int32).tobytes() for x in zip(*(b.column(k).to_pylist() for k in range(3, 7)))]
+            ids = [np.array(trace(v, paths, body.decode("utf-8", "surrogatepass"), *x), np.int32).tobytes()
+                   for body, *x in zip(*(b.column(k).to_pylist() for k in range(3, 7)))]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(ids, pa.binary())], ["row", "doc_id", "chunk", "ids"])
 
     names = ["row", "doc_id", "chunk", "chunks", "ids", "body", "n", "matrix"]
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    parts = store(rows.mapInArrow(cut, f"row long, doc_id {kind}, chunk long, chunks long, ids binary, body string, n long, matrix binary"), "zstd")
+    parts = store(rows.mapInArrow(cut, f"row long, doc_id {kind}, chunk long, chunks long, ids binary, body binary, n long, matrix binary"), "zstd")
     split = parts.where("chunks > 1")
     states = split.select("row", "chunk", "matrix").groupBy("row").applyInArrow(route, "row long, chunk long, enter long, leave long")
     traced = split.select("row", "doc_id", "chunk", "body", "n").join(states, ["row", "chunk"]).repartition(

@@ -2,8 +2,8 @@
 
 A document's pre-tokens are its words, each behind a space mark. Every task puts the distinct
 new pre-tokens of a batch (by 64-bit hash) into a trie, computes the unigram model's forward scores once per
-shared prefix (``unigram.trie_counts``), and keeps the counts of the terminals; a document's
-count is the sum over its words. No exchange is needed.
+shared prefix (``unigram.trie_counts``), whatever a pre-token's length, and keeps the counts of the
+terminals; a document's count is the sum over its words. No exchange is needed.
 
 Cases: null and empty texts, and such without words, have 0 tokens and score 0; repeated
 rows count each; other columns are not read."""
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import slices
-from .unigram import LONG, SPACE, Vocabulary, trie_counts, vocabulary, walk
+from .unigram import SPACE, trie_counts, vocabulary
 from .words import text_bytes, words
 
 
@@ -24,18 +24,6 @@ from .words import text_bytes, words
 _ROOM = 500_000
 
 
-def _counts(v: Vocabulary, units: list[str]) -> list[tuple[int, float]]:
-    """Tokens and score of each unit; short ones share a trie."""
-    short = [k for k, u in enumerate(units) if len(u) <= LONG]
-    tokens, score = trie_counts(v, [units[k] for k in short])
-    out = dict(zip(short, zip(tokens.tolist(), score.tolist())))
-    for k, u in enumerate(units):
-        if k not in out:
-            ids = walk(v, u)
-            out[k] = len(ids), float(v.value[ids].sum()) + len(ids) * 2.0 ** -22
-    return [out[k] for k in range(len(units))]
-
-
 def token_counts(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
     """(doc_id, n_words, n_tokens, score) of every row: score is the log probability."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,7 +37,7 @@ def token_counts(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFra
                 known.clear()
             text, new = raw.tobytes(), [(k, i) for k, i in zip(names.tolist(), one.tolist()) if k not in known]
             units = [SPACE + text[first[i]:end[i]].decode() for _, i in new]
-            known.update(zip((k for k, _ in new), _counts(v, units)))
+            known.update(zip((k for k, _ in new), zip(*(x.tolist() for x in trie_counts(v, units)))))
             tokens, score = np.array([known[k] for k in names.tolist()]).reshape(-1, 2).T
             n = b.num_rows
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, (
