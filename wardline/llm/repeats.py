@@ -35,7 +35,8 @@ from .words import _CODE, _DOWN, _UP, mix, text_bytes
 
 _GRAM = 24
 _CHUNK = 1 << 19  # windows in one numpy pass
-_SHARD = 2 << 20  # bytes sorted at once
+_SHARD = 1 << 20  # bytes sorted at once
+_OUT = 4 << 20  # bytes of text that a task holds before it sends them on
 _SPLIT = 4096  # segments of one gram that stay together
 _WAYS = 8  # a gram of more than _SPLIT times as many segments is dealt by window
 _HELD = 1 << 16  # windows whose first a task looks for at once
@@ -208,29 +209,45 @@ def texts_of(texts: DataFrame, found: DataFrame) -> DataFrame:
     return bucketed(packed.join(parts, "doc").repartition(partitions(texts.sparkSession), "doc"), "doc")
 
 
+def _lists(col: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Offsets and flat fields of a column of lists of numbers' structs; nulls are 0."""
+    size = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+    fields = [pc.fill_null(f, 0).to_numpy(zero_copy_only=False) for f in col.flatten().flatten()]
+    return np.concatenate([[0], np.cumsum(size)]).astype(np.int64), fields
+
+
 def bodies(texts: DataFrame, length: int) -> DataFrame:
     """(gram, way, doc, first, body): bytes of segments, split by distance from their gram; those of
     one gram and way are at most _WAYS * _SPLIT. ``texts`` has the columns of ``texts_of``."""
     span = length - _GRAM + 1
 
+    def table(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(
+            zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
+        out, size = [], 0
         for b in slices(batches, "z", 1 << 20):
-            out = []
-            for doc, z, parts in zip(*(b.column(k).to_pylist() for k in ("doc", "z", "parts"))):
-                text = unpack.decompress(z)
-                for p in parts:
-                    if not p["ways"] or p["ways"] > _WAYS:
-                        continue
-                    first, far, n, ways = p["at"] >> 16, p["at"] >> 8 & 255, p["at"] & 255, p["ways"]
-                    for k in range(min(ways, span)):  # windows at like distances from the gram
-                        near, wide = k * span // min(ways, span), (k + 1) * span // min(ways, span)
+            off, (at, gram, ways) = _lists(b.column(2))
+            for i, doc in enumerate(b.column(0).to_pylist()):
+                own = np.flatnonzero((ways[off[i]:off[i + 1]] > 0) & (ways[off[i]:off[i + 1]] <= _WAYS)) + off[i]
+                if not len(own):
+                    continue
+                text = unpack.decompress(b.column(1)[i].as_py())
+                for p, g, w in zip(at[own].tolist(), gram[own].tolist(), ways[own].tolist()):
+                    first, far, n = p >> 16, p >> 8 & 255, p & 255
+                    for k in range(min(w, span)):  # windows at like distances from the gram
+                        near, wide = k * span // min(w, span), (k + 1) * span // min(w, span)
                         lo, hi = max(first, first + far - wide + 1), min(first + n, first + far - near + 1)
                         if lo < hi:
-                            out.append((p["gram"], k, doc, lo, text[lo:hi + length - 1]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(
-                    zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names)
+                            out.append((g, k, doc, lo, text[lo:hi + length - 1]))
+                            size += hi - lo + length
+                    if size > _OUT:
+                        yield table(out)
+                        out, size = [], 0
+        if out:
+            yield table(out)
 
     names = ["gram", "way", "doc", "first", "body"]
     return texts.select("doc", "z", "parts").mapInArrow(cut, "gram long, way int, doc long, first long, body binary")
@@ -253,12 +270,12 @@ def hot_windows(texts: DataFrame, length: int) -> DataFrame:
             return out
 
         for b in slices(batches, "z", 1 << 20):
-            for doc, z, parts in zip(*(b.column(k).to_pylist() for k in ("doc", "z", "parts"))):
-                text = unpack.decompress(z)
-                for p in parts:
-                    if not p["ways"] or p["ways"] <= _WAYS:
-                        continue
-                    for at in range(p["at"] >> 16, (p["at"] >> 16) + (p["at"] & 255)):
+            off, (parts, _, ways) = _lists(b.column(2))
+            for i, doc in enumerate(b.column(0).to_pylist()):
+                own = parts[off[i]:off[i + 1]][ways[off[i]:off[i + 1]] > _WAYS]
+                text = unpack.decompress(b.column(1)[i].as_py()) if len(own) else b""
+                for p in own.tolist():
+                    for at in range(p >> 16, (p >> 16) + (p & 255)):
                         key, own = hashlib.blake2b(text[at:at + length], digest_size=16).digest(), (doc, at)
                         held = least.setdefault(key, own)
                         if held != own:
@@ -278,11 +295,11 @@ def repeated_runs(texts: DataFrame, length: int) -> DataFrame:
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for t in groups(batches, 2):
-            held.append(t)
-            size += t["body"].nbytes
-            if size > _SHARD:
+            if held and size + t["body"].nbytes > _SHARD:
                 yield from _repeats(pa.concat_tables(held), length)
                 held, size = [], 0
+            held.append(t)
+            size += t["body"].nbytes
         if held:
             yield from _repeats(pa.concat_tables(held), length)
 
@@ -351,26 +368,36 @@ def _repeats(t: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
 
 def kept_texts(texts: DataFrame, runs: DataFrame, length: int) -> DataFrame:
     """(doc, n_removed, n_spans, kept): what is left of every document in ``texts``."""
+    def table(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(
+            zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc", "n_removed", "n_spans", "kept"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
+        out, size = [], 0
         for b in slices(batches, "z", 1 << 20):
-            out = []
-            for doc, z, parts, more in zip(*(b.column(k).to_pylist() for k in range(4))):
-                text = unpack.decompress(z)
-                spans = [(p["at"] >> 16, (p["at"] >> 16) + (p["at"] & 255)) for p in parts if p["ways"] is None]
-                spans += [(r["start"], r["stop"]) for r in more or []]
-                kept, at, n = [], 0, 0
-                open_end = -1
-                for lo, hi in sorted(spans):
-                    hi = min(hi + length - 1, len(text))
-                    if lo > open_end:
+            off, (at, _, ways) = _lists(b.column(2))
+            more, (start, stop) = _lists(b.column(3))
+            for i, doc in enumerate(b.column(0).to_pylist()):
+                text = unpack.decompress(b.column(1)[i].as_py())
+                whole = at[off[i]:off[i + 1]][ways[off[i]:off[i + 1]] == 0]
+                lo = np.concatenate([whole >> 16, start[more[i]:more[i + 1]]])
+                hi = np.concatenate([(whole >> 16) + (whole & 255), stop[more[i]:more[i + 1]]]) + length - 1
+                order = np.argsort(lo, kind="stable")
+                kept, n, done = [], 0, -1
+                for first, end in zip(lo[order].tolist(), hi[order].tolist()):
+                    if first > done:
                         n += 1
-                        kept.append(text[at:lo])
-                    open_end = at = max(hi, open_end)
-                kept = b"".join([*kept, text[at:]])
-                out.append((doc, len(text) - len(kept), n, kept))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(
-                zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc", "n_removed", "n_spans", "kept"])
+                        kept.append(text[max(done, 0):first])
+                    done = max(min(end, len(text)), done)
+                left = b"".join([*kept, text[max(done, 0):]])
+                out.append((doc, len(text) - len(left), n, left))
+                size += len(left)
+                if size > _OUT:
+                    yield table(out)
+                    out, size = [], 0
+        if out:
+            yield table(out)
 
     of = runs.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
     return texts.join(of, "doc", "left").select("z", "parts", "runs", "doc").select("doc", "z", "parts", "runs").mapInArrow(
