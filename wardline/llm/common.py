@@ -1,6 +1,7 @@
 """Helpers that the operators share: stored tables, batch slicing, components."""
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -53,6 +54,14 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on through all stages of an application."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that each holds about ``limit`` bytes of text, or one row."""
     for batch in batches:
@@ -65,6 +74,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             size += int(n)
         if lo < batch.num_rows:
             yield batch.slice(lo)
+    give_back()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -107,3 +117,4 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         held.append(b.slice(lo))
     if held:
         yield pa.Table.from_batches(held)
+    give_back()

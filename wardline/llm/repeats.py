@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.groups import ordered_rank
-from .common import bucketed, free_names, groups, partitions, slices, store
+from .common import bucketed, free_names, give_back, groups, partitions, slices, store
 from .induced import suffixes
 from .words import _CODE, _DOWN, _UP, mix, text_bytes
 
@@ -298,6 +298,7 @@ def repeated_runs(texts: DataFrame, length: int) -> DataFrame:
             if held and size + t["body"].nbytes > _SHARD:
                 yield from _repeats(pa.concat_tables(held), length)
                 held, size = [], 0
+                give_back()
             held.append(t)
             size += t["body"].nbytes
         if held:
