@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardline.operators import graph, spatial, splits
+from wardline.session import cut
 
 
 def _brute(xy, k):
@@ -174,6 +175,27 @@ def test_join_form_equals_numpy_form(spark):
         assert a[i] == pytest.approx([c.get((i, k), 0.0) for k in range(1, 6)], abs=1e-12)
 
 
+def test_walks_of_groups_are_not_exchanged(spark, monkeypatch):
+    """Groups of both kinds, loops and repeated edges answer as one graph does; the powers move no rows."""
+    rng = np.random.default_rng(3)
+    pairs = [(g * 10 + int(a), g * 10 + int(b)) for g in range(4) for a, b in rng.integers(0, 4 + 2 * g, (12, 2))]
+    rows = [(u // 10, u, v) for x, y in pairs for u, v in ((x, y), (y, x))]
+    e = spark.createDataFrame(rows, "cluster long, u long, v long")
+    want = {(r["node"], r["k"]): r["p"] or 0.0 for r in graph.return_probabilities_by_join(e.select("u", "v"), 7).collect()}
+    for most in (2048, 7, 0):
+        found = graph.return_probabilities_by_join(e, 7, "cluster", most)
+        got = {(r["node"], r["k"]): r["p"] or 0.0 for r in found.collect()}
+        assert got.keys() >= want.keys()
+        assert all(p == pytest.approx(want.get(k, 0.0), abs=1e-12) for k, p in got.items())
+    plans = []
+    with monkeypatch.context() as m:
+        m.setattr(graph, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+        graph.return_probabilities_by_join(e, 8, "cluster")
+    plan = plans[-1]
+    assert plan.count("SortMergeJoin") + plan.count("HashJoin") >= 6
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") > 0
+
+
 def test_one_way_edges_give_one_answer(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (1, 3)], "u long, v long")
     c = spark.range(1, 4).select(F.col("id").alias("person_row"), F.lit(0).alias("cluster"))
