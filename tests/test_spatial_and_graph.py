@@ -97,6 +97,29 @@ def test_click_cutoff(spark):
     assert got == {1: 1, 3: 3}
 
 
+def test_clicks_meet_few_households(spark):
+    """Exact on crowds, lone and shared spots, and far clicks; crowded cells are not paired as a whole."""
+    rng = np.random.default_rng(5)
+    r = 0.06
+    at = np.concatenate([rng.uniform(0, 0.05, (1200, 2)), rng.normal(0.3, 1e-4, (300, 2)), rng.uniform(-1, 1, (30, 2))]) + [40.5, -73.9]
+    at = np.concatenate([at, at[:200]])
+    click = np.concatenate([rng.uniform(0, 0.05, (800, 2)), rng.normal(0.3, 2e-4, (200, 2)), rng.uniform(-1.2, 1.2, (60, 2))]) + [40.5, -73.9]
+    click = np.concatenate([click, at[:50]])
+    h = spark.createDataFrame([(len(at) - i, float(y), float(x), 1) for i, (y, x) in enumerate(at)], "household_id long, lat double, lon double, score_total int")
+    c = spark.createDataFrame([(i, float(y), float(x)) for i, (y, x) in enumerate(click)] + [(9999, None, -73.9)], "click_id long, lat double, lon double")
+    got = {x["click_id"]: x["household_id"] for x in spatial.nearest_household(c, h, r * r).collect()}
+    want = {}
+    for i, (y, x) in enumerate(click):
+        d = (at[:, 0] - y) ** 2 + ((at[:, 1] - x) * math.cos(math.radians(y))) ** 2
+        best = min((float(v), len(at) - j) for j, v in enumerate(d))
+        if best[0] < r * r:
+            want[i] = best[1]
+    assert got == want and 1000 < len(want) < len(click)
+    spots = h.select(F.col("lat").alias("h_lat"), F.col("lon").alias("h_lon"), "household_id")
+    crowd = c.filter("click_id < 800")
+    assert spatial._click_candidates(crowd, spots, r).count() < 100 * 800  # all in one cell of side r: 1200 each
+
+
 @pytest.fixture(scope="module")
 def nodes(spark):
     # group 0 holds 60 % of the nodes, one group has a single node
