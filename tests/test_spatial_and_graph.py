@@ -89,6 +89,24 @@ def test_cell_cover(spark, most=12):
     assert spatial.locate_in_polygons(df, polys.filter("geoid = 'none'")).count() == 0
 
 
+def test_overlapping_polygons_meet_few_points(spark):
+    """Many polygons over many points: smallest ids as by exact arithmetic, without pairing all of a place."""
+    rng = random.Random(9)
+    rings = {f"G{i:03d}": [(x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y)]
+             for i in range(300) for x, y, w in [(rng.uniform(0, .04), rng.uniform(0, .04), rng.uniform(.035, .06))]}
+    pts = [(rng.uniform(-.01, .11), rng.uniform(-.01, .11)) for _ in range(600)]
+    polys = spark.createDataFrame([(k, [[{"x": x, "y": y} for x, y in r]]) for k, r in rings.items()],
+                                  "geoid string, rings array<array<struct<x:double,y:double>>>")
+    df = spark.createDataFrame(pts, "lon double, lat double")
+    got = {(r["lon"], r["lat"]): r["geoid"] for r in spatial.locate_in_polygons(df, polys).collect()}
+    want = {p: min((k for k, r in rings.items() if _inside(*p, [r])), default=None) for p in pts}
+    assert got == {p: k for p, k in want.items() if k} and 100 < len(got) < 600
+    cover = spatial.cell_cover(polys, points=df.toDF("px", "py"))
+    size = F.pow(F.lit(2.0), F.col("level"))
+    met = df.crossJoin(cover).filter((F.floor(F.col("lon") / size) == F.col("cx")) & (F.floor(F.col("lat") / size) == F.col("cy")))
+    assert met.count() < 600 * 300 // 4
+
+
 def test_click_cutoff(spark):
     h = spark.createDataFrame([(1, 40.0, -73.0, 5), (2, 40.001, -73.0, 0), (3, 40.0012, -73.0, 1)],
                               "household_id long, lat double, lon double, score_total int")
