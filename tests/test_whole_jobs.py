@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from wardline.operators import models
-from wardline.plans import graph_queries
+from wardline.plans import graph_queries, standin
 from wardline.plans.catalog import REGISTRY
 from wardline.plans.standin import Views
 
@@ -164,3 +164,17 @@ def test_place_classification_takes_all_parties(spark):
     keys = {r["key"] for r in REGISTRY["place_classification_all_parties"].run(spark, FOLDER).select("key").collect()}
     parties = {r["party"] for r in Views(spark, FOLDER).people.collect() if r["person_row"] in keys}
     assert len(parties) > 1
+
+
+def test_model_table_is_made_in_steps(spark, monkeypatch):
+    """No plan of the model table reads customers again and again, or holds most stages at once."""
+    plans, keep = [], graph_queries.cut
+
+    def seen(df):
+        plans.append((df._jdf.queryExecution().optimizedPlan().toString().count("Relation [c_custkey"),
+                      df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")))
+        return keep(df)
+    monkeypatch.setattr(graph_queries, "cut", seen)
+    monkeypatch.setattr(standin, "cut", seen)
+    assert graph_queries.model_table(Views(spark, FOLDER)).count() == 150
+    assert sum(n for n, _ in plans) == 1 and max(n for _, n in plans) < 16
